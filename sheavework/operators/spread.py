@@ -112,6 +112,12 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], out:
     )
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame that several branches of one plan read, so that it is computed once and survives losses."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint()
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Keep a frame that several branches of one plan read; blocks that are lost are computed again."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
