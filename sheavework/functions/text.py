@@ -59,10 +59,15 @@ def readable_bytes(n: Column) -> Column:
     # The unit names.
     units = ["B", "KB", "MB", "GB", "TB"]
     value = n.cast("double")
-    out = F.format_string("%.1f " + units[-1], value / float(1024 ** (len(units) - 1)))
+
+    def shown(power: int) -> Column:
+        # Round half to even on the exact value; the format alone would round half up.
+        tenths = F.rint(value / float(1024**power) * 10.0) / 10.0
+        return F.format_string("%.1f " + units[power], tenths)
+
+    out = shown(len(units) - 1)
     for power in range(len(units) - 2, -1, -1):
-        shown = F.format_string("%.1f " + units[power], value / float(1024**power))
-        out = F.when(value < float(1024 ** (power + 1)), shown).otherwise(out)
+        out = F.when(value < float(1024 ** (power + 1)), shown(power)).otherwise(out)
     return F.when(n.isNotNull(), out)
 
 

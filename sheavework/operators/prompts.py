@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .conversations import MESSAGE_LIMIT, messages_of
 
@@ -138,4 +139,4 @@ def generate(df: DataFrame, prompt_col: str, completer: Callable[[], Completer]
                     part["completion"], part["error"] = None, f"{type(problem).__name__}: {problem}"
                 yield part
 
-    return df.mapInPandas(run, df.schema.add("completion", "string").add("error", "string"))
+    return df.mapInPandas(run, StructType([*df.schema.fields, StructField("completion", StringType()), StructField("error", StringType())]))

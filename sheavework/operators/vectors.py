@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from ..functions import text, vectors
 from .spread import first_n, fits_broadcast, kept, salted_join
@@ -53,7 +54,7 @@ def embed(df: DataFrame, text_col: str, dim: int, scorer: Callable[[], Callable[
                     part["embedding"], part["error"] = None, f"{type(problem).__name__}: {problem}"
                 yield part
 
-    schema = df.schema.add("embedding", "array<float>").add("error", "string")
+    schema = StructType([*df.schema.fields, StructField("embedding", ArrayType(FloatType())), StructField("error", StringType())])
     return df.mapInPandas(run, schema)
 
 

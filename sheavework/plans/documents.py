@@ -61,7 +61,7 @@ def read_csv_text(spark, sf):
     path = scratch_path(spark, "csv")
     note = F.concat(F.lit('said "'), F.col("o_custkey").cast("string"), F.lit('",\n'))
     source = I.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", note.alias("note"), F.lit("").alias("empty"))
-    source.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    source.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreTrailingWhiteSpace", False).csv(path)
     return files.read_csv_text(spark, path)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names, text
 from ..operators import chunks, tables, vectors
+from ..session import scratch_path
 
 DIM = 64
 
@@ -143,6 +144,31 @@ def stored(spark: SparkSession, sf: str, only: str | None = "star.xlsx") -> dict
             "sheets": tables.sheet_stats(headers, body)}
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def knowledge_base(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The workbook of whole tables as stored tables: rows, column, sheet and table catalogs as Parquet.
+
+    Ingest writes them once per session and data folder to the shared folder; retrieval reads them. Rows are
+    laid out by table and row number, in pieces, so that a scan for some tables skips the others and a
+    dominant table is spread over many files.
+    """
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _WRITTEN:
+        root = scratch_path(spark, "kb")
+        made = stored(spark, sf)
+        piece = F.floor(F.col("row_no") / 1_000_000)
+        laid_out = made["body"].repartition("table_name", piece).sortWithinPartitions("table_name", "row_no")
+        laid_out.write.parquet(f"{root}/rows")
+        for name in ("columns", "sheets", "tables"):
+            made[name].write.parquet(f"{root}/{name}")
+        _WRITTEN[key] = root
+    root = _WRITTEN[key]
+    found = {name: spark.read.parquet(f"{root}/{name}") for name in ("rows", "columns", "sheets", "tables")}
+    return {**found, "body": found["rows"]}
+
+
 def files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as files; the kind goes with the language."""
     ext = F.expr("CASE lang WHEN 'de' THEN '.PDF' WHEN 'es' THEN '.docx' WHEN 'fr' THEN '.md' ELSE '.txt' END")
