@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that count as whitespace (those a Python ``str.split()`` splits on).
-WHITESPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The characters that count as whitespace (those a Python ``str.split()`` splits on), as the inner
+# part of a character class. With (?U), \s stands for all Unicode whitespace; the four separators are added.
+WHITESPACE = r"\s\x1c-\x1f"
 
 PREVIEW_CHARS = 160
 TEXT_WINDOW = 300
@@ -14,22 +15,22 @@ TABLE_WINDOW = 200
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^[{WHITESPACE}]+|[{WHITESPACE}]+\z", "")
+    return F.regexp_replace(col, rf"(?U)^[{WHITESPACE}]+|[{WHITESPACE}]+\z", "")
 
 
 def not_blank(col: Column) -> Column:
     """False for NULL, for the empty string and for whitespace only; stops at the first visible character."""
-    return F.coalesce(col.rlike(f"[^{WHITESPACE}]"), F.lit(False))
+    return F.coalesce(col.rlike(f"(?U)[^{WHITESPACE}]"), F.lit(False))
 
 
 def single_spaced(col: Column) -> Column:
     """Words joined by one blank, none at the ends."""
-    return F.trim(F.regexp_replace(col, f"[{WHITESPACE}]+", " "))
+    return F.trim(F.regexp_replace(col, f"(?U)[{WHITESPACE}]+", " "))
 
 
 def words(col: Column) -> Column:
     """Array of the words; empty for blank text."""
-    return F.filter(F.split(col, f"[{WHITESPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(col, f"(?U)[{WHITESPACE}]+"), lambda w: w != "")
 
 
 def word_windows(col: Column, size: int) -> Column:

@@ -8,12 +8,14 @@ queries hold it.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
 from .catalog import column_label
-from .spread import BROADCAST_ROWS, SALTS, first_n, fits_broadcast, salted_join, settled
+from .spread import BROADCAST_BYTES, BROADCAST_ROWS, SALTS, first_n, fits_broadcast, salted_join, settled
 
 GRAM = 3
 
@@ -27,9 +29,9 @@ def distinct_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.select("token").distinct()
 
 
-def _grams(col: Column) -> Column:
-    """Distinct pieces of one to ``GRAM`` characters. A look-ahead yields overlapping pieces in one linear walk."""
-    runs = [F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, GRAM + 1)]
+def _grams(col: Column, lengths: Iterable[int] = range(1, GRAM + 1)) -> Column:
+    """Distinct pieces of the given lengths. A look-ahead yields overlapping pieces in one linear walk."""
+    runs = [F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(lengths)]
     return F.array_distinct(F.concat(*runs))
 
 
@@ -118,15 +120,22 @@ def match_row_tokens(rows: DataFrame, wanted: DataFrame, wildcards: bool = False
         return salted_join(cells, patterns, ["table_name"], ["row_no"]).where(like).select("table_name", "row_no", "token").distinct()
 
     pairs = _with_key(wanted.select("table_name", "token").distinct())
-    pieces = texts.withColumn("gram", F.explode(_grams(F.col("row_text"))))
+    size = F.octet_length("table_name") + F.octet_length("token")
+    measured = pairs.agg(F.count("*").alias("n"), F.sum(size).alias("b"), F.collect_set(F.char_length("gram")).alias("lengths")).first()
+    if not measured["n"]:
+        return wanted.select("table_name", F.lit(0).cast("long").alias("row_no"), "token").where(F.lit(False))
+    # Only pieces as long as some token's key can meet one.
+    pieces = texts.withColumn("gram", F.explode(_grams(F.col("row_text"), measured["lengths"])))
     holds = F.contains("row_text", F.col("token"))
     columns = ["table_name", "row_no", "token"]
-    if fits_broadcast(pairs, broadcast_rows):
+    parts = max(-(-measured["n"] // broadcast_rows), -(-measured["b"] // BROADCAST_BYTES))
+    if parts == 1:
         return pieces.join(F.broadcast(pairs), ["table_name", "gram"]).where(holds).select(*columns)
-    parts = pairs.count() // max(1, broadcast_rows // 2) + 1
     if parts > max_passes:
         return salted_join(pieces, pairs, ["table_name", "gram"], ["row_no"], salts=SALTS * 4).where(holds).select(*columns)
-    divided = pairs.withColumn("_part", F.pmod(F.xxhash64("table_name", "token"), F.lit(parts)))
+    # Twice as many parts as needed leave room for uneven hashing; each is measured before it is broadcast.
+    parts *= 2
+    divided = settled(pairs.withColumn("_part", F.pmod(F.xxhash64("table_name", "token"), F.lit(parts))))
     out = None
     for part in range(parts):
         some = divided.where(F.col("_part") == part).drop("_part")
@@ -155,9 +164,10 @@ def sample_rows(queries: DataFrame, chosen: DataFrame, rows: DataFrame, n: int =
     The first ``n`` rows of a query are among the first ``n`` rows of each of its tokens, so matches are cut
     to ``n`` per table and token (in every task, before the shuffle) and joined with the queries after that.
     """
-    asked = _asked(queries, chosen)
+    # Both are read several times below; the matches are the only step that reads all rows.
+    asked = settled(_asked(queries, chosen))
     found = match_row_tokens(rows, asked.select("table_name", "token"), wildcards)
-    per_token = first_n(found, ["table_name", "token"], [F.col("row_no")], n, "_n").drop("_n")
+    per_token = settled(first_n(found, ["table_name", "token"], [F.col("row_no")], n, "_n").drop("_n"))
     matched = (
         salted_join(asked, per_token, ["table_name", "token"], ["query_id"])
         .select("query_id", "table_name", "row_no").distinct()

@@ -14,7 +14,7 @@ DEFAULT_QUERY = "SELECT table_name, source, page, sheet FROM kb_tables LIMIT 100
 # Plan nodes and functions that are no plain reading of registered tables.
 READ_NODES = {
     "Project", "Filter", "Join", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "SubqueryAlias",
-    "Union", "Intersect", "Except", "UnresolvedWith", "UnresolvedRelation", "UnresolvedInlineTable", "OneRowRelation",
+    "Union", "Intersect", "Except", "Intersect All", "Except All", "UnresolvedWith", "UnresolvedRelation", "UnresolvedInlineTable", "OneRowRelation",
     "UnresolvedHaving", "WithWindowDefinition", "Generate", "LateralJoin", "Pivot", "Unpivot", "UnresolvedSubqueryColumnAliases",
     "UnresolvedHint", "Sample", "Window", "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "LocalRelation", "AsOfJoin",
     "UnresolvedOrdinal", "ParameterizedQuery", "CTERelationRef", "WithCTE", "ResolvedInlineTable",

@@ -31,7 +31,7 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int
 
 
 def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Sequence[str], how: str = "inner",
-                salts: int = SALTS) -> DataFrame:
+                salts: int | None = None) -> DataFrame:
     """Equi-join in which the rows of one hot key of ``big`` are divided over ``salts`` partitions.
 
     ``spread_by`` names columns that tell the rows of one key apart; the salt is a hash of them, so a
@@ -39,6 +39,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread_by:
     times, so it should be the side with few rows per key. A side that turns out to be small is still
     broadcast by the optimiser under its own threshold.
     """
+    salts = salts or min(SALTS, int(big.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")

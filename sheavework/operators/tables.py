@@ -14,6 +14,7 @@ from ..functions import names, text
 from .spread import first_n, salted_join
 
 KEY = ["source", "label"]
+GRID = ["kind", "source", "sheet", "page", "table_no"]
 
 # Share of unnamed headers from which a header is rebuilt, and the name of the only
 # column of a table without columns.
@@ -21,22 +22,25 @@ UNNAMED_SHARE = 0.6
 EMPTY_COLUMN = "_empty"
 
 
-def name_tables(cells: DataFrame) -> DataFrame:
-    """Add ``label`` (sheet label) and ``table_name`` to every cell."""
-    args = F.col("kind"), F.col("sheet"), F.col("page"), F.col("table_no")
-    return cells.withColumn("label", names.sheet_label(*args)).withColumn(
-        "table_name", names.table_name_for(F.col("kind"), F.col("source"), F.col("sheet"), F.col("page"), F.col("table_no"))
+def name_tables(grids: DataFrame) -> DataFrame:
+    """Add ``label`` (sheet label) and ``table_name`` from kind, source, sheet, page and table number."""
+    kind, source, sheet, page, table_no = (F.col(c) for c in GRID)
+    return grids.withColumn("label", names.sheet_label(kind, sheet, page, table_no)).withColumn(
+        "table_name", names.table_name_for(kind, source, sheet, page, table_no)
     )
 
 
 def cells_to_rows(cells: DataFrame) -> DataFrame:
-    """Grid rows (source, label, kind, page, table_no, table_name, row_no, values). A group is one grid row."""
+    """Grid rows (source, label, kind, page, table_no, table_name, row_no, values). A group is one grid row.
+
+    Names are made per row, after the cells have been gathered.
+    """
     by_col = F.map_from_entries(F.collect_list(F.struct("col_no", "value")))
-    grouped = name_tables(cells).groupBy(*KEY, "kind", "page", "table_no", "table_name", "row_no").agg(
-        by_col.alias("by_col"), F.max("col_no").alias("last_col")
-    )
+    grouped = cells.groupBy(*GRID, "row_no").agg(by_col.alias("by_col"), F.max("col_no").alias("last_col"))
     values = F.transform(F.sequence(F.lit(0), F.col("last_col")), lambda i: F.element_at(F.col("by_col"), i))
-    return grouped.withColumn("values", values).drop("by_col", "last_col")
+    return name_tables(grouped.withColumn("values", values)).select(
+        *KEY, "kind", "page", "table_no", "table_name", "row_no", "values"
+    )
 
 
 def has_header(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
@@ -93,13 +94,27 @@ def _rank(best: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", "rank", "chunk_id", "score")
 
 
+def _usable(batch, dim: int):
+    """The rows of an Arrow batch or table whose vector has ``dim`` numbers."""
+    fits = pc.equal(pc.list_value_length(batch.column("embedding")), dim)
+    return batch.filter(pc.fill_null(fits, False))
+
+
 def _valid(df: DataFrame, dim: int, *cols: str) -> DataFrame:
-    return df.where(F.col("embedding").isNotNull() & (F.size("embedding") == dim)).select(*cols, "embedding")
+    """Rows with a vector of ``dim`` numbers. A filter on the column would be pushed below a computed
+    embedding and make it be computed twice; the rows are dropped in Arrow batches instead."""
+    chosen = df.select(*cols, "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _usable(batch, dim)
+
+    return chosen.mapInArrow(run, chosen.schema)
 
 
 def _knn_few_queries(corpus: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
     """Map-only scoring against a broadcast query matrix; only tasks x queries x k rows are shuffled."""
-    table = queries.toArrow()
+    table = _usable(queries.toArrow(), dim)
     ids, matrix = table.column("query_id").combine_chunks(), _matrix(table.column("embedding"), dim)
     shared = corpus.sparkSession.sparkContext.broadcast(matrix)
     id_type = corpus.schema["chunk_id"].dataType
@@ -109,6 +124,7 @@ def _knn_few_queries(corpus: DataFrame, queries: DataFrame, k: int, dim: int) ->
         q, names = shared.value, np.array(shared_ids.value, dtype=object)
         best_id = best_query = best_score = None
         for batch in batches:
+            batch = _usable(batch, dim)
             if not batch.num_rows or not len(q):
                 continue
             order = np.argsort(np.array(batch.column("chunk_id").to_pylist(), dtype=object), kind="stable")
@@ -166,7 +182,7 @@ def _knn_blocks(corpus: DataFrame, queries: DataFrame, k: int, dim: int, block_r
     query_type, chunk_type = queries.schema["query_id"].dataType, corpus.schema["chunk_id"].dataType
 
     def run(c: pa.Table, q: pa.Table) -> pa.Table:
-        c = c.sort_by("chunk_id")
+        c, q = _usable(c, dim).sort_by("chunk_id"), _usable(q, dim)
         if c.num_rows and q.num_rows:
             scores = np.round(_matrix(q.column("embedding"), dim) @ _matrix(c.column("embedding"), dim).T, SCORE_DIGITS)
             rows, cols = _top_k(scores, k)
@@ -192,7 +208,7 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, dim: int = 1024
     another size are left out (see ``check_dimension``). Up to ``broadcast_queries`` queries (counted) are
     sent to the corpus, which is then read in place; beyond that both sides are cut into blocks.
     """
-    corpus, queries = _valid(corpus, dim, "chunk_id"), _valid(queries, dim, "query_id")
+    corpus, queries = corpus.select("chunk_id", "embedding"), queries.select("query_id", "embedding")
     if broadcast_queries and fits_broadcast(queries, broadcast_queries):
         best = _knn_few_queries(corpus, queries, k, dim)
     else:

@@ -1,25 +1,18 @@
 """Registered queries over the given tables, each with the SQL that states its result."""
 
+from __future__ import annotations
 
-def _load() -> None:
-    import importlib
+import importlib
 
-    for name in ("documents", "grids", "nearest", "catalogs", "lookup", "chats", "console", "streams"):
-        try:
-            importlib.import_module(f"{__name__}.{name}")
-        except ModuleNotFoundError as e:
-            print("MISSING", e)
+from .registry import ORACLES, QUERIES
 
+for _name in ("documents", "grids", "nearest", "catalogs", "lookup", "chats", "console", "streams"):
+    importlib.import_module(f"{__name__}.{_name}")
 
-def all_queries():
-    from .registry import QUERIES
 
-    _load()
+def all_queries() -> dict:
     return dict(QUERIES)
 
 
-def all_oracles():
-    from .registry import ORACLES
-
-    _load()
+def all_oracles() -> dict[str, str]:
     return dict(ORACLES)

@@ -130,7 +130,7 @@ CONTEXT = """contexts AS (SELECT q.query_id, coalesce(c.context, '(no text conte
 
 
 def _hits(spark, sf, queries):
-    return vectors.hydrate_hits(text_hits(spark, sf, queries), I.doc_chunks(spark, sf))
+    return vectors.hydrate_hits(text_hits(spark, sf, queries), I.text_base(spark, sf)["chunks"])
 
 
 @register("context_block", hits_sql(", " + CONTEXT.format("text_queries") + " SELECT * FROM contexts"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import names, text
 from ..operators import chunks, tables, vectors
 from ..session import scratch_path
+from ..sources.files import read_table
 
 DIM = 64
 
@@ -20,6 +21,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, f"{sf}/documents.parquet", "doc_id")
+
+
 # ---------------------------------------------------------------- SQL twins
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -132,7 +137,10 @@ def cells_sql(only: str | None = None) -> str:
 
 def stored(spark: SparkSession, sf: str, only: str | None = "star.xlsx") -> dict[str, DataFrame]:
     """Rows, headers, body, column catalog, sheet catalog and table catalog of the grids."""
-    rows = tables.cells_to_rows(cells(spark, sf, only))
+    return catalogs_of(tables.cells_to_rows(cells(spark, sf, only)))
+
+
+def catalogs_of(rows: DataFrame) -> dict[str, DataFrame]:
     headers = tables.header_info(rows)
     body = tables.body_rows(rows, headers)
     columns = tables.column_catalog(headers)
@@ -151,18 +159,20 @@ def knowledge_base(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """The workbook of whole tables as stored tables: rows, column, sheet and table catalogs as Parquet.
 
     Ingest writes them once per session and data folder to the shared folder; retrieval reads them. Rows are
-    laid out by table and row number, in pieces, so that a scan for some tables skips the others and a
-    dominant table is spread over many files.
+    laid out by ranges of table and row number, so that a scan for some tables skips the files of the
+    others and a dominant table is spread over many files.
     """
     key = (spark.sparkContext.applicationId, sf)
     if key not in _WRITTEN:
         root = scratch_path(spark, "kb")
-        made = stored(spark, sf)
-        piece = F.floor(F.col("row_no") / 1_000_000)
-        laid_out = made["body"].repartition("table_name", piece).sortWithinPartitions("table_name", "row_no")
+        tables.cells_to_rows(cells(spark, sf, "star.xlsx")).write.parquet(f"{root}/grid")
+        made = catalogs_of(spark.read.parquet(f"{root}/grid"))
+        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        laid_out = made["body"].repartitionByRange(ranges, "table_name", "row_no").sortWithinPartitions("table_name", "row_no")
         laid_out.write.parquet(f"{root}/rows")
-        for name in ("columns", "sheets", "tables"):
-            made[name].write.parquet(f"{root}/{name}")
+        sheets = tables.sheet_stats(made["headers"], spark.read.parquet(f"{root}/rows"))
+        for name, df in {"columns": made["columns"], "tables": made["tables"], "sheets": sheets}.items():
+            df.write.parquet(f"{root}/{name}")
         _WRITTEN[key] = root
     root = _WRITTEN[key]
     found = {name: spark.read.parquet(f"{root}/{name}") for name in ("rows", "columns", "sheets", "tables")}
@@ -173,7 +183,7 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as files; the kind goes with the language."""
     ext = F.expr("CASE lang WHEN 'de' THEN '.PDF' WHEN 'es' THEN '.docx' WHEN 'fr' THEN '.md' ELSE '.txt' END")
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), ext)
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf).select(
         "doc_id", name.alias("source"), names.file_kind(name).alias("kind"),
         F.when(F.col("lang") == "de", (F.col("doc_id") % 3 + 1).cast("int")).otherwise(1).alias("page"),
         "n_chars", "text",
@@ -192,6 +202,20 @@ def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.embed(doc_chunks(spark, sf), "preview", DIM)
 
 
+def text_base(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Chunks and vectors of the documents as stored tables, written once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf + "#text")
+    if key not in _WRITTEN:
+        root = scratch_path(spark, "text")
+        doc_chunks(spark, sf).write.parquet(f"{root}/chunks")
+        stored_chunks = spark.read.parquet(f"{root}/chunks")
+        embedded = vectors.embed(stored_chunks.select("chunk_id", "preview"), "preview", DIM)
+        embedded.select("chunk_id", "embedding").write.parquet(f"{root}/vectors")
+        _WRITTEN[key] = root
+    root = _WRITTEN[key]
+    return {name: spark.read.parquet(f"{root}/{name}") for name in ("chunks", "vectors")}
+
+
 def text_queries(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("query"))
 
@@ -217,7 +241,7 @@ def inventory_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
     """Words of the documents on pages of 400, eight to a line; odd documents have two heading lines per page."""
-    each = table(spark, sf, "documents").select("doc_id", F.posexplode(text.words(F.col("text"))).alias("pos", "text"))
+    each = documents(spark, sf).select("doc_id", F.posexplode(text.words(F.col("text"))).alias("pos", "text"))
     on_page = F.col("pos") % 400
     line = F.floor(on_page / 8)
     size = F.expr("CASE WHEN pos % 17 = 16 THEN NULL WHEN doc_id % 2 = 1 AND pos % 400 < 8 THEN 16.0D "

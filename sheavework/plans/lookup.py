@@ -127,7 +127,7 @@ _RESOURCE_ROWS = """r AS (SELECT query_id, rank, split_part(source, '#', 1) AS d
     FROM r LEFT JOIN by_page p ON p.source = r.document AND p.page = r.page LEFT JOIN by_source s ON s.source = r.document""".replace(", words AS", "\n, words AS", 1)))
 def text_resources(spark, sf):
     """Headings of documents by font size, and of Word documents that share the pages' numbers by style."""
-    hits = vectors.hydrate_hits(text_hits(spark, sf, I.text_queries(spark, sf)), I.doc_chunks(spark, sf))
+    hits = vectors.hydrate_hits(text_hits(spark, sf, I.text_queries(spark, sf)), I.text_base(spark, sf)["chunks"])
     pdf = chunks.headings_from_font_size(I.words(spark, sf)).select(
         F.regexp_replace("source", "[.]pdf$", ".PDF").alias("source"), "page", "level", "heading", F.col("first_word").cast("long").alias("heading_no"))
     docx = chunks.headings_from_styles(I.paragraphs(spark, sf)).select(
@@ -162,7 +162,7 @@ def route_inventory(spark, sf):
     FULL JOIN snippets s ON s.query_id = h.query_id""", "text_queries", *STORED))
 def retrieve(spark, sf):
     s, queries = stored(spark, sf), I.text_queries(spark, sf)
-    hits = vectors.hydrate_hits(text_hits(spark, sf, queries), I.doc_chunks(spark, sf))
+    hits = vectors.hydrate_hits(text_hits(spark, sf, queries), I.text_base(spark, sf)["chunks"])
     snippets = search.search_context(queries, s["tables"], s["columns"], s["body"], 3)
     both = search.retrieve(hits, snippets)
     return both.select("query_id", F.array_join(F.transform("hits", lambda h: h["chunk_id"]), ",").alias("chunk_ids"), "structured")

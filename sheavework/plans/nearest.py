@@ -100,8 +100,7 @@ def hits_sql(final: str, source: str = "text_queries", *needed: str) -> str:
 
 def text_hits(spark, sf, queries, k: int = 6):
     asked = vectors.embed(vectors.blank_query_filter(queries), "query", DIM)
-    corpus = I.chunk_vectors(spark, sf)
-    return vectors.knn_exact(corpus.select("chunk_id", "embedding"), asked.select("query_id", "embedding"), k, DIM)
+    return vectors.knn_exact(I.text_base(spark, sf)["vectors"], asked.select("query_id", "embedding"), k, DIM)
 
 
 @register("search_text", hits_sql("SELECT query_id, rank, chunk_id, score FROM hits"))
@@ -111,7 +110,7 @@ def search_text(spark, sf):
 
 @register("hydrate_hits", hits_sql("SELECT * FROM hydrated"))
 def hydrate_hits(spark, sf):
-    return vectors.hydrate_hits(search_text(spark, sf), I.doc_chunks(spark, sf))
+    return vectors.hydrate_hits(search_text(spark, sf), I.text_base(spark, sf)["chunks"])
 
 
 @register("blank_query_filter", sql(f"SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, '{I.NOT_WS}') AND role = 'user'"))
