@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark():
     from sheavework.session import build_session
 
-    session = build_session("tests", "local[8]", **{"spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+    session = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("OFF")
     yield session
     session.stop()
