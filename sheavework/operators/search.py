@@ -246,7 +246,8 @@ def text_resources(hits: DataFrame, headings: DataFrame, first_hits: int = 6, pd
     and then in the order of ``heading_no``.
     """
     document = F.substring_index("source", "#", 1)
-    top = hits.where(F.col("rank") <= first_hits).select("query_id", "rank", document.alias("document"), "page")
+    # Three branches read the hits, which are few per query.
+    top = settled(hits.where(F.col("rank") <= first_hits).select("query_id", "rank", document.alias("document"), "page"))
     suffix = F.lower("document")
     order = [F.col("level"), F.col("heading_no")]
 

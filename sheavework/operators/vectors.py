@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from ..functions import text, vectors
-from .spread import first_n, fits_broadcast, kept, salted_join
+from .spread import first_n, fits_broadcast, kept, salted_join, settled
 
 SCORE_DIGITS = 6
+MAX_CELLS = 65_536
 
 
 def blank_query_filter(queries: DataFrame, col: str = "query") -> DataFrame:
@@ -150,31 +151,20 @@ def _knn_few_queries(corpus: DataFrame, queries: DataFrame, k: int, dim: int) ->
     return corpus.mapInArrow(run, schema)
 
 
-def _knn_blocks(corpus: DataFrame, queries: DataFrame, k: int, dim: int, block_rows: int, cells: int) -> DataFrame:
+def _knn_blocks(corpus: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
     """Blocked scoring of two distributed sides that share a ``cell``.
 
-    Each cell's vectors and queries are cut into blocks of about ``block_rows``; every pair of blocks is one
-    group, so a group's size does not depend on how full a cell is. The block counts are one row per cell.
+    Each side is cut into ``c_blocks`` and ``q_blocks`` blocks per cell (columns of both sides); every pair of
+    blocks is one group, so a group's size does not depend on how full a cell is.
     """
-
-    def blocks(df: DataFrame, out: str) -> DataFrame:
-        return df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(out))
-
-    counts = blocks(corpus, "c_blocks").join(blocks(queries, "q_blocks"), "cell")
-    # One row per cell, so no more than ``cells`` rows.
-    assert cells <= 100_000
-    counts = F.broadcast(counts)
-    last = F.lit(1)
     left = (
-        corpus.join(counts, "cell")
-        .withColumn("c_block", F.pmod(F.xxhash64("chunk_id"), F.col("c_blocks")).cast("int"))
-        .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - last)))
+        corpus.withColumn("c_block", F.pmod(F.xxhash64("chunk_id"), F.col("c_blocks")).cast("int"))
+        .withColumn("q_block", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
         .select("cell", "c_block", "q_block", "chunk_id", "embedding")
     )
     right = (
-        queries.join(counts, "cell")
-        .withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int"))
-        .withColumn("c_block", F.explode(F.sequence(F.lit(0), F.col("c_blocks") - last)))
+        queries.withColumn("q_block", F.pmod(F.xxhash64("query_id"), F.col("q_blocks")).cast("int"))
+        .withColumn("c_block", F.explode(F.sequence(F.lit(0), F.col("c_blocks") - 1)))
         # Renamed columns keep the two sides apart when one table is searched with its own vectors.
         .select(*[F.col(c).alias(c) for c in ("cell", "c_block", "q_block", "query_id", "embedding")])
     )
@@ -212,8 +202,12 @@ def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, dim: int = 1024
     if broadcast_queries and fits_broadcast(queries, broadcast_queries):
         best = _knn_few_queries(corpus, queries, k, dim)
     else:
-        one_cell = F.lit(0).alias("cell")
-        best = _knn_blocks(corpus.select("*", one_cell), queries.select("*", one_cell), k, dim, block_rows, 1)
+        sizes = {
+            "c_blocks": F.lit(max(1, -(-corpus.count() // block_rows))).cast("int"),
+            "q_blocks": F.lit(max(1, -(-queries.count() // block_rows))).cast("int"),
+            "cell": F.lit(0),
+        }
+        best = _knn_blocks(corpus.withColumns(sizes), queries.withColumns(sizes), k, dim)
     return _rank(best, k)
 
 
@@ -223,6 +217,8 @@ def hydrate_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     The chunk table is cut down to the chunks that were hit first, so a chunk that is hit by many queries
     is repeated on the small side only.
     """
+    # k rows per query, read twice below; scoring them again would read the corpus again.
+    hits = settled(hits)
     wanted = hits.select("chunk_id").distinct()
     texts = chunks.join(wanted, "chunk_id", "left_semi").select("chunk_id", "text", "source", "page")
     return salted_join(hits, texts, ["chunk_id"], ["query_id", "rank"]).select(
@@ -281,7 +277,15 @@ def knn_approx(index: CellIndex, queries: DataFrame, k: int = 5, nprobe: int = 8
     """Top ``k`` within the probed cells, scored exactly. With ``nprobe`` = number of cells this is ``knn_exact``."""
     dim = index.centroids.shape[1]
     probes = index.probe(_valid(queries, dim, "query_id"), nprobe)
-    return _rank(_knn_blocks(index.vectors, probes, k, dim, block_rows, index.cells), k)
+
+    def blocks(df: DataFrame, out: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(out))
+
+    if index.cells > MAX_CELLS:
+        raise ValueError(f"{index.cells} cells, at most {MAX_CELLS}")
+    # One row per cell, so no more than MAX_CELLS small rows.
+    counts = F.broadcast(blocks(index.vectors, "c_blocks").join(blocks(probes, "q_blocks"), "cell"))
+    return _rank(_knn_blocks(index.vectors.join(counts, "cell"), probes.join(counts, "cell"), k, dim), k)
 
 
 def scored_pair_share(index: CellIndex, queries: DataFrame, nprobe: int) -> DataFrame:
@@ -294,8 +298,8 @@ def scored_pair_share(index: CellIndex, queries: DataFrame, nprobe: int) -> Data
 
 
 def default_cells(rows: int) -> int:
-    """About the square root of the number of vectors, between 1 and 65,536."""
-    return max(1, min(65_536, int(math.sqrt(max(rows, 1)))))
+    """About the square root of the number of vectors, between 1 and the largest number allowed."""
+    return max(1, min(MAX_CELLS, int(math.sqrt(max(rows, 1)))))
 
 
 def similarity_scores(hits: DataFrame, distance: str = "distance") -> DataFrame:
