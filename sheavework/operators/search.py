@@ -30,9 +30,18 @@ def distinct_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def _grams(col: Column, lengths: Iterable[int] = range(1, GRAM + 1)) -> Column:
-    """Distinct pieces of the given lengths. A look-ahead yields overlapping pieces in one linear walk."""
-    runs = [F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sorted(lengths)]
-    return F.array_distinct(F.concat(*runs))
+    """Distinct pieces of the given lengths (and, at the end of the text, some shorter ones).
+
+    A look-ahead yields the pieces that start at each character in one linear walk; shorter ones are
+    their beginnings.
+    """
+    longest = max(lengths)
+    starts = F.array_distinct(F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{1,{longest}}}))"), F.lit(1)))
+    shorter = [n for n in sorted(lengths) if n < longest]
+    if not shorter:
+        return starts
+    heads = F.transform(starts, lambda g: F.array(*[F.substring(g, 1, n) for n in shorter], g))
+    return F.array_distinct(F.flatten(heads))
 
 
 def _with_key(tokens: DataFrame) -> DataFrame:
