@@ -111,6 +111,24 @@ def _row_text(values: str = "values") -> Column:
     return F.lower(F.array_join(F.filter(values, lambda v: v.isNotNull()), "\n"))
 
 
+def _match_patterns(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows with a cell that is LIKE ``%token%``. Cells and patterns meet on the pattern's first literal characters.
+
+    A pattern of wildcards only fits every cell that is long enough, which is then its result.
+    """
+    cells = rows.select("table_name", "row_no", F.explode("values").alias("v")).where(F.col("v").isNotNull())
+    cells = cells.select("table_name", "row_no", F.lower("v").alias("cell"))
+    literal = F.regexp_extract("token", "([^%_]+)", 1)
+    patterns = wanted.select("table_name", "token").distinct().withColumn("gram", F.substring(literal, 1, GRAM))
+    like = F.expr("cell LIKE concat('%', token, '%') ESCAPE '\\u0001'")
+    pieces = cells.withColumn("gram", F.explode(_grams(F.col("cell"))))
+    met = salted_join(pieces, patterns.where("gram <> ''"), ["table_name", "gram"], ["row_no"]).where(like)
+    open_ended = patterns.where("gram = ''").withColumn("least", F.char_length(F.replace("token", F.lit("%"), F.lit("")))).drop("gram")
+    fit = salted_join(cells, open_ended, ["table_name"], ["row_no"]).where(F.char_length("cell") >= F.col("least"))
+    columns = ["table_name", "row_no", "token"]
+    return met.select(*columns).unionByName(fit.select(*columns)).distinct()
+
+
 def match_row_tokens(rows: DataFrame, wanted: DataFrame, wildcards: bool = False, broadcast_rows: int = BROADCAST_ROWS,
                      max_passes: int = 64) -> DataFrame:
     """(table_name, row_no, token): rows of a table with the tokens of ``wanted(table_name, token)`` they hold.
@@ -120,14 +138,9 @@ def match_row_tokens(rows: DataFrame, wanted: DataFrame, wildcards: bool = False
     ``max_passes`` parts, pieces of rows are joined with the pairs by shuffle instead.
     With ``wildcards`` the characters ``%`` and ``_`` of a token act as in LIKE.
     """
-    texts = rows.select("table_name", "row_no", _row_text().alias("row_text"))
     if wildcards:
-        # A pattern has no fixed first characters: each table's patterns are tried on each of its rows.
-        patterns = wanted.select("table_name", "token").distinct()
-        like = F.expr("row_text LIKE concat('%', token, '%') ESCAPE '\\u0001'")
-        cells = rows.select("table_name", "row_no", F.explode("values").alias("v")).select("table_name", "row_no", F.lower("v").alias("row_text"))
-        return salted_join(cells, patterns, ["table_name"], ["row_no"]).where(like).select("table_name", "row_no", "token").distinct()
-
+        return _match_patterns(rows, wanted)
+    texts = rows.select("table_name", "row_no", _row_text().alias("row_text"))
     pairs = _with_key(wanted.select("table_name", "token").distinct())
     size = F.octet_length("table_name") + F.octet_length("token")
     measured = pairs.agg(F.count("*").alias("n"), F.sum(size).alias("b"), F.collect_set(F.char_length("gram")).alias("lengths")).first()

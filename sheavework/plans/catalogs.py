@@ -91,7 +91,7 @@ def document_rollup(spark, sf):
 @register("list_documents", sql("""SELECT source, kind, n_chars AS bytes, 0 AS sheet_count, 0 AS table_count,
     strftime(TIMESTAMP '2024-01-01' + to_seconds(doc_id * 37), '%Y-%m-%d %H:%M') AS ingested FROM files""", "files"))
 def list_documents(spark, sf):
-    at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 37)
+    at = F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, doc_id * 37)")
     documents = I.files(spark, sf).select("source", "kind", F.col("n_chars").alias("bytes"), F.lit(0).alias("sheet_count"), F.lit(0).alias("table_count"), at.alias("ingested_at"))
     return catalog.list_documents(documents)
 
