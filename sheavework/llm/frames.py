@@ -9,17 +9,28 @@ from ..operators.spread import fits_broadcast
 from ..session import scratch_path
 
 
+def _place(df: DataFrame, name: str) -> int:
+    found = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not found:
+        raise ValueError(f"column {name} is missing from {df.columns}")
+    return found[0]
+
+
 def narrow(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns, found by their exact spelling first; other columns may have any name, also a clashing one."""
-    places = []
-    for name in names:
-        exact = [i for i, c in enumerate(df.columns) if c == name]
-        loose = [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
-        if not exact and not loose:
-            raise ValueError(f"column {name} is missing from {df.columns}")
-        places.append((exact or loose)[0])
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return plain.select(*[F.col(f"c{i}").alias(n) for i, n in zip(places, names, strict=True)])
+    return plain.select(*[F.col(f"c{_place(df, n)}").alias(n) for n in names])
+
+
+def pack(df: DataFrame, names: list[str]) -> DataFrame:
+    """The named columns, and the whole row in one column ``_row``, so that no other column can clash."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.select(*[F.col(f"c{_place(df, n)}").alias(n) for n in names], F.struct(*plain.columns).alias("_row"))
+
+
+def unpack(packed: DataFrame, like: DataFrame) -> DataFrame:
+    """The rows of ``pack`` again, under the columns of ``like``."""
+    return packed.select("_row.*").toDF(*like.columns)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
