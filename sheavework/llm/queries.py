@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, near, private, sharding
+from . import bpe, exact, near, packing, private, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -52,3 +52,19 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.private_spans(documents(spark, sf_dir))
+
+
+def word_bpe(path: str | None = None) -> Callable[[], Callable]:
+    """A factory for ``packing``: the encoder of a tokenizers file, by default that of the public vocabulary."""
+
+    def load() -> Callable:
+        import public_tokenizers
+
+        return bpe.WordEncoder(path or public_tokenizers.path("word_bpe_49k.json")).encode
+
+    return load
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(documents(spark, sf_dir), word_bpe(), end_id=1, room=4096)
