@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, near, packing, private, sharding
+from . import bpe, exact, language, near, packing, private, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,3 +68,8 @@ def word_bpe(path: str | None = None) -> Callable[[], Callable]:
 @query
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir), word_bpe(), end_id=1, room=4096)
+
+
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predicted_languages(documents(spark, sf_dir), modulus=4, rest=2)
