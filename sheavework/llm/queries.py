@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, language, near, neighbours, packing, private, sharding, toxicity
+from . import bpe, counting, exact, language, near, neighbours, packing, private, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -83,3 +83,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), query_modulus=100, k=10)
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = counting.byte_level_pieces(public_tokenizers.path("byte_bpe_50k.json"))
+    return counting.token_counts(documents(spark, sf_dir), pieces)
