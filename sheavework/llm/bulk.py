@@ -39,14 +39,22 @@ class Hasher:
             steps[1:] = np.uint64(_BASE_INVERSE)
             self.inverses = np.multiply.accumulate(steps)
 
-    def slices(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        """Prefix sums of a byte array, or of an array of code points, from which any slice's hash follows."""
         n = len(data)
         self._grow(n + 1)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(np.arange(256, dtype=np.uint64) + np.uint64(1))[data] * self.powers[:n], out=sums[1:])
+        marks = mix(np.arange(256, dtype=np.uint64) + np.uint64(1))[data] if data.dtype == np.uint8 else mix(data.astype(np.uint64) + np.uint64(1))
+        np.cumsum(marks * self.powers[:n], out=sums[1:])
+        return sums
+
+    def of(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         raw = (sums[ends] - sums[starts]) * self.inverses[starts]
         return mix(raw ^ ((ends - starts).astype(np.uint64) * np.uint64(_ORDERED[0])))
 
+    def slices(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self.of(self.sums(data), starts, ends)
+
 
 def combined(parts: list[np.ndarray]) -> np.ndarray:
     """One hash of several hashes in their order."""

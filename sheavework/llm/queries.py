@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, counting, exact, language, near, neighbours, packing, private, sharding, toxicity
+from . import bpe, counting, exact, language, near, neighbours, packing, pieces, private, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -89,5 +89,13 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    pieces = counting.byte_level_pieces(public_tokenizers.path("byte_bpe_50k.json"))
-    return counting.token_counts(documents(spark, sf_dir), pieces)
+    vocabulary = counting.byte_level_pieces(public_tokenizers.path("byte_bpe_50k.json"))
+    return counting.token_counts(documents(spark, sf_dir), vocabulary)
+
+
+@query
+def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digests(pieces.encoded(documents(spark, sf_dir), path), path)
