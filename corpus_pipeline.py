@@ -1,17 +1,54 @@
-"""The pipeline from raw documents to packed sequences, stage by stage."""
+"""The pipeline from raw documents to packed sequences, stage by stage.
+
+A stage takes (spark, docs, sf_dir) and returns rows with the columns of documents, the last one the packed pieces. Each
+result is written and read again before the next stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from sheavework.llm import exact, language, near, packing, private
 from sheavework.llm.frames import settle
+from sheavework.llm.queries import word_bpe
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.recognised(docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact.first_of_each(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.one_of_each(docs, words=5, percent=80)
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean = private.redacted(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(docs, word_bpe(), end_id=1, room=4096)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("exact", drop_exact_copies),
+    ("near", drop_near_copies),
+    ("private", redact_personal_data),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+#: Models and tokenizers cannot be stated in SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage is written and read again before the next."""
+    """The packed pieces of ``documents``: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), name)

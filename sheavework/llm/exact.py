@@ -77,6 +77,6 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns as they are; of rows that repeat id and text, one."""
     stay = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = pack(docs, ["doc_id", "text"]).withColumn("_digest", F.sha2(normalised(F.col("text")), 256))
+    marked = pack(docs, ["doc_id", "text"]).select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("_digest"), "_row")
     met = marked.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
     return unpack(met.dropDuplicates(["doc_id", "_digest"]), docs)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bulk
-from .frames import narrow, settle
+from .frames import narrow, pack, settle, unpack
 
 ORDER = 4
 MODEL_GRAMS = 2_000_000  # bound of the model's size; beyond it the rarest grams of all languages go first
@@ -308,3 +308,10 @@ def predicted_languages(docs: DataFrame, modulus: int = 4, rest: int = 2) -> Dat
     docs = narrow(docs, "doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id"), modulus, rest))
     model = fit(docs.where("not held_out").select("doc_id", "lang", "text"))
     return scored(docs, model, "doc_id", "held_out")
+
+
+def recognised(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang and others) that are not rejected, as they are; models learn from all rows
+    that have a language. Texts without letters go, and texts beyond what any document of their language shows."""
+    model = fit(narrow(docs, "doc_id", "lang", "text"))
+    return unpack(scored(pack(docs, ["text"]), model, "_row").where("not rejected"), docs)

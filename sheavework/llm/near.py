@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bulk
-from .frames import components, narrow, settle, small_side
+from .frames import components, narrow, pack, settle, small_side, unpack
 
 SKETCH = 48  # values kept for estimates
 LISTED = 32  # smallest of them, which go to the inverted lists
@@ -216,3 +216,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = sketched.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of each component the one with the smallest doc_id.
+
+    Rows that share a doc_id stay or go together. A row without a doc_id stays, as no id names it.
+    """
+    found = near_duplicates(docs, words, percent).where("doc_id is not null")
+    gone = settle(found.groupBy("doc_id").agg(F.max("kept").alias("_stays")).where("not _stays").select("doc_id"), "gone")
+    return unpack(pack(docs, ["doc_id"]).join(small_side(gone), "doc_id", "left_anti"), docs)
