@@ -203,12 +203,6 @@ def purge_vectors(vectors: DataFrame, purged_chunks: DataFrame) -> DataFrame:
     return vectors.join(purged_chunks.select("chunk_id"), "chunk_id", "left_semi")
 
 
-def drop_views(spark, names: Sequence[str]) -> None:
-    for name in names:
-        spark.catalog.dropTempView(name)
-        spark.sql(f"DROP TABLE IF EXISTS `{name}`")
-
-
 def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once; empty for a sound catalog table."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -96,7 +96,7 @@ def summary_prompts(sessions: DataFrame, transcripts: DataFrame) -> DataFrame:
 
 
 def export_sessions(asked: DataFrame, sessions: DataFrame, messages: DataFrame, part_messages: int = 1000) -> DataFrame:
-    """(session_id, part_no, session, messages): a session with its messages in order.
+    """(session_id, part_no, n_parts, session, messages): a session with its messages in order.
 
     An unknown session has a NULL ``session`` and no messages. ``part_messages`` message numbers make one part, so
     a session of up to that many messages is one row and a longer one several; no array grows with the session.
@@ -116,13 +116,18 @@ def export_sessions(asked: DataFrame, sessions: DataFrame, messages: DataFrame,
     )
     known = wanted.join(head, "session_id", "left")
     none = F.array().cast("array<struct<role:string,content:string,created_at:%s>>" % messages.schema["created_at"].dataType.simpleString())
+    known = known.join(parts.groupBy("session_id").agg(F.count("*").cast("int").alias("n_parts")), "session_id", "left")
     return known.join(parts, "session_id", "left").select(
-        "session_id", F.coalesce("part_no", F.lit(0)).alias("part_no"), "session", F.coalesce("messages", none).alias("messages")
+        "session_id", F.coalesce("part_no", F.lit(0)).alias("part_no"), F.coalesce("n_parts", F.lit(1)).alias("n_parts"), "session", F.coalesce("messages", none).alias("messages")
     )
 
 
 def export_json(exports: DataFrame) -> DataFrame:
-    """(session_id, part_no, json) with the keys ``session`` and ``messages``."""
+    """(session_id, part_no, json) with the keys ``session`` and ``messages``, and ``part_no`` and ``n_parts`` where a session has
+    several parts."""
+    several = F.col("n_parts") > 1
+    part = [F.when(several, F.col(c)).alias(c) for c in ("part_no", "n_parts")]
+    whole, split = F.struct("session", "messages"), F.struct("session", *part, "messages")
     return exports.select(
-        "session_id", "part_no", F.to_json(F.struct("session", "messages"), {"ignoreNullFields": "false"}).alias("json")
+        "session_id", "part_no", F.when(several, F.to_json(split, {"ignoreNullFields": "false"})).otherwise(F.to_json(whole, {"ignoreNullFields": "false"})).alias("json")
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -253,19 +252,14 @@ class CellIndex:
         return queries.withColumn("cell", F.explode(nearest("embedding")))
 
 
-def build_cells(corpus: DataFrame, dim: int, cells: int = 32, train_rows: int = 1_000_000, seed: int = 42) -> CellIndex:
-    """Fit the centroids (on at most about ``train_rows`` vectors) and put every vector into its cell.
-
-    Only the position of the centroids depends on the training rows; all vectors are indexed.
-    """
+def build_cells(corpus: DataFrame, dim: int, cells: int = 32, seed: int = 42) -> CellIndex:
+    """Fit the centroids on all vectors and put every vector into its cell."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     usable = _valid(corpus, dim, "chunk_id")
     with_vector = usable.withColumn("features", array_to_vector("embedding"))
-    total = usable.count()
-    train = with_vector if total <= train_rows else with_vector.sample(fraction=train_rows / total, seed=seed)
-    train = kept(train.select("features"))
+    train = kept(with_vector.select("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(train)
     train.unpersist()
     centroids = np.array(model.clusterCenters(), dtype=np.float64)
@@ -295,12 +289,3 @@ def scored_pair_share(index: CellIndex, queries: DataFrame, nprobe: int) -> Data
     sizes = index.vectors.groupBy("cell").agg(F.count("*").alias("n"))
     scored = probes.join(sizes, "cell").agg(F.sum(F.col("q") * F.col("n")).alias("scored"))
     return scored.select("scored", (F.col("scored") / F.lit(float(max(1, index.vectors.count() * queries.count())))).alias("share"))
-
-
-def default_cells(rows: int) -> int:
-    """About the square root of the number of vectors, between 1 and the largest number allowed."""
-    return max(1, min(MAX_CELLS, int(math.sqrt(max(rows, 1)))))
-
-
-def similarity_scores(hits: DataFrame, distance: str = "distance") -> DataFrame:
-    return hits.withColumn("score", vectors.similarity_from_distance(F.col(distance)))

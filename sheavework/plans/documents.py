@@ -62,7 +62,7 @@ def read_csv_text(spark, sf):
     note = F.concat(F.lit('said "'), F.col("o_custkey").cast("string"), F.lit('",\n'))
     source = I.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", note.alias("note"), F.lit("").alias("empty"))
     source.write.option("header", True).option("escape", '"').option("quoteAll", True).option("ignoreTrailingWhiteSpace", False).csv(path)
-    return files.read_csv_text(spark, path)
+    return files.read_csv_text(spark, path, multi_line=True)
 
 
 @register("read_text_lossy", sql("SELECT source, kind, octet_length(encode(text)) + 2 AS bytes, text FROM files WHERE kind IN ('text', 'other')", "files"))

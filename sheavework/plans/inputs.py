@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions import names, text
 from ..operators import chunks, tables, vectors
 from ..session import scratch_path
-from ..sources.files import read_table
 
 DIM = 64
 
@@ -22,7 +21,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_table(spark, f"{sf}/documents.parquet", "doc_id")
+    return spark.read.parquet(f"{sf}/documents.parquet")
 
 
 # ---------------------------------------------------------------- SQL twins
@@ -254,15 +253,16 @@ def words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Fixed value: the opening tags whose text becomes a paragraph.
-PARAGRAPH_PATTERN = "<(h1|title|p)>([^<]*)<"
+PARAGRAPH_TAGS = "<(h1|title|p)>"
 
 
 def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     html = F.col("html")
-    both = F.arrays_zip(
-        F.regexp_extract_all(html, F.lit(PARAGRAPH_PATTERN), F.lit(1)).alias("tag"),
-        F.regexp_extract_all(html, F.lit(PARAGRAPH_PATTERN), F.lit(2)).alias("text"),
-    )
+    # Cut before every opening tag; a paragraph ends at its closing tag or at the next cut, and inner tags are taken out.
+    cut = F.split(F.regexp_replace(html, PARAGRAPH_TAGS, "\u0001$1\u0002"), "\u0001")
+    body = lambda x: F.split_part(F.substring_index(x, "\u0002", -1), F.concat(F.lit("</"), tag(x), F.lit(">")), F.lit(1))
+    tag = lambda x: F.substring_index(x, "\u0002", 1)
+    both = F.transform(F.slice(cut, F.lit(2), F.size(cut)), lambda x: F.struct(tag(x).alias("tag"), F.regexp_replace(body(x), "<[^>]*>", "").alias("text")))
     style = F.expr("CASE p.tag WHEN 'h1' THEN 'Heading 1' WHEN 'title' THEN 'heading' ELSE 'Normal' END")
     return (
         table(spark, sf, "pages")
@@ -348,8 +348,10 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         CASE WHEN pos % 17 = 16 THEN NULL WHEN doc_id % 2 = 1 AND pos % 400 < 8 THEN 16.0 WHEN doc_id % 2 = 1 AND pos % 400 < 16 THEN 13.0 ELSE 10.0 END::DOUBLE AS size, text
         FROM (SELECT doc_id, unnest(ws) AS text, unnest(range(len(ws))) AS pos FROM (SELECT doc_id, {words_sql('text')} AS ws FROM documents))"""),
     "paragraphs": ((), f"""SELECT 'page_' || page_id || '.docx' AS source, para_no, CASE tag WHEN 'h1' THEN 'Heading 1' WHEN 'title' THEN 'heading' ELSE 'Normal' END AS style, text
-        FROM (SELECT page_id, unnest(range(len(tags))) AS para_no, unnest(tags) AS tag, unnest(texts) AS text FROM (
-        SELECT page_id, regexp_extract_all(html, '{PARAGRAPH_PATTERN}', 1) AS tags, regexp_extract_all(html, '{PARAGRAPH_PATTERN}', 2) AS texts FROM pages))"""),
+        FROM (SELECT page_id, para_no, tag, regexp_replace(split_part(split_part(part, chr(2), -1), '</' || tag || '>', 1), '<[^>]*>', '', 'g') AS text FROM (
+        SELECT page_id, para_no, part, split_part(part, chr(2), 1) AS tag FROM (
+        SELECT page_id, unnest(range(len(parts) - 1)) AS para_no, unnest(parts[2:]) AS part FROM (
+        SELECT page_id, string_split(regexp_replace(html, '{PARAGRAPH_TAGS}', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM pages))))"""),
     "sessions": ((), "SELECT DISTINCT 'sess_' || conv_id AS session_id, 'Chat ' || conv_id AS title, 'user' AS \"user\", 1704067200 + conv_id * 60 AS created_at FROM conversations"),
     "messages": ((), "SELECT 'sess_' || conv_id AS session_id, turn + 1 AS msg_no, role, text AS content, 1704067200 + conv_id * 60 + turn AS created_at FROM conversations"),
     "chat_queries": ((), "SELECT 'sess_' || conv_id AS query_id, 'sess_' || conv_id AS session_id, text AS query FROM conversations WHERE turn = 0"),

@@ -35,8 +35,10 @@ def build_session(app_name: str = "sheavework", master: str | None = None, **set
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The shared folder named in ``spark.checkpoint.dir``; where it is unset, a temporary one for local masters only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():

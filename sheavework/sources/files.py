@@ -12,22 +12,6 @@ from pyspark.sql.types import StructType
 from ..functions import names, text
 
 
-SMALL_SCAN_BYTES_PER_CORE = 32 << 20
-
-
-def read_table(spark: SparkSession, path: str, spread_by: str | None = None) -> DataFrame:
-    """A Parquet table. A small one is spread over the cores by a key, since a file with one row group is one task.
-
-    Above 32 MB per core the scan has enough splits of its own and is left as it is.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if spread_by is None or cores == 1 or size >= cores * SMALL_SCAN_BYTES_PER_CORE:
-        return df
-    return df.repartition(cores, spread_by)
-
-
 def scan_corpus(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
     """(path, name, modificationTime, length, content) of every file. Content is only read where it is used."""
     files = (
@@ -73,9 +57,10 @@ def extract(files: DataFrame, extractor: Callable[[], Extractor], schema: str |
     return files.select("name", "content").mapInPandas(run, out)
 
 
-def read_csv_text(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
-    """All columns as text, empty fields as the empty string, quoted line ends kept."""
-    read = spark.read.csv(path, header=header, inferSchema=False, multiLine=True, escape='"', nullValue="\u0000", emptyValue="")
+def read_csv_text(spark: SparkSession, path: str, header: bool = True, multi_line: bool = False) -> DataFrame:
+    """All columns as text, empty fields as the empty string. ``multi_line`` keeps line ends inside quotes, at the price of
+    one task per file; without it files are split."""
+    read = spark.read.csv(path, header=header, inferSchema=False, multiLine=multi_line, escape='"', nullValue="\u0000", emptyValue="")
     return read.na.fill("")
 
 

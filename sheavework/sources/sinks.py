@@ -21,10 +21,8 @@ def materialize(rows: DataFrame, columns: DataFrame, table_name: str, path: str
 
 
 def export_session_json(asked: DataFrame, sessions: DataFrame, messages: DataFrame, path: str, part_messages: int = 1000) -> None:
-    """One JSON object per session part with session and messages, in the order of session and part."""
-    export_json(export_sessions(asked, sessions, messages, part_messages)).orderBy("session_id", "part_no").select(
-        F.col("json").alias("value")
-    ).write.mode("overwrite").text(path)
+    """One JSON object per session part with session and messages; parts carry their number and how many there are."""
+    export_json(export_sessions(asked, sessions, messages, part_messages)).select(F.col("json").alias("value")).write.mode("overwrite").text(path)
 
 
 def export_text(df: DataFrame, path: str, name: str = "feature", text: str = "text") -> None:

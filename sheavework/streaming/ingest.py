@@ -1,7 +1,7 @@
 """Structured Streaming jobs that write into folders with one sub-folder per micro-batch.
 
-A batch always writes to ``<table>/batch_no=<n>`` and overwrites that folder, so a batch that is run again
-after a failure leaves the same rows as one that ran once.
+A batch always writes to ``<table>/run_no=<r>/batch_no=<n>`` and overwrites that folder, so a batch that is run again
+after a failure leaves the same rows as one that ran once, and no batch of another run is touched.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ def read_stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _write_batch(df: DataFrame, table: str, number: int) -> None:
-    df.write.mode("overwrite").parquet(f"{table}/batch_no={number}")
+def _write_batch(df: DataFrame, table: str, run_no: int, number: int) -> None:
+    df.write.mode("overwrite").parquet(f"{table}/run_no={run_no}/batch_no={number}")
 
 
 def _run(stream: DataFrame, table: str, checkpoint: str, each: Callable[[DataFrame, int], None], once: bool) -> StreamingQuery:
@@ -45,14 +45,13 @@ def stream_ingest(docs: DataFrame, table: str, checkpoint: str, run_no: int = 0,
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        mine = run_no * 1_000_000 + number
         chunks = text_chunks(batch, size)
         stored = read_stored(spark, table)
         if stored is None:
             fresh = new_chunks(chunks.limit(0), chunks, [F.col("text")])
         else:
-            fresh = new_chunks(stored.where(F.col("batch_no") != mine), chunks, [F.col("text")])
-        _write_batch(fresh, table, mine)
+            fresh = new_chunks(stored.where((F.col("run_no") != run_no) | (F.col("batch_no") != number)), chunks, [F.col("text")])
+        _write_batch(fresh, table, run_no, number)
 
     return _run(docs, table, checkpoint, each, once)
 
@@ -68,16 +67,16 @@ def stream_catalog_upsert(entries: DataFrame, table: str, checkpoint: str, keys:
     """Keep every batch's last entry per key; ``current_catalog`` gives the last over all batches."""
 
     def each(batch: DataFrame, number: int) -> None:
-        _write_batch(latest_per_key(batch, keys, order), table, run_no * 1_000_000 + number)
+        _write_batch(latest_per_key(batch, keys, order), table, run_no, number)
 
     return _run(entries, table, checkpoint, each, once)
 
 
 def current_catalog(spark: SparkSession, table: str, keys: Sequence[str]) -> DataFrame:
-    return latest_per_key(spark.read.parquet(table), keys, [F.col("batch_no").desc()]).drop("batch_no")
+    return latest_per_key(spark.read.parquet(table), keys, [F.col("run_no").desc(), F.col("batch_no").desc()]).drop("run_no", "batch_no")
 
 
 def compact_catalog(spark: SparkSession, table: str, target: str, keys: Sequence[str]) -> DataFrame:
     """Write the current entries to a new folder and return it; readers move over when it is complete."""
-    current_catalog(spark, table, keys).write.mode("errorifexists").parquet(f"{target}/batch_no=0")
+    current_catalog(spark, table, keys).write.mode("errorifexists").parquet(f"{target}/run_no=0/batch_no=0")
     return spark.read.parquet(target)

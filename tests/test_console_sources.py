@@ -62,7 +62,7 @@ def test_corpus(spark, tmp_path):
     assert {(r.name, r.kind, r.length) for r in found.collect()} == {("a.txt", "text", 8), ("b.bin", "other", 2), ("c.csv", "csv", len((tmp_path / "c.csv").read_bytes()))}
     read = files.read_text_lossy(found)
     assert [(r.source, r.text) for r in read.collect()] == [("a.txt", "one two")]
-    table = files.read_csv_text(spark, str(tmp_path / "c.csv"))
+    table = files.read_csv_text(spark, str(tmp_path / "c.csv"), multi_line=True)
     assert [tuple(r) for r in table.collect()] == [("1,5", ""), ('say "q"', "l\nm")]
 
     def extractor():
