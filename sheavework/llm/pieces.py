@@ -113,8 +113,31 @@ class Lattice:
     def transfer(self, points: np.ndarray, length: int, last: bool) -> np.ndarray:
         """The matrix of best scores of a chunk of ``length`` characters from each state before it to each state behind.
 
-        ``points`` holds the chunk and up to ``longest - 1`` characters that follow. All entries go side by side.
+        ``points`` holds the chunk and up to ``longest - 1`` characters that follow. No piece crosses into a word, so what
+        lies between the first and the last word of the chunk adds one score to all paths.
         """
+        bounds = self._bounds(points, length)
+        if len(bounds):
+            first, end = int(bounds[0]), int(bounds[-1])
+            head = self._swept(points[:first], first, True)[:, :1]
+            tail = self._swept(points[end:], length - end, last)[:1]
+            return np.maximum(head + tail + self._between(points, bounds)[1], NONE)
+        return self._swept(points, length, last)
+
+    def _bounds(self, points: np.ndarray, length: int) -> np.ndarray:
+        """Where words begin inside the chunk, if words are independent."""
+        mark = points[:length] == ord(SPACE)
+        return np.flatnonzero(mark[1:] & ~mark[:-1]) + 1 if self.by_word else np.zeros(0, np.int64)
+
+    def _between(self, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, float]:
+        """Ids and score of the words between the first and the last bound; equal words are segmented once."""
+        starts, ends = bounds[:-1], bounds[1:]
+        _, first, which = np.unique(self.hasher.slices(points, starts, ends), return_index=True, return_inverse=True)
+        ids, offsets, scores = self.words(points, starts[first], ends[first])
+        return bulk.ragged(ids, offsets, which)[0], float(scores[which].sum())
+
+    def _swept(self, points: np.ndarray, length: int, last: bool) -> np.ndarray:
+        """``transfer`` position by position; all entries go side by side."""
         wide = self.longest
         scores, _ = self.steps(points)
         best = np.full((len(points) + wide, wide), NONE)
@@ -135,8 +158,18 @@ class Lattice:
                 out[:, exit_] = best[length + exit_ + wide - 1]
         return out
 
-    def segment(self, points: np.ndarray, entry: int, target: int) -> tuple[list[int], float]:
-        """Piece numbers (or -1 - position for a character in bytes) of the best path from one position to another."""
+    def trace(self, points: np.ndarray, length: int, entry: int, exit_: int) -> np.ndarray:
+        """Ids of the best path through a chunk between two fixed states."""
+        bounds = self._bounds(points, length)
+        if not len(bounds):
+            return np.array(self.path_ids(self.segment(points, entry, length + exit_), points), np.int64)
+        first, end = int(bounds[0]), int(bounds[-1])
+        head = self.path_ids(self.segment(points, entry, first), points)
+        tail = self.path_ids(self.segment(points[end:], 0, length - end + exit_), points[end:])
+        return np.concatenate((np.array(head, np.int64), self._between(points, bounds)[0], np.array(tail, np.int64)))
+
+    def segment(self, points: np.ndarray, entry: int, target: int) -> list[int]:
+        """Piece numbers (or minus the position behind, for a character in bytes) of the best path between two positions."""
         scores, numbers = self.steps(points[:target])
         best, back = np.full(target + 1, NONE), np.zeros(target + 1, np.int64)
         best[entry] = 0.0
@@ -150,7 +183,7 @@ class Lattice:
             number = int(numbers[p - 1, back[p] - 1])
             path.append(number if number >= 0 else -p)
             p -= int(back[p])
-        return path[::-1], float(best[target])
+        return path[::-1]
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Best paths of many slices of code points, those of a length side by side: ids, offsets per slice, scores."""
@@ -301,8 +334,8 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         lattice = Lattice(sent.value)
         for key, k, size, part, entry, exit_, score in bulk.rows_of(batches):
             points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-            path_, _ = lattice.segment(points, entry, size + exit_)
-            yield pa.RecordBatch.from_pydict({"key": [key], "chunk": pa.array([k], pa.int32()), "ids": pa.array([lattice.path_ids(path_, points)], pa.list_(pa.int32())), "score": [score]})
+            ids = lattice.trace(points, size, entry, exit_)
+            yield pa.RecordBatch.from_pydict({"key": [key], "chunk": pa.array([k], pa.int32()), "ids": pa.array([ids.astype(np.int32)], pa.list_(pa.int32())), "score": [score]})
 
     paths = chunks.join(fixed, ["key", "chunk"]).select("key", "chunk", "size", "part", "entry", "exit", "score").mapInArrow(traced, ENCODED)
     met = paths.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("all"), F.first("score").alias("score"))
