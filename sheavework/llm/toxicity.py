@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ from . import bulk
 from .frames import narrow
 from .language import held_out
 
-SAMPLE_ROWS = 3000  # labelled rows of each class, about, that the machine is fitted on
+SAMPLE_ROWS = 2000  # labelled rows of each class, about, that the machine is fitted on
 POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS, LANDMARK_BYTES = 32, 8, 10
 DECAY = np.float32(0.8)  # weight of each byte that a subsequence of three spans
 SHARPNESS = 3  # power of the normalised kernel, a kernel again, in which likeness of common endings counts for less
@@ -30,7 +29,7 @@ def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     """Bytes of the lower-cased texts; starts, ends and text numbers of what is scored.
 
     These are the words without the ASCII punctuation at their ends and inside ("i.d.i.o.t"), runs of at least three single
-    letters ("i d i o t") as one span, and windows of long words.
+    letters ("i d i o t") as one span, with and without the first, and windows of long words.
     """
     data, begins = bulk.joined([t.lower().encode("utf-8", "replace") for t in texts])
     solid = ((data >= 48) & (data <= 57)) | ((data >= 97) & (data <= 122)) | (data >= 128)
@@ -43,10 +42,11 @@ def word_spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     extra, at, size = [], [], len(data)
     for a, b in zip(np.flatnonzero(step == 1).tolist(), np.flatnonzero(step == -1).tolist(), strict=True):
         if b - a >= 3 and owner[a] == owner[b - 1]:
-            letters = np.concatenate([data[starts[k] : ends[k]] for k in range(a, b)])
-            extra.append(letters)
-            at.append((size, size + len(letters), owner[a]))
-            size += len(letters)
+            for begin in (a, a + 1):  # the first may be a word of its own, as in "a m o r o n"
+                letters = np.concatenate([data[starts[k] : ends[k]] for k in range(begin, b)])
+                extra.append(letters)
+                at.append((size, size + len(letters), owner[a]))
+                size += len(letters)
     if extra:
         data = np.concatenate([data, *extra])
         more = np.array(at, np.int64)
@@ -216,14 +216,27 @@ def _platt(g: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return float(a), float(b)
 
 
-def _spans_of(texts: list[str]) -> list[list[bytes]]:
-    data, starts, ends, owner = word_spans(texts)
-    raw = data.tobytes()
-    found: list[list[bytes]] = [[] for _ in texts]
-    for s, e, o in zip(starts.tolist(), ends.tolist(), owner.tolist(), strict=True):
-        if e - s >= 3:
-            found[o].append(raw[s:e])
-    return found
+def _spans_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct spans of three bytes and more; the number of the span and that of the text of each occurrence."""
+    hasher, known, numbers, owners, base = bulk.Hasher(), {}, [], [], 0
+    names: list[bytes] = []
+    for group in bulk.text_batches(((t,) for t in texts)):
+        data, starts, ends, owner = word_spans([t for (t,) in group])
+        long = ends - starts > 2
+        starts, ends, owner = starts[long], ends[long], owner[long]
+        keys, first, which = np.unique(hasher.slices(data, starts, ends), return_index=True, return_inverse=True)
+        place = np.empty(len(keys), np.int64)
+        for k, (key, s, e) in enumerate(zip(keys.tolist(), starts[first].tolist(), ends[first].tolist(), strict=True)):
+            if key not in known:
+                known[key] = len(names)
+                names.append(data[s:e].tobytes())
+            place[k] = known[key]
+        numbers.append(place[which])
+        owners.append(owner + base)
+        base += len(group)
+    owner = np.concatenate([*owners, np.zeros(0, np.int64)]).astype(np.int64)
+    by = np.argsort(owner, kind="stable")
+    return names, np.concatenate([*numbers, np.zeros(0, np.int64)]).astype(np.int64)[by], owner[by]
 
 
 def fit_texts(texts: list[str], toxic: np.ndarray, natural_share: float) -> ToxicityModel:
@@ -239,17 +252,15 @@ def fit_texts(texts: list[str], toxic: np.ndarray, natural_share: float) -> Toxi
         sentences += own
         owner += [i] * len(own)
     owner = np.array(owner, np.int64)
-    spans = _spans_of(sentences)
-    by_text: list[set[bytes]] = [set() for _ in texts]
-    for o, s in zip(owner, spans, strict=True):
-        by_text[o].update(s)
-    inside, outside = Counter(), Counter()
-    for i, own in enumerate(by_text):
-        (inside if toxic[i] else outside).update(own)
+    names, number, sentence = _spans_of(sentences)
+    pairs = np.unique(owner[sentence] * len(names) + number) if len(number) else np.zeros(0, np.int64)
+    marked = toxic[pairs // max(1, len(names))] == 1
+    inside = np.bincount(pairs[marked] % max(1, len(names)), minlength=len(names))
+    outside = np.bincount(pairs[~marked] % max(1, len(names)), minlength=len(names))
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    lift = {w: np.log((c + 0.1) / (n1 + 1)) - np.log((outside[w] + 0.5) / (n0 + 1)) for w, c in inside.items()}
+    lift = np.log((inside + 0.1) / (n1 + 1)) - np.log((outside + 0.5) / (n0 + 1))
     # Ranked by how many toxic texts a span explains beyond what chance gives.
-    ranked = sorted((w for w in inside if lift[w] > 0), key=lambda w: (-inside[w] * min(lift[w], 4.0), w))
+    ranked = [names[i] for i in np.lexsort((np.arange(len(names)), -inside * np.clip(lift, 0, 4))) if inside[i] and lift[i] > 0]
     marks: list[bytes] = []
     for w in ranked[:400]:
         w = w[:LANDMARK_BYTES]
@@ -257,24 +268,22 @@ def fit_texts(texts: list[str], toxic: np.ndarray, natural_share: float) -> Toxi
             break
         if not marks or SubsequenceKernel(marks).of_strings([w]).max() < LIKE:
             marks.append(w)
-    common = sorted(outside, key=lambda w: (-outside[w], w))
-    marks += [w[:LANDMARK_BYTES] for w in common[: NEGATIVE_LANDMARKS * 8 : 8]]
+    common = np.lexsort((np.arange(len(names)), -outside))
+    marks += [names[i][:LANDMARK_BYTES] for i in common[: NEGATIVE_LANDMARKS * 8 : 8] if outside[i]]
     marks = list(dict.fromkeys(marks)) or [b"none"]
     kernel = SubsequenceKernel(marks)
-    names = sorted(set(inside) | set(outside))
-    place = {w: i for i, w in enumerate(names)}
     k = kernel.of_strings(names)
     own = kernel.of_strings(marks)
     values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-4 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-4))  # Nyström: features are kernel values times the inverse root
-    features = k @ root
-    counts = np.array([lift.get(w, -5.0) * (1 if inside.get(w, 0) > 1 else 0.3) for w in names])
-    common_ = np.array([inside.get(w, 0) for w in names])
-    telling = np.array([i for i, w in enumerate(names) if inside.get(w, 0) > 2 + 0.01 * n1 and lift[w] > 3.0], np.int64)
-    inner = [np.array(sorted({place[w] for w in s}), np.int64) for s in spans]
+    features = k @ root.astype(np.float32)
+    enough = 2 + 0.01 * n1
+    counts = lift * np.where(inside > 1, 1.0, 0.3)
+    telling = np.flatnonzero((inside > enough) & (lift > 3.0))
+    inner = np.split(number, np.searchsorted(sentence, np.arange(1, len(sentences)))) if sentences else []
     decision, w, bias = counts, np.zeros(len(marks)), -1.0
     for _ in range(4):
-        witness = np.array([s[decision[s].argmax()] if len(s) else -1 for s in inner])
+        witness = np.array([s[decision[s].argmax()] if len(s) else -1 for s in inner], np.int64)
         height = np.where(witness >= 0, decision[witness], -np.inf)
         best: dict[int, int] = {}
         for j in np.flatnonzero(witness >= 0):
@@ -289,8 +298,8 @@ def fit_texts(texts: list[str], toxic: np.ndarray, natural_share: float) -> Toxi
         rows = np.concatenate((good, bad))
         y = np.concatenate((np.ones(len(good)), -np.ones(len(bad))))
         # A witness counts as often as it is one; what one toxic text alone has counts for little.
-        often = np.bincount(witness[list(best.values())], minlength=len(names)) * np.where(common_ > 2 + 0.01 * n1, 1.0, 0.02)
-        often = np.maximum(often, np.where(np.isin(np.arange(len(names)), telling), common_, 0))[good]
+        often = np.bincount(witness[list(best.values())], minlength=len(names)) * np.where(inside > enough, 1.0, 0.02)
+        often = np.maximum(often, np.where(np.isin(np.arange(len(names)), telling), inside, 0))[good]
         weight = np.concatenate((0.5 * often / often.sum(), np.full(len(bad), 0.5 / len(bad)))) * 1000
         w, bias = _support_vectors(features[rows], y, weight)
         decision = features @ w + bias
