@@ -46,8 +46,8 @@ def main() -> None:
             spent.append(time.time() - started)
         times[name] = round(statistics.median(spent[1:]), 3)
         print(name, [round(s, 2) for s in spent], file=sys.stderr, flush=True)
-    total = sum(t for n, t in times.items() if not n.startswith("ingest"))
-    print(json.dumps({"metric": "headline queries, median of warm runs", "value": round(total, 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))
+    total = sum(times.values())
+    print(json.dumps({"metric": "ingest and headline queries, median of warm runs", "value": round(total, 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))
 
 
 if __name__ == "__main__":

@@ -16,10 +16,15 @@ from .inputs import NOT_WS, sql, strip_sql
 from .registry import register
 
 
-@register("scan_corpus")
+@register("scan_corpus", """SELECT 's_' || s_suppkey AS folder, strlen(s_name) + 1 AS length, sha256(s_name || chr(10)) AS digest, true AS complete FROM supplier""")
 def scan_corpus(spark, sf):
-    found = files.scan_corpus(spark, sf, "*.parquet")
-    return found.select("name", "length", (F.length("content") == F.col("length")).alias("complete"))
+    """One text file per supplier, written and scanned."""
+    path = scratch_path(spark, "corpus")
+    named = I.table(spark, sf, "supplier").select(F.concat(F.lit("s_"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_name").alias("value"))
+    named.repartition("name").write.partitionBy("name").text(path)
+    found = files.scan_corpus(spark, path, "*.txt")
+    folder = F.regexp_extract("path", "name=([^/]+)/", 1).alias("folder")
+    return found.select(folder, "length", F.sha2("content", 256).alias("digest"), (F.length("content") == F.col("length")).alias("complete"))
 
 
 def _parquet_cells():
