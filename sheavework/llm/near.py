@@ -16,6 +16,9 @@ SKETCH = 48  # values kept for estimates
 LISTED = 32  # smallest of them, which go to the inverted lists
 COLD = 32  # a list up to this length is taken pair by pair
 COVERED = 18  # documents with so many values in such lists have all their partners there
+MAP_WORDS = 16  # 64-bit words of a bitmap of differences
+MAP = [f"m{k}" for k in range(MAP_WORDS)]
+KIN = 0.25  # estimates from here on make a star's pair worth comparing, to know the differences
 PAIR_SCHEMA = "a long, b long"
 
 
@@ -101,9 +104,9 @@ def union_estimate(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return shared / np.maximum(1, (fresh & inside).sum(axis=1))
 
 
-def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose estimate is not more than about five standard errors under the threshold."""
-    least = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / SKETCH) ** 0.5
+def _likely(pairs: DataFrame, sets: DataFrame, percent: int, kin: float = 1.0) -> DataFrame:
+    """Pairs whose estimate is not more than about five standard errors under the threshold, or at least ``kin``."""
+    least = min(kin, percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / SKETCH) ** 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,19 +119,29 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "top_a", "top_b").mapInArrow(run, PAIR_SCHEMA)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold. Only texts that some pair needs are read into sets."""
+def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b, linked, apart, m0, m1 …): whether the full sets of a pair reach the threshold, in how many shingles they
+    differ, and a bitmap of these. Only texts that some pair needs are read into sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            linked, apart, maps = [], [], np.zeros((batch.num_rows, MAP_WORDS), np.uint64)
+            for row, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 p, q = _unpacked(x), _unpacked(y)
                 joint = np.concatenate((p, q))
                 joint.sort()
-                shared = int((joint[1:] == joint[:-1]).sum())
-                good.append(100 * shared >= percent * (len(p) + len(q) - shared))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
+                twice = joint[1:] == joint[:-1]
+                shared = int(twice.sum())
+                linked.append(100 * shared >= percent * (len(p) + len(q) - shared))
+                apart.append(len(joint) - 2 * shared)
+                lone = np.ones(len(joint), bool)
+                lone[1:] &= ~twice
+                lone[:-1] &= ~twice
+                bits = (bulk.mix(joint[lone]) % np.uint64(64 * MAP_WORDS)).astype(np.int64)
+                np.bitwise_or.at(maps[row], bits >> 6, np.uint64(1) << (bits & 63).astype(np.uint64))
+            columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(apart, pa.int32())]
+            columns += [pa.array(maps[:, k].view(np.int64)) for k in range(MAP_WORDS)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "apart", *MAP])
 
     pairs = settle(pairs, "pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
@@ -138,13 +151,29 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, p
         read = read.unionByName(docs.where("doc_id is null"))
     found = settle(full_sets(read, words).dropDuplicates(["sid"]).join(needed, "sid", "left_semi"), "sets")
     met = pairs.join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b")
-    return settle(met.select("a", "b", "set_a", "set_b").mapInArrow(run, PAIR_SCHEMA), "links")
+    schema = "a long, b long, linked boolean, apart int, " + ", ".join(f"{m} long" for m in MAP)
+    return settle(met.select("a", "b", "set_a", "set_b").mapInArrow(run, schema), "compared")
 
 
 def _alike_in_size(percent: int) -> F.Column:
     return (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
 
 
+def _can_meet(percent: int) -> F.Column:
+    """False for two sets that cannot be linked, by their differences from a third that both were compared with.
+
+    Two sets of n and m shingles are linked if they differ in at most t = (n + m) (100 - p) / (100 + p) of them. They differ
+    in x + y - 2 z, for x and y differences from the third and z of these in common, so z must reach (x + y - t) / 2.
+    That many common differences set an expected number of common bits in the two bitmaps; a tenth of it and one more bit are allowed
+    for collisions.
+    """
+    bits = 64 * MAP_WORDS
+    least = (F.col("apart") + F.col("apart2") - (F.col("n") + F.col("m")) * (100 - percent) / (100 + percent)) / 2
+    common = sum((F.bit_count(F.col(f"m{k}").bitwiseAND(F.col(f"w{k}"))) for k in range(1, MAP_WORDS)), F.bit_count(F.col("m0").bitwiseAND(F.col("w0"))))
+    enough = common >= 0.9 * bits * (1 - F.exp(-least / bits)) - 1.5
+    return F.coalesce((F.col("centre") != F.col("centre2")) | (least <= 0) | enough, F.lit(True))
+
+
 def _with_roots(df: DataFrame, roots: DataFrame, key: str, out: str) -> DataFrame:
     return df.join(roots.toDF(key, "_root"), key, "left").withColumn(out, F.coalesce("_root", key)).drop("_root")
 
@@ -159,10 +188,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     a null doc_id is no one's smallest, and its row is kept only if its whole component has none. Extra columns are ignored.
 
     Candidates come from the lists of the retained values. First each list gives stars: its members of like size against
-    the smallest of them, which contracts groups of copies without their pairs. Then every pair of a list of up to
+    the most typical of them, the centre, which contracts groups of copies without their pairs. Then every pair of a list of up to
     ``COLD`` members that are not yet in one component is tested. A document with ``COVERED`` or more of its values in
     such lists has all its partners there, as a partner lacks at most a fifth of them; for the others, pairs of the long lists are
-    tested as well, wherever the two are still apart. No list is cut.
+    tested as well, wherever the two are still apart and their differences from a common centre allow a link. No list is cut.
     """
     docs = narrow(docs, "doc_id", "text")
     sketched = settle(sketches(docs, words), "sketches")
@@ -173,11 +202,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
     listed = sets.select("sid", "n", bucket.alias("bucket"), F.explode("low").alias("value"))
     lengths = listed.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
-    lists = settle(listed.join(lengths, "value"), "lists")
-
-    centres = lists.groupBy("value", "bucket").agg(F.min("sid").alias("a"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    stars = lists.join(centres, ["value", "bucket"]).where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
-    links = _confirmed(_likely(stars, sets, percent), docs, sets, words, percent)
+    lists = listed.join(lengths, "value")
+    lists = settle(lists.join(lists.groupBy("sid").agg(F.sum("length").alias("weight")), "sid"), "lists")
+
+    # Sets of like size share one of their two buckets.
+    placed = lists.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
+    centres = placed.groupBy("value", "bucket").agg(F.max_by("sid", F.struct("weight", "sid")).alias("centre"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    stars = placed.join(centres, ["value", "bucket"]).where("centre <> sid").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
+    compared = _compared(_likely(stars, sets, percent, KIN), docs, sets, words, percent)
+    links = compared.where("linked").select("a", "b")
     roots = settle(components(links), "roots")
 
     member = F.struct("n", "sid")
@@ -189,23 +222,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     long = lists.where(F.col("length") > COLD).groupBy("sid").agg(F.count("*").alias("often"))
     # Values in no one else's list are as good as those of short lists: what counts is how many are in long ones.
     open_ = long.join(sets.select("sid", F.size("low").alias("k")), "sid").where(F.col("k") - F.col("often") < F.least(F.lit(COVERED), F.col("k"))).select("sid")
-    hot = _with_roots(lists.where(F.col("length") > COLD).join(open_, "sid", "left_semi").select("value", "sid", "n"), roots, "sid", "root")
-    mixed = hot.groupBy("value").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("value")
-    hot = settle(hot.join(mixed, "value", "left_semi"), "hot")
-    first = Window.partitionBy("sid").orderBy("value")
-    few = hot.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= 12).drop("_r")
+    hot = placed.where(F.col("length") > COLD).join(open_, "sid", "left_semi").select("value", "bucket", "sid", "n")
+    hot = _with_roots(hot, roots, "sid", "root")
+    mixed = hot.groupBy("value", "bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("value", "bucket")
+    hot = settle(hot.join(mixed, ["value", "bucket"], "left_semi"), "hot")
+    first = Window.partitionBy("sid").orderBy("value", "bucket")
+    few = hot.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= 24).drop("_r")
+    # Of the centres that a set was compared with, the one that most others were compared with too.
+    popular = compared.groupBy("a").agg(F.count("*").alias("_all"))
+    nothing = [F.lit(0).alias("apart"), *[F.lit(0).cast("long").alias(m) for m in MAP]]
+    seen = compared.join(popular, "a").select(F.col("b").alias("sid"), F.col("a").alias("centre"), "_all", "apart", *MAP)
+    seen = seen.unionByName(popular.select(F.col("a").alias("sid"), F.col("a").alias("centre"), "_all", *nothing))
+    reference = seen.groupBy("sid").agg(F.max_by(F.struct("centre", "apart", *MAP), F.struct("_all", "centre")).alias("_s")).select("sid", "_s.*")
+    # A pair is taken up in the first of the lists that it shares only.
+    few = few.withColumn("key", F.xxhash64("value", "bucket"))
+    few = few.join(reference, "sid", "left").join(few.groupBy("sid").agg(F.collect_list("key").alias("keys")), "sid")
+    few = settle(few, "few")
     # The largest component of a list meets the rest of it, and the rest meets itself; its own pairs are done.
-    sizes = few.groupBy("value", "root").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("value").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    apart = few.join(largest, "value").where("root <> main").drop("main")
-    facing = apart.select("value", "sid", "n", "root").join(few.toDF("value", "sid2", "m", "root2"), "value")
-    facing = facing.where(_alike_in_size(percent) & (F.col("root") != F.col("root2")))
+    sizes = few.groupBy("value", "bucket", "root").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("value", "bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    apart = few.join(largest, ["value", "bucket"]).where("root <> main").drop("main")
+    other = few.select("value", "bucket", F.col("sid").alias("sid2"), F.col("n").alias("m"), F.col("root").alias("root2"), F.col("centre").alias("centre2"), F.col("keys").alias("keys2"), F.col("apart").alias("apart2"), *[F.col(f"m{k}").alias(f"w{k}") for k in range(MAP_WORDS)])
+    facing = apart.join(other, ["value", "bucket"]).where(_alike_in_size(percent) & (F.col("root") != F.col("root2")) & _can_meet(percent))
+    facing = facing.where(F.array_min(F.array_intersect("keys", "keys2")) == F.col("key"))
     rest = facing.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
 
     more = near.unionByName(rest).distinct()
     more = _with_roots(_with_roots(more, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
-    found = _confirmed(_likely(more, sets, percent), docs, sets, words, percent)
-    final = components(links.unionByName(found))
+    found = _compared(_likely(more, sets, percent), docs, sets, words, percent)
+    final = components(links.unionByName(found.where("linked").select("a", "b")))
 
     named = sets.select("sid", "doc_id").join(final.toDF("sid", "root"), "sid")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
