@@ -10,7 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
+SLICE_ROWS = 256  # rows of an Arrow batch that are Python objects at a time
 _BASE = 0x9E3779B97F4A7C17 | 3  # odd and 3 modulo 4, so that powers of it spread over all bits
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _ORDERED = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -78,10 +79,17 @@ def text_batches(rows: Iterator[tuple], limit: int = BATCH_BYTES) -> Iterator[li
         yield held
 
 
-def rows_of(batches) -> Iterator[tuple]:
-    """Plain tuples of Arrow record batches, column by column."""
+def slices_of(batches) -> Iterator:
+    """Arrow record batches in slices of few rows, without a copy."""
     for batch in batches:
-        yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+
+
+def rows_of(batches) -> Iterator[tuple]:
+    """Plain tuples of Arrow record batches."""
+    for part in slices_of(batches):
+        yield from zip(*(column.to_pylist() for column in part.columns), strict=True)
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -262,7 +262,7 @@ def scored(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
         known = sent.value
         lookup = known.lookup()
         limits = np.array(known.limits)
-        for batch in batches:
+        for batch in bulk.slices_of(batches):
             rows = list(enumerate(batch.column(batch.num_columns - 1).to_pylist()))
             n = batch.num_rows
             lang, score = np.full(n, UNKNOWN, object), np.zeros(n)

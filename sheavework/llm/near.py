@@ -109,7 +109,7 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int, kin: float = 1.0) -
     least = min(kin, percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / SKETCH) ** 0.5)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bulk.slices_of(batches):
             if batch.num_rows:
                 good = union_estimate(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= least
                 yield batch.select([0, 1]).filter(pa.array(good))
@@ -124,7 +124,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, pe
     differ, and a bitmap of these. Only texts that some pair needs are read into sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bulk.slices_of(batches):
             linked, apart, maps = [], [], np.zeros((batch.num_rows, MAP_WORDS), np.uint64)
             for row, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 p, q = _unpacked(x), _unpacked(y)
