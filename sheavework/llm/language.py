@@ -12,11 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import salted_join
 from . import bulk
 from .frames import narrow, pack, settle, unpack
 
 ORDER = 4
-MODEL_GRAMS = 2_000_000  # bound of the model's size; beyond it the rarest grams of all languages go first
+MODEL_GRAMS = 2_000_000  # counts that a broadcast model is made of at most; beyond it the whole model stays in tables
 HELD_GRAMS = 400_000  # grams that a task gathers before it passes them on
 SAMPLE = 20_000  # labelled rows, about, that the rejection threshold is calibrated on
 REJECT_SHARE = 0.0005  # of right documents, the share that may lie beyond the threshold
@@ -201,22 +202,74 @@ class Lookup:
         return -sums / np.maximum(1, np.bincount(owner, minlength=len(texts)))[:, None]
 
 
-def fit(labelled: DataFrame, max_grams: int = MODEL_GRAMS, sample: int = SAMPLE) -> LanguageModel:
+@dataclass
+class GramTables:
+    """A model beyond what is broadcast: per order a table (key, values) of all grams, with the same values as a LanguageModel's arrays."""
+
+    languages: list[str]
+    tables: list[DataFrame]
+    missing: float
+    limits: list[float]
+
+
+def gram_tables(counts: DataFrame, languages: list[str]) -> GramTables:
+    """The model of ``counts`` (lang, gram, n), all of them, worked out in Spark; the driver gets two numbers per language and order."""
+    each = lambda f: F.array(*[f(i) for i in range(len(languages))])
+    count = lambda i: F.col("counts")[i]
+    of_lang = lambda i: F.coalesce(F.sum(F.when(F.col("lang") == languages[i], F.col("n"))), F.lit(0).cast("long"))
+    level, levels = settle(counts.groupBy(F.col("gram").alias("key")).agg(each(of_lang).alias("counts")), "level"), []
+    for order in range(ORDER, 0, -1):
+        context = level.groupBy(F.shiftrightunsigned("key", 16).alias("context")).agg(
+            each(lambda i: F.sum(count(i))).alias("total"), each(lambda i: F.count_if(count(i) > 0)).alias("kinds"))
+        seen = level.agg(each(lambda i: F.count_if(count(i) == 1)).alias("once"), each(lambda i: F.count_if(count(i) == 2)).alias("twice")).first()
+        levels.append((order, level, context, [a / (a + 2 * b) if a and b else 0.5 for a, b in zip(seen["once"], seen["twice"], strict=True)]))
+        if order > 1:
+            shorter = F.col("key").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1))
+            level = settle(level.groupBy(shorter.alias("key")).agg(each(lambda i: F.count_if(count(i) > 0)).alias("counts")), "level")
+    alphabet = level.count() + 1
+    tables, lower = [], None
+    for order, level, context, discounts in reversed(levels):
+        # A context or a shorter gram has at most one row per character here, so no key is hot.
+        both = level.withColumn("context", F.shiftrightunsigned("key", 16)).join(context, "context")
+        if lower is None:
+            both = both.withColumn("lower", each(lambda i: F.lit(1.0 / alphabet)))
+        else:
+            both = both.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1)))
+            both = both.join(lower.select(F.col("key").alias("suffix"), F.col("p").alias("lower")), "suffix")
+
+        def p(i: int, discounts: list[float] = discounts) -> Column:
+            whole, kinds, below = F.col("total")[i], F.col("kinds")[i], F.col("lower")[i]
+            return F.when(whole > 0, (F.greatest(count(i) - discounts[i], F.lit(0.0)) + discounts[i] * kinds * below) / whole).otherwise(below)
+
+        lower = settle(both.select("key", each(p).alias("p")), "probabilities")
+        tables.insert(0, lower.select("key", F.transform("p", lambda x: F.log(x).cast("float")).alias("values")))
+    return GramTables(languages, tables, -float(np.log(alphabet)) - 3.0, [np.inf] * len(languages))
+
+
+def fit(labelled: DataFrame, max_grams: int = MODEL_GRAMS, sample: int = SAMPLE) -> LanguageModel | GramTables:
     """A model of all texts of ``labelled`` (doc_id, lang, text); rows without language or letters are passed over.
 
-    Counts cover every text. The model holds at most ``max_grams`` grams of the highest order: the smallest count that keeps
-    within it is found from counts of counts, and a corpus of any alphabet stays within the bound. The rejection limit of
+    Counts cover every text and the model holds every gram. Up to ``max_grams`` counts it is made of arrays that are broadcast,
+    beyond that of tables that texts are joined with; both give the same values. The rejection limit of
     a language is fitted on about ``sample`` of the labelled rows, taken by a hash of their id.
     """
     counts = settle(gram_counts(labelled.where("lang is not null and text is not null")), "grams")
-    steps = counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect()
-    least, kept = 1, 0
-    for row in steps:
-        kept += row["c"]
-        if kept > max_grams:
-            least = row["n"] + 1
-            break
-    table = counts.where(F.col("n") >= least).toPandas()
+    if counts.count() > max_grams:
+        model = gram_tables(counts, sorted(r["lang"] for r in counts.select("lang").distinct().collect()))
+    else:
+        model = _gram_arrays(counts.toPandas())
+    if not model.languages:
+        return model
+    rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
+    share = min(1.0, sample / max(1, rows.count()))
+    few = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
+    seen = scored(few, model, "lang").where("lang = lang_pred").groupBy("lang").agg(F.percentile("entropy", F.lit(1 - REJECT_SHARE)).alias("q")).collect()
+    limits = {r["lang"]: r["q"] + REJECT_MARGIN for r in seen}
+    model.limits = [float(limits.get(lang, np.inf)) for lang in model.languages]
+    return model
+
+
+def _gram_arrays(table: pd.DataFrame) -> LanguageModel:
     languages = sorted(table["lang"].unique())
     if not languages:
         return LanguageModel([], [np.zeros(0, np.uint64)] * ORDER, [np.zeros((0, 0))] * ORDER + [np.zeros(0)], [])
@@ -236,14 +289,7 @@ def fit(labelled: DataFrame, max_grams: int = MODEL_GRAMS, sample: int = SAMPLE)
         asked = keys[by] | np.uint64(((1 << 64) - 1) ^ ((1 << 16 * order) - 1)) if order < 4 else keys[by]
         values.append(np.stack([np.log(m.probability(asked)) for m in models], axis=1).astype(np.float32))
     values.append(np.full(len(languages), -np.log(alphabet) - 3.0))
-    model = LanguageModel(languages, hashes, values, [np.inf] * len(languages))
-    rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    share = min(1.0, sample / max(1, rows.count()))
-    few = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    seen = scored(few, model, "lang").where("lang = lang_pred").groupBy("lang").agg(F.percentile("entropy", F.lit(1 - REJECT_SHARE)).alias("q")).collect()
-    limits = {r["lang"]: r["q"] + REJECT_MARGIN for r in seen}
-    model.limits = [float(limits.get(lang, np.inf)) for lang in languages]
-    return model
+    return LanguageModel(languages, hashes, values, [np.inf] * len(languages))
 
 
 def _sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,8 +297,55 @@ def _sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[by], counts[by]
 
 
-def scored(docs: DataFrame, model: LanguageModel, *keep: str) -> DataFrame:
+def _scored_by_join(docs: DataFrame, model: GramTables, *keep: str) -> DataFrame:
+    """``scored`` for a model in tables: the distinct grams of the texts find their values, then each text's grams are summed."""
+    kept = settle(docs.select(F.monotonically_increasing_id().alias("_id"), *keep, "text"), "texts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in bulk.text_batches(bulk.rows_of(batches)):
+            group = [(i, letters) for i, t in group if (letters := plain_letters(t))]
+            if not group:
+                continue
+            keys, owner = grams([t for _, t in group])
+            by = np.lexsort((keys, owner))
+            keys, owner = keys[by], owner[by]
+            first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))))
+            ids, sizes = np.array([i for i, _ in group], np.int64), np.array([len(t) for _, t in group], np.int64)
+            own = owner[first]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(keys[first].view(np.int64)), pa.array(np.diff(first, append=len(keys))), pa.array(sizes[own])], names=["_id", "gram", "n", "size"])
+
+    pieces = settle(kept.select("_id", "text").mapInArrow(run, "_id long, gram long, n long, size long"), "pieces")
+    found = pieces.select("gram").distinct()
+    for table, order in zip(model.tables, range(ORDER, 0, -1), strict=True):
+        found = found.withColumn("_key", F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1)) if order < 4 else F.col("gram"))
+        table = table.select(F.col("key").alias("_key"), F.col("values").alias(f"_{order}"))
+        # Longer keys have at most one gram per character.
+        found = salted_join(found, table, ["_key"], ["gram"], "left") if order <= 2 else found.join(table, "_key", "left")
+        found = found.drop("_key")
+    each = lambda f: F.array(*[f(i) for i in range(len(model.languages))])
+    nothing = each(lambda i: F.lit(model.missing)).cast("array<double>")
+    values = F.coalesce(*[F.col(f"_{order}").cast("array<double>") for order in range(ORDER, 0, -1)], nothing)
+    summed = salted_join(pieces, found.select("gram", values.alias("_values")), ["gram"], ["_id"]).groupBy("_id").agg(
+        F.sum("n").alias("_n"), F.max("size").alias("_size"), each(lambda i: F.sum(F.col("n") * F.col("_values")[i])).alias("_sums"))
+    out = kept.join(summed, "_id", "left").withColumn("_h", F.transform("_sums", lambda x: -x / F.col("_n")))
+    out = out.withColumn("_low", F.array_min("_h")).withColumn("_best", F.array_position("_h", F.col("_low")).cast("int"))
+    share = 1 / F.aggregate("_h", F.lit(0.0), lambda a, x: a + F.exp(4 * (F.col("_low") - x)))
+    name = F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.col("_best"))
+    limit = F.element_at(F.array(*[F.lit(float(x)) for x in model.limits]), F.col("_best"))
+    known = F.col("_n").isNotNull()
+    return out.select(
+        *keep,
+        F.when(known, name).otherwise(UNKNOWN).alias("lang_pred"),
+        F.when(known, share).otherwise(0.0).alias("score"),
+        F.when(known, F.col("_low")).alias("entropy"),
+        F.when(known, F.col("_low") > limit + SHORT_SLACK / F.sqrt("_size")).otherwise(True).alias("rejected"),
+    )
+
+
+def scored(docs: DataFrame, model: LanguageModel | GramTables, *keep: str) -> DataFrame:
     """The kept columns of ``docs`` (text and those) with lang_pred, score, entropy and rejected."""
+    if isinstance(model, GramTables):
+        return _scored_by_join(docs, model, *keep)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep, "text")
     schema = kept.schema

@@ -40,6 +40,19 @@ def test_nothing_to_learn(spark):
     assert language.predicted_languages(docs.limit(0)).collect() == []
 
 
+def test_rare_languages_beyond_the_broadcast(spark):
+    """With few grams in the broadcast the whole model is in tables: a small language beside large ones stays, all values are the same."""
+    rng = random.Random(3)
+    rows = [*languages(rng, 150), (500, "qua wix zuf qua", "dd"), (501, None, "aa"), (502, "12", "bb"), (503, "漢字 qua 😀", None), (503, "漢字 qua 😀", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    whole, tables = language.fit(docs), language.fit(docs, max_grams=50)
+    assert tables.languages == whole.languages == ["aa", "bb", "cc", "dd"] and tables.limits == pytest.approx(whole.limits)
+    one, two = (sorted(language.scored(docs, m, "doc_id").collect()) for m in (whole, tables))
+    assert [(r.doc_id, r.lang_pred, r.rejected) for r in one] == [(r.doc_id, r.lang_pred, r.rejected) for r in two]
+    for a, b in zip(one, two, strict=True):
+        assert b.score == pytest.approx(a.score) and b.entropy == (None if a.entropy is None else pytest.approx(a.entropy))
+
+
 def test_probabilities_sum_to_one():
     text = language.plain_letters("the thing that they thought there, then the other")
     keys, counts = np.unique(language.grams([text])[0], return_counts=True)
