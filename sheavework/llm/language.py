@@ -19,8 +19,8 @@ from .frames import narrow, pack, settle, unpack
 ORDER = 4
 MODEL_GRAMS = 2_000_000  # counts that a broadcast model is made of at most; beyond it the whole model stays in tables
 HELD_GRAMS = 400_000  # grams that a task gathers before it passes them on
-SAMPLE = 20_000  # labelled rows, about, that the rejection threshold is calibrated on
 REJECT_SHARE = 0.0005  # of right documents, the share that may lie beyond the threshold
+REJECT_ACCURACY = 100_000  # the rank of a threshold is right to this part of a language's documents
 REJECT_MARGIN = 0.75  # and so many nats per character of slack
 SHORT_SLACK = 4.0  # more of it for short texts, over the square root of their characters
 UNKNOWN = "und"
@@ -246,12 +246,12 @@ def gram_tables(counts: DataFrame, languages: list[str]) -> GramTables:
     return GramTables(languages, tables, -float(np.log(alphabet)) - 3.0, [np.inf] * len(languages))
 
 
-def fit(labelled: DataFrame, max_grams: int = MODEL_GRAMS, sample: int = SAMPLE) -> LanguageModel | GramTables:
+def fit(labelled: DataFrame, max_grams: int = MODEL_GRAMS) -> LanguageModel | GramTables:
     """A model of all texts of ``labelled`` (doc_id, lang, text); rows without language or letters are passed over.
 
     Counts cover every text and the model holds every gram. Up to ``max_grams`` counts it is made of arrays that are broadcast,
-    beyond that of tables that texts are joined with; both give the same values. The rejection limit of
-    a language is fitted on about ``sample`` of the labelled rows, taken by a hash of their id.
+    beyond that of tables that texts are joined with; both give the same values. The rejection limit of a language is
+    fitted on all its rows that are recognised as it or, if none is, on all rows that bear its label, so each has one.
     """
     counts = settle(gram_counts(labelled.where("lang is not null and text is not null")), "grams")
     if counts.count() > max_grams:
@@ -260,12 +260,12 @@ def fit(labelled: DataFrame, max_grams: int = MODEL_GRAMS, sample: int = SAMPLE)
         model = _gram_arrays(counts.toPandas())
     if not model.languages:
         return model
-    rows = labelled.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    share = min(1.0, sample / max(1, rows.count()))
-    few = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(share * 1_000_000))
-    seen = scored(few, model, "lang").where("lang = lang_pred").groupBy("lang").agg(F.percentile("entropy", F.lit(1 - REJECT_SHARE)).alias("q")).collect()
-    limits = {r["lang"]: r["q"] + REJECT_MARGIN for r in seen}
-    model.limits = [float(limits.get(lang, np.inf)) for lang in model.languages]
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text")
+    limit = lambda entropy: F.percentile_approx(entropy, 1 - REJECT_SHARE, REJECT_ACCURACY)
+    right = F.when(F.col("lang") == F.col("lang_pred"), F.col("entropy"))
+    seen = scored(rows, model, "lang").groupBy("lang").agg(F.coalesce(limit(right), limit(F.col("entropy"))).alias("q")).collect()
+    limits = {r["lang"]: r["q"] for r in seen}
+    model.limits = [float(limits[lang]) + REJECT_MARGIN for lang in model.languages]
     return model
 
 

@@ -53,6 +53,18 @@ def test_rare_languages_beyond_the_broadcast(spark):
         assert b.score == pytest.approx(a.score) and b.entropy == (None if a.entropy is None else pytest.approx(a.entropy))
 
 
+def test_every_language_has_a_limit(spark):
+    """Limits come from all rows, also of a language with few rows beside many others and of one that no row is recognised as."""
+    rng = random.Random(5)
+    many = spark.range(30_000).selectExpr("id AS doc_id", "'aa' AS lang", "'tharen istond ely ren' AS text")
+    few = [(100_000 + i, "bb", sentence(rng, "bb", 20)) for i in range(3)] + [(200_000, "zz", "tharen istond ely ren")]
+    docs = many.unionByName(spark.createDataFrame(few, "doc_id long, lang string, text string"))
+    model = language.fit(docs)
+    assert model.languages == ["aa", "bb", "zz"] and np.isfinite(model.limits).all()
+    junk = spark.createDataFrame([(1, "öqxjzvwk ñkqzx öwqkjv " * 5)], "doc_id long, text string")
+    assert [r.rejected for r in language.scored(junk, model, "doc_id").collect()] == [True]
+
+
 def test_probabilities_sum_to_one():
     text = language.plain_letters("the thing that they thought there, then the other")
     keys, counts = np.unique(language.grams([text])[0], return_counts=True)
