@@ -16,9 +16,21 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
-SHORT_CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])"
-WINDOW = 48  # characters of context on each side, up to the neighbouring proposal
+# The added kinds propose just a start with enough behind it; what is taken from there is one of several lengths, longest first.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})"
+SHORT_CARD = r"(?<![0-9])[0-9](?=(?:[\x20-]?[0-9]){12})"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_OTHER = f"(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')})[A-Z]{{2}}"  # countries that are not listed may have any length
+IBAN_TAKES = tuple(
+    rf"^(?:{'|'.join([*IBAN_LENGTHS.get(n, '').split(), _OTHER])})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n in range(34, 14, -1)
+)
+SHORT_CARD_TAKES = tuple(rf"^[0-9](?:[\x20-]?[0-9]){{{n - 1}}}(?![0-9])" for n in (15, 14, 13))
+AHEAD = 120  # characters behind a start: the longest number with its spaces, and the context behind it
+WINDOW = 48  # characters of context on each side; of the base kinds, up to the neighbouring proposal
 BLOCK = 64
 
 
@@ -34,6 +46,7 @@ class Kind:
     prior: float
     words: str = ""
     least: float = 0.0
+    takes: tuple[str, ...] = ()
 
 
 def _digits(match: Column) -> Column:
@@ -74,8 +87,8 @@ def kinds(text: Column) -> list[Kind]:
         Kind("ip", IP, has(".") & number, _small_parts, True, 0.7, r"\bip\b|address|host|server|login"),
         Kind("card", CARD, number, lambda m: _n_digits(m).between(16, 19) & luhn(m), True, 0.8, r"card|credit|visa|master|pay|karte|carte|tarjeta"),
         Kind("phone", PHONE, has("+"), lambda m: _n_digits(m).between(8, 15), True, 0.7, r"phone|call|tel|mobile|fax"),
-        Kind("iban", IBAN, text.rlike("[A-Z]{2}[0-9]{2}"), mod97, False, 0.8, r"iban|account|bank|konto|compte|cuenta", 0.5),
-        Kind("short_card", SHORT_CARD, number, luhn, False, 0.3, r"card|credit|amex|diners|visa|karte|carte|tarjeta", 0.5),
+        Kind("iban", IBAN, text.rlike("[A-Z]{2}[0-9]{2}"), mod97, False, 0.8, r"iban|account|bank|konto|compte|cuenta", 0.5, IBAN_TAKES),
+        Kind("short_card", SHORT_CARD, number, luhn, False, 0.3, r"card|credit|amex|diners|visa|karte|carte|tarjeta", 0.5, SHORT_CARD_TAKES),
     ]
 
 
@@ -86,7 +99,8 @@ def _total(part: Column) -> Column:
 def found_spans(docs: DataFrame) -> DataFrame:
     """``docs`` (text and others) with a column per kind: array of (start, stop, score) of its confirmed spans.
 
-    Matches of a kind are leftmost and do not overlap; positions are code points, the end exclusive. The pieces between
+    Matches of a base kind are leftmost and do not overlap. Of the added kinds each start is tried, and the longest of
+    its lengths that passes is taken, so a number next to other letters or digits is found; they may overlap. Positions are code points, the end exclusive. The pieces between
     the matches give the positions, so a text is walked twice per kind, whatever its length, and nothing is shuffled.
     """
     out = docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
@@ -133,13 +147,33 @@ def _ends(k: Kind) -> tuple[str, Column]:
 def _confirmed(k: Kind) -> tuple[str, Column]:
     hits, gaps, ends = (F.col(f"_{k.name}_{x}") for x in ("hits", "gaps", "ends"))
 
+    def around(i: Column, first: Column, last: Column, size: int) -> Column:
+        """The pieces from ``first`` to ``last`` (gap and hit in turn), without the hit before which ``i`` ends; each cut to ``size`` at the far side."""
+        return F.array_join(F.transform(F.sequence(first, last), lambda j: F.concat(F.substring(F.get(gaps, j), *((1, size) if size > 0 else (size, -size))), F.when((j == i) & F.lit(size < 0), F.lit("")).otherwise(F.coalesce(F.get(hits, j), F.lit(""))))), "")
+
+    def taken(m: Column, i: Column) -> Column:
+        # Starts are two characters or more apart, so these pieces hold the whole window.
+        ahead = F.concat(m, around(i, i + 1, i + AHEAD // 2, AHEAD))
+        back = F.substring(around(i, F.greatest(F.lit(0), i - WINDOW // 2), i, -WINDOW), -WINDOW, WINDOW)
+        whole = F.filter(F.array(*[F.regexp_extract(ahead, take, 0) for take in k.takes]), lambda x: (x != "") & k.valid(x))
+        return F.struct(F.get(whole, F.lit(0)).alias("match"), ahead.alias("ahead"), back.alias("back"), (F.get(ends, i) - F.length(m)).alias("start"))
+
+    def scored(t: Column) -> Column:
+        near = F.lower(F.concat(t["back"], F.lit(" "), F.substring(F.substr(t["ahead"], F.length(t["match"]) + 1), 1, WINDOW)))
+        score = F.least(F.lit(1.0), F.lit(k.prior) + F.when(near.rlike(k.words), F.lit(0.25)).otherwise(F.lit(0.0)))
+        return F.struct(t["start"].alias("start"), (t["start"] + F.length(t["match"])).alias("stop"), score.alias("score"))
+
     def span(m: Column, i: Column) -> Column:
         near = F.lower(F.concat(F.substring(F.get(gaps, i), -WINDOW, WINDOW), F.lit(" "), F.substring(F.get(gaps, i + 1), 1, WINDOW)))
         score = F.least(F.lit(1.0), F.lit(k.prior) + F.when(near.rlike(k.words), F.lit(0.25)).otherwise(F.lit(0.0)))
         whole = F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("stop"), score.alias("score"))
         return F.when(k.valid(m) & (F.lit(k.base) | (score >= k.least)), whole)
 
-    good = F.filter(F.transform(hits, span), lambda s: s.isNotNull())
+    if k.takes:
+        found = F.filter(F.transform(hits, taken), lambda t: t["match"].isNotNull())
+        good = F.filter(F.transform(found, scored), lambda s: s["score"] >= k.least)
+    else:
+        good = F.filter(F.transform(hits, span), lambda s: s.isNotNull())
     kind = "array<struct<start:int,stop:int,score:double>>"
     return k.name, F.when(F.size(hits) > 0, good.cast(kind)).otherwise(F.array().cast(kind))
 

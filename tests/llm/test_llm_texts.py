@@ -54,6 +54,22 @@ def test_checksums_and_context(spark):
     assert got == {1: "iban:5:32,short_card:44:59", 2: ""}
 
 
+IBAN_, AMEX = "DE89370400440532013000", "378282246310005"
+
+
+def test_added_kinds_beside_other_characters(spark):
+    """A number ends where its length ends, whatever follows; one that starts inside a run is found too."""
+    cases = [f"{IBAN_} {x}" for x in ("Bank", "BIC", "I am", "2024", "GB82 WEST 1234 5698 7654 32 UP")] + [f"AT11 {IBAN_}", f"{IBAN_}x", f"{IBAN_}1", "QQ41 1111 2222 3333 A B"]
+    cases += [f"é card {AMEX} 12/27", f"card 12 {AMEX}", f"card {AMEX}1", f"{AMEX} 12/27", "card 3782 822463 10005 1227", "card 30569309025904 1", "card " + "1 " * 2000]
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {cases[r.doc_id]: [x for x in r.spans.split(",") if x.startswith(("iban", "short"))] for r in private.private_spans(docs).collect()}
+    assert [got[x] for x in cases[:4]] == [["iban:0:22"]] * 4 and got[cases[4]] == ["iban:0:22", "iban:23:50"]
+    assert got[cases[5]] == ["iban:5:27"] and got[cases[6]] == got[cases[7]] == []
+    assert [got[x] for x in cases[9:15]] == [["short_card:7:22"], ["short_card:8:23"], [], [], ["short_card:5:22"], ["short_card:5:19"]]
+    clean = [r.text for r in private.redacted(docs.where("doc_id in (0, 4, 9)").orderBy("doc_id")).collect()]
+    assert sorted(clean) == sorted(["[IBAN] Bank", "[IBAN] [IBAN] UP", "é card [SHORT_CARD] 12/27"])
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([("x é a@b.c y +49 30 1234567", 1), (None, 2), ("plain", 3)], "text string, _row int")
     assert {r["_row"]: r["text"] for r in private.redacted(docs).collect()} == {1: "x é [EMAIL] y [PHONE]", 2: None, 3: "plain"}
