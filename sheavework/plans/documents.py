@@ -53,6 +53,51 @@ def extract(spark, sf):
     return files.extract(found, _parquet_cells, "row_no BIGINT, col_no INT, column_name STRING, value STRING")
 
 
+_WHOLE = [
+    ("region", ["r_regionkey", "r_name"]),
+    ("nation", ["n_nationkey", "n_name", "n_regionkey"]),
+    ("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
+    ("supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]),
+    ("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
+    ("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
+]
+_AMOUNTS, _DATES = ("c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice"), ("o_orderdate",)
+
+
+def _value_sql(c: str) -> str:
+    return f"{c}::DECIMAL(15, 2)::VARCHAR" if c in _AMOUNTS else f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if c in _DATES else f"{c}::VARCHAR"
+
+
+def _all_parquet_cells():
+    """Decoder for the test tables themselves: every column of a Parquet file as cells, amounts with two decimals, missing values as null."""
+    import pyarrow.parquet as pq
+
+    def as_text(column: pd.Series) -> pd.Series:
+        if column.dtype.kind == "f":
+            shown = column.map(lambda v: f"{round(v, 2) + 0.0:.2f}")
+        else:
+            shown = column.dt.strftime("%Y-%m-%d %H:%M:%S") if column.dtype.kind == "M" else column.astype(str)
+        return shown.astype(object).where(column.notna(), None)
+
+    def decode(name: str, content: bytes) -> pd.DataFrame:
+        frame = pq.read_table(io.BytesIO(content)).to_pandas()
+        places = {c: i for i, c in enumerate(frame.columns)}
+        out = frame.apply(as_text).reset_index(names="row_no").melt(id_vars="row_no", var_name="column_name")
+        out["col_no"] = out["column_name"].map(places)
+        return out[["row_no", "col_no", "column_name", "value"]]
+
+    return decode
+
+
+@register("extract_all_columns", " UNION ALL ".join(
+    f"SELECT '{rel}.parquet' AS source, {cols[0]}::BIGINT AS row_no, unnest(range({len(cols)})) AS col_no, unnest({cols}) AS column_name, "
+    f"unnest([{', '.join(map(_value_sql, cols))}]) AS value, NULL::VARCHAR AS error FROM {rel}" for rel, cols in _WHOLE))
+def extract_all_columns(spark, sf):
+    """The six tables of the star, ``orders`` too, with their amounts and dates."""
+    found = files.scan_corpus(spark, sf, "{%s}.parquet" % ",".join(rel for rel, _ in _WHOLE))
+    return files.extract(found, _all_parquet_cells, "row_no BIGINT, col_no INT, column_name STRING, value STRING")
+
+
 @register("route_by_kind", f"""SELECT p_partkey, name, {I.KIND_SQL.format('name')} AS kind FROM (SELECT p_partkey, p_name ||
     ['.PDF', '.docx', '.csv', '.Xlsx', '.xls', '.md', '.TXT', '.bin'][p_size % 8 + 1] AS name FROM part)""")
 def route_by_kind(spark, sf):
