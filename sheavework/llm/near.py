@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bulk
@@ -226,8 +226,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     hot = _with_roots(hot, roots, "sid", "root")
     mixed = hot.groupBy("value", "bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("value", "bucket")
     hot = settle(hot.join(mixed, ["value", "bucket"], "left_semi"), "hot")
-    first = Window.partitionBy("sid").orderBy("value", "bucket")
-    few = hot.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= 24).drop("_r")
     # Of the centres that a set was compared with, the one that most others were compared with too.
     popular = compared.groupBy("a").agg(F.count("*").alias("_all"))
     nothing = [F.lit(0).alias("apart"), *[F.lit(0).cast("long").alias(m) for m in MAP]]
@@ -235,7 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     seen = seen.unionByName(popular.select(F.col("a").alias("sid"), F.col("a").alias("centre"), "_all", *nothing))
     reference = seen.groupBy("sid").agg(F.max_by(F.struct("centre", "apart", *MAP), F.struct("_all", "centre")).alias("_s")).select("sid", "_s.*")
     # A pair is taken up in the first of the lists that it shares only.
-    few = few.withColumn("key", F.xxhash64("value", "bucket"))
+    few = hot.withColumn("key", F.xxhash64("value", "bucket"))
     few = few.join(reference, "sid", "left").join(few.groupBy("sid").agg(F.collect_list("key").alias("keys")), "sid")
     few = settle(few, "few")
     # The largest component of a list meets the rest of it, and the rest meets itself; its own pairs are done.
