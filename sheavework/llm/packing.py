@@ -48,7 +48,8 @@ def best_fit_rounds(counts: dict[int, int], room: int) -> list[tuple[int, int, i
     One round per length, longest first. The pieces of a length are ranked, and so are the gaps of a size; the smallest
     gap that is large enough takes the pieces, rank by rank, one per gap, so no two pieces want the same place. Then the
     gaps are updated and the rest of the pieces look again. What finds no gap opens sequences. The state is a list of
-    gap sizes with runs of sequence numbers: at most ``room`` sizes and lengths, however many documents there are.
+    gap sizes with runs of sequence numbers: at most ``room`` sizes and lengths, however many documents there are. A run
+    may be split and used again by many lengths, so no such bound is shown for the number of runs.
     """
     gaps: dict[int, list[tuple[int, int]]] = defaultdict(list)  # size: runs of sequences (first, number)
     sizes: list[int] = []
