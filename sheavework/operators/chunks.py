@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, text
-from .spread import running_offset
+from .spread import running_offset, settled
 
 
 def skip_blank(df: DataFrame, col: str = "text") -> DataFrame:
@@ -92,9 +92,9 @@ def headings_from_styles(paragraphs: DataFrame) -> DataFrame:
     )
 
 
-def page_medians(words: DataFrame) -> DataFrame:
-    """Upper median of the non-zero sizes of every page, from counts per distinct size."""
-    counts = words.where(F.coalesce(F.col("size"), F.lit(0.0)) != 0).groupBy("source", "page", "size").agg(F.count("*").alias("n"))
+def page_medians(counts: DataFrame) -> DataFrame:
+    """Upper median of the non-zero sizes of every page, from numbers ``n`` of words per (source, page, size)."""
+    counts = counts.where(F.coalesce(F.col("size"), F.lit(0.0)) != 0).groupBy("source", "page", "size").agg(F.sum("n").alias("n"))
     page = Window.partitionBy("source", "page")
     upto = page.orderBy("size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(page))
@@ -108,12 +108,17 @@ TOP_HEADING_RATIO = 1.6
 
 
 def headings_from_font_size(words: DataFrame) -> DataFrame:
-    """Lines whose average size is well above the page's median; text is collected for those lines only."""
+    """Lines whose average size is well above the page's median; text is collected for those lines only.
+
+    The words are read twice: once for the sizes that occur in each line, from which lines and pages are both summed up, and
+    once for the text of the headings.
+    """
     placed = words.withColumn("line", F.col("top").cast("int"))
-    lines = placed.groupBy("source", "page", "line").agg(
-        F.avg(F.coalesce(F.col("size"), F.lit(0.0))).alias("line_size"), F.min("word_no").alias("first_word")
+    sizes = settled(placed.groupBy("source", "page", "line", "size").agg(F.count("*").alias("n"), F.min("word_no").alias("first_word")))
+    lines = sizes.groupBy("source", "page", "line").agg(
+        (F.sum(F.coalesce(F.col("size"), F.lit(0.0)) * F.col("n")) / F.sum("n")).alias("line_size"), F.min("first_word").alias("first_word")
     )
-    large = lines.join(page_medians(words), ["source", "page"]).where(
+    large = lines.join(page_medians(sizes), ["source", "page"]).where(
         F.col("line_size") >= F.col("median") * HEADING_RATIO
     )
     level = F.when(F.col("line_size") >= F.col("median") * TOP_HEADING_RATIO, 1).otherwise(2)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from .catalog import column_label
-from .spread import BROADCAST_BYTES, BROADCAST_ROWS, SALTS, first_n, fits_broadcast, salted_join, settled
+from .rows import first_rows, rows_of_queries
+from .spread import BROADCAST_BYTES, first_n, salted_join, settled
 
 GRAM = 3
 
@@ -106,11 +107,6 @@ def top_k_tables(queries: DataFrame, tables: DataFrame, columns: DataFrame, k: i
     return first_n(found, ["query_id"], by_catalog, k).select("query_id", "rank", "table_name")
 
 
-def _row_text(values: str = "values") -> Column:
-    """All cells of a row, one per line. A token holds no whitespace, so it cannot reach over a line end."""
-    return F.lower(F.array_join(F.filter(values, lambda v: v.isNotNull()), "\n"))
-
-
 def _match_patterns(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows with a cell that is LIKE ``%token%``. Cells and patterns meet on the pattern's first literal characters.
 
@@ -129,79 +125,53 @@ def _match_patterns(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select(*columns).unionByName(fit.select(*columns)).distinct()
 
 
-def match_row_tokens(rows: DataFrame, wanted: DataFrame, wildcards: bool = False, broadcast_rows: int = BROADCAST_ROWS,
-                     max_passes: int = 64) -> DataFrame:
-    """(table_name, row_no, token): rows of a table with the tokens of ``wanted(table_name, token)`` they hold.
+def _asked(queries: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(query_id, table_name, token), distinct."""
+    tokens = tokenize_query(queries).select("query_id", "token").distinct()
+    return tokens.join(chosen.select("query_id", "table_name"), "query_id")
+
+
+def match_rows(queries: DataFrame, chosen: DataFrame, rows: DataFrame, wildcards: bool = False, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(query_id, table_name, row_no) of all rows of the chosen tables with a cell that holds a token of the query.
 
-    The wanted pairs are counted. If they can be broadcast, the rows are read in place and never shuffled;
-    otherwise they are divided into several such parts by hash and the rows are read once per part. Beyond
-    ``max_passes`` parts, pieces of rows are joined with the pairs by shuffle instead.
-    With ``wildcards`` the characters ``%`` and ``_`` of a token act as in LIKE.
+    The rows are read once for every ``limit`` bytes of wanted tokens, in place. With ``wildcards`` the characters
+    ``%`` and ``_`` of a token act as in LIKE, and pieces of cells are joined with the patterns instead.
     """
-    if wildcards:
-        return _match_patterns(rows, wanted)
-    texts = rows.select("table_name", "row_no", _row_text().alias("row_text"))
-    pairs = _with_key(wanted.select("table_name", "token").distinct())
-    size = F.octet_length("table_name") + F.octet_length("token")
-    measured = pairs.agg(F.count("*").alias("n"), F.sum(size).alias("b"), F.collect_set(F.char_length("gram")).alias("lengths")).first()
-    if not measured["n"]:
-        return wanted.select("table_name", F.lit(0).cast("long").alias("row_no"), "token").where(F.lit(False))
-    # Only pieces as long as some token's key can meet one.
-    pieces = texts.withColumn("gram", F.explode(_grams(F.col("row_text"), measured["lengths"])))
-    holds = F.contains("row_text", F.col("token"))
-    columns = ["table_name", "row_no", "token"]
-    parts = max(-(-measured["n"] // broadcast_rows), -(-measured["b"] // BROADCAST_BYTES))
-    if parts == 1:
-        return pieces.join(F.broadcast(pairs), ["table_name", "gram"]).where(holds).select(*columns)
-    if parts > max_passes:
-        return salted_join(pieces, pairs, ["table_name", "gram"], ["row_no"], salts=SALTS * 4).where(holds).select(*columns)
-    # Twice as many parts as needed leave room for uneven hashing; each is measured before it is broadcast.
-    parts *= 2
-    divided = settled(pairs.withColumn("_part", F.pmod(F.xxhash64("table_name", "token"), F.lit(parts))))
-    out = None
-    for part in range(parts):
-        some = divided.where(F.col("_part") == part).drop("_part")
-        hits = pieces.join(F.broadcast(some) if fits_broadcast(some, broadcast_rows) else some, ["table_name", "gram"])
-        hits = hits.where(holds).select(*columns)
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
-def match_rows(queries: DataFrame, chosen: DataFrame, rows: DataFrame, wildcards: bool = False) -> DataFrame:
-    """(query_id, table_name, row_no) of all rows of the chosen tables with a cell that holds a token of the query."""
     asked = _asked(queries, chosen)
-    found = match_row_tokens(rows, asked.select("table_name", "token"), wildcards)
-    joined = salted_join(found, asked, ["table_name", "token"], ["row_no"])
+    if not wildcards:
+        return rows_of_queries(rows, asked, limit)
+    joined = salted_join(_match_patterns(rows, asked.select("table_name", "token")), asked, ["table_name", "token"], ["row_no"])
     return joined.select("query_id", "table_name", "row_no").distinct()
 
 
-def _asked(queries: DataFrame, chosen: DataFrame) -> DataFrame:
-    tokens = tokenize_query(queries).select("query_id", "token").distinct()
-    return tokens.join(chosen.select("query_id", "table_name"), "query_id")
-
-
-def sample_rows(queries: DataFrame, chosen: DataFrame, rows: DataFrame, n: int = 3, wildcards: bool = False) -> DataFrame:
+def sample_rows(queries: DataFrame, chosen: DataFrame, rows: DataFrame, n: int = 3, wildcards: bool = False, limit: int = BROADCAST_BYTES) -> DataFrame:
     """First ``n`` matching rows per query and chosen table, or the table's first ``n`` rows if none matches.
 
-    The first ``n`` rows of a query are among the first ``n`` rows of each of its tokens, so matches are cut
-    to ``n`` per table and token (in every task, before the shuffle) and joined with the queries after that.
+    The first ``n`` rows of a query are among the first ``n`` rows of each of its tokens and those of the table. One scan
+    finds them, with their values, and only they are shuffled.
     """
-    # Both are read several times below; the matches are the only step that reads all rows.
+    # Read several times below; small beside the rows.
     asked = settled(_asked(queries, chosen))
-    found = match_row_tokens(rows, asked.select("table_name", "token"), wildcards)
-    per_token = settled(first_n(found, ["table_name", "token"], [F.col("row_no")], n, "_n").drop("_n"))
+    wanted = asked.select("table_name", "token").distinct()
+    if wildcards:
+        per_token = settled(first_n(_match_patterns(rows, wanted), ["table_name", "token"], [F.col("row_no")], n, "_n").drop("_n"))
+        needed = per_token.select("table_name", "row_no").unionByName(rows.where(F.col("row_no") < n).select("table_name", "row_no")).distinct()
+        found = settled(rows.join(needed, ["table_name", "row_no"], "left_semi").select("table_name", "row_no", "values"))
+    else:
+        found = settled(first_rows(rows, wanted, n, limit))
+        each = found.select("table_name", "row_no", F.explode("tokens").alias("token"))
+        per_token = first_n(each, ["table_name", "token"], [F.col("row_no")], n, "_n").drop("_n")
     matched = (
         salted_join(asked, per_token, ["table_name", "token"], ["query_id"])
         .select("query_id", "table_name", "row_no").distinct()
     )
-    best = first_n(matched, ["query_id", "table_name"], [F.col("row_no")], n).drop("rank")
+    best = settled(first_n(matched, ["query_id", "table_name"], [F.col("row_no")], n).drop("rank"))
     pairs = chosen.select("query_id", "table_name")
     rest = pairs.join(best.select("query_id", "table_name").distinct(), ["query_id", "table_name"], "left_anti")
-    head = rows.where(F.col("row_no") < n).select("table_name", "row_no")
+    values = found.select("table_name", "row_no", "values").dropDuplicates(["table_name", "row_no"])
+    head = values.where(F.col("row_no") < n).select("table_name", "row_no")
     fallback = salted_join(rest, head, ["table_name"], ["query_id"])
     picked = best.withColumn("matched", F.lit(True)).unionByName(fallback.withColumn("matched", F.lit(False)))
-    needed = picked.select("table_name", "row_no").distinct()
-    values = rows.join(needed, ["table_name", "row_no"], "left_semi").select("table_name", "row_no", "values")
     return salted_join(picked, values, ["table_name", "row_no"], ["query_id"]).select(
         "query_id", "table_name", "row_no", "matched", "values"
     )

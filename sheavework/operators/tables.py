@@ -7,8 +7,13 @@ names live in the column catalog only, so that any header is allowed and rows st
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import names, text
 from .spread import first_n, salted_join
@@ -30,17 +35,51 @@ def name_tables(grids: DataFrame) -> DataFrame:
     )
 
 
-def cells_to_rows(cells: DataFrame) -> DataFrame:
+def _changes(column: pa.ChunkedArray) -> np.ndarray:
+    """Where a value differs from the one before; nulls are alike. The first place counts as a change."""
+    codes = column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.append(True, codes[1:] != codes[:-1])
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted cells to rows. The last row of a batch waits for the next one."""
+    carry = None
+
+    def solved(cells: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        place = cells.column("col_no").to_numpy().astype(np.int64)
+        widths = place[np.append(starts[1:], len(place)) - 1] + 1
+        offsets = np.append(0, np.cumsum(widths))
+        source = np.full(offsets[-1], -1)
+        source[np.repeat(offsets[:-1], np.diff(np.append(starts, len(place)))) + place] = np.arange(len(place))
+        values = cells.column("value").combine_chunks().take(pa.array(source, mask=source < 0))
+        rows = cells.select([*GRID, "row_no"]).take(pa.array(starts)).combine_chunks().to_batches()[0]
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)], names=[*GRID, "row_no", "values"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells = pa.Table.from_batches([batch]) if carry is None else pa.concat_tables([carry, pa.Table.from_batches([batch])])
+        starts = np.flatnonzero(np.logical_or.reduce([_changes(cells.column(c)) for c in [*GRID, "row_no"]]))
+        carry = cells.slice(starts[-1])
+        if len(starts) > 1:
+            yield solved(cells.slice(0, starts[-1]), starts[:-1])
+    if carry is not None:
+        yield solved(carry, np.zeros(1, np.int64))
+
+
+def cells_to_rows(cells: DataFrame, laid_out: bool = False) -> DataFrame:
     """Grid rows (source, label, kind, page, table_no, table_name, row_no, values). A group is one grid row.
 
-    Names are made per row, after the cells have been gathered.
+    Cells are dealt out and sorted by row, and rows are cut out of the sorted stream. Cells that a row lacks are null, of
+    cells that share a place the last by value stays. With ``laid_out`` the rows come in ranges of grid and row number, which reads the
+    cells once more to find the ranges. Names are made per row, after the cells have been gathered.
     """
-    by_col = F.map_from_entries(F.collect_list(F.struct("col_no", "value")))
-    grouped = cells.groupBy(*GRID, "row_no").agg(by_col.alias("by_col"), F.max("col_no").alias("last_col"))
-    values = F.transform(F.sequence(F.lit(0), F.col("last_col")), lambda i: F.element_at(F.col("by_col"), i))
-    return name_tables(grouped.withColumn("values", values)).select(
-        *KEY, "kind", "page", "table_no", "table_name", "row_no", "values"
-    )
+    chosen = cells.select(*GRID, "row_no", "col_no", "value")
+    dealt = chosen.repartitionByRange(*GRID, "row_no") if laid_out else chosen.repartition(*GRID, "row_no")
+    fields = [chosen.schema[c] for c in (*GRID, "row_no")]
+    schema = StructType([StructField(f.name, f.dataType) for f in fields] + [StructField("values", ArrayType(StringType()))])
+    rows = dealt.sortWithinPartitions(*GRID, "row_no", "col_no", "value").mapInArrow(_gather, schema)
+    return name_tables(rows).select(*KEY, "kind", "page", "table_no", "table_name", "row_no", "values")
 
 
 def has_header(rows: DataFrame) -> DataFrame:
@@ -49,14 +88,14 @@ def has_header(rows: DataFrame) -> DataFrame:
     return rows.where(F.col("row_no") == 0).select(*KEY, "table_name", filled.alias("has_header"))
 
 
-def header_info(rows: DataFrame, hierarchy_kinds: tuple[str, ...] = ()) -> DataFrame:
+def header_info(rows: DataFrame, hierarchy_kinds: tuple[str, ...] = (), two_row_sheets: DataFrame | None = None) -> DataFrame:
     """One row per table: final column names, parents and how many grid rows the header takes.
 
     Only grid rows 0 to 2 are read. A pdf grid has a header if row 0 is filled, every other kind always
     has one; a missing spreadsheet or csv header is ``Unnamed: i``, a grid without header is numbered. If at
     least 60 % of the names start with "unnamed" (or have the ``_c<i>`` form of Spark's csv reader) they are
-    rebuilt from the two rows below, which then leave the data. For ``hierarchy_kinds`` the first two grid
-    rows are name and parent.
+    rebuilt from the two rows below, which then leave the data. For the sheets listed in ``two_row_sheets``
+    (source, label), and for all of the ``hierarchy_kinds``, the first two grid rows are parent and name.
     """
     top = (
         rows.where(F.col("row_no") <= 2)
@@ -68,6 +107,11 @@ def header_info(rows: DataFrame, hierarchy_kinds: tuple[str, ...] = ()) -> DataF
     width = F.greatest(*[F.coalesce(F.size(F.col(f"row{i}")), F.lit(0)) for i in range(3)])
     top = top.withColumn("width", width)
     two_rows = F.col("kind").isin(*hierarchy_kinds) if hierarchy_kinds else F.lit(False)
+    if two_row_sheets is not None:
+        # One row per table on both sides.
+        listed = two_row_sheets.select(*KEY).distinct().withColumn("_listed", F.lit(True))
+        top = top.join(listed, KEY, "left")
+        two_rows = two_rows | F.coalesce("_listed", F.lit(False))
     top = top.withColumn("two_rows", two_rows)
 
     def cell(row: Column, i: Column) -> Column:
@@ -128,9 +172,20 @@ def body_rows(rows: DataFrame, headers: DataFrame) -> DataFrame:
     )
 
 
-def drop_empty_tables(rows: DataFrame) -> DataFrame:
-    """Word and pdf grids without rows are no tables; other kinds keep an empty table with its header."""
-    return rows.where(~(F.col("kind").isin("docx", "pdf") & (F.size("values") == 0)))
+def drop_empty_tables(grids: DataFrame, rows: DataFrame) -> DataFrame:
+    """The grids that are tables: those with rows, and without rows all but Word and pdf grids, as (kind, source, sheet, page,
+    table_no, label, table_name, n_rows). ``grids`` lists every grid that was met, also those without a cell."""
+    filled = rows.groupBy(*KEY).agg(F.count("*").alias("n_rows"))
+    named = name_tables(grids.select(*GRID).distinct()).join(filled, KEY, "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    return named.where((F.col("n_rows") > 0) | ~F.col("kind").isin("docx", "pdf")).select(*GRID, "label", "table_name", "n_rows")
+
+
+def empty_headers(listed: DataFrame, headers: DataFrame) -> DataFrame:
+    """Rows like those of ``header_info`` for the tables of ``drop_empty_tables`` that have no rows: no column, no name."""
+    none, names_type = F.lit(0), "array<string>"
+    columns = {"has_header": F.lit(True), "repaired": F.lit(False), "width": none, "read_names": F.array().cast(names_type),
+               "names": F.array().cast(names_type), "parents": F.array().cast(names_type), "header_rows": none, "taken_rows": none}
+    return listed.where("n_rows = 0").withColumns(columns).select(*headers.columns)
 
 
 def sheet_stats(headers: DataFrame, body: DataFrame) -> DataFrame:

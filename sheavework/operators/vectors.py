@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,16 +14,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 from ..functions import text, vectors
-from .spread import first_n, fits_broadcast, kept, salted_join, settled
+from ..session import scratch_path
+from .spread import first_n, kept, salted_join, settled
 
 SCORE_DIGITS = 6
 MAX_CELLS = 65_536
+QUERY_BYTES = 32 << 20
+PLANNED_PASSES = 16
 
 
 def blank_query_filter(queries: DataFrame, col: str = "query") -> DataFrame:
     return queries.where(text.not_blank(F.col(col)))
 
 
+def _unit_counts(dim: int) -> Callable:
+    """Buckets of a row to counts per bucket, of unit length: one pass over the buckets of an Arrow batch."""
+
+    @F.arrow_udf("array<float>")
+    def counts(buckets: pa.Array) -> pa.Array:
+        found = np.zeros((len(buckets), dim))
+        owner = np.repeat(np.arange(len(buckets)), pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False))
+        np.add.at(found, (owner, buckets.flatten().to_numpy(zero_copy_only=False)), 1.0)
+        unit = found / (np.sqrt((found * found).sum(axis=1, keepdims=True)) + vectors.NORM_EPSILON)
+        flat = pa.array(unit.astype(np.float32).ravel())
+        # A null text has null buckets and, as before, no vector.
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(buckets) + 1) * dim, pa.int32()), flat, mask=buckets.is_null())
+
+    return counts
+
+
 def embed(df: DataFrame, text_col: str, dim: int, scorer: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
           batch_rows: int = 256) -> DataFrame:
     """Add ``embedding`` (unit length, ARRAY<FLOAT>) and ``error``.
@@ -32,13 +52,8 @@ def embed(df: DataFrame, text_col: str, dim: int, scorer: Callable[[], Callable[
     of another size, leaves the row in place with a NULL vector and the reason in ``error``.
     """
     if scorer is None:
-        counted = df.withColumn("_terms", vectors.hashed_terms(text.words(F.col(text_col)), dim))
-        unit = vectors.l2_normalize(F.col("_terms"))
-        return (
-            counted.withColumn("embedding", unit.cast("array<float>"))
-            .withColumn("error", F.lit(None).cast("string"))
-            .drop("_terms")
-        )
+        counted = _unit_counts(dim)(vectors.hashed_buckets(text.words(F.col(text_col)), dim))
+        return df.withColumn("embedding", counted).withColumn("error", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = scorer()
@@ -112,42 +127,77 @@ def _valid(df: DataFrame, dim: int, *cols: str) -> DataFrame:
     return chosen.mapInArrow(run, chosen.schema)
 
 
-def _knn_few_queries(corpus: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
-    """Map-only scoring against a broadcast query matrix; only tasks x queries x k rows are shuffled."""
-    table = _usable(queries.toArrow(), dim)
+class RunningBest:
+    """The k best hits of every query seen so far; equal scores by chunk id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.queries, self.k = queries, k
+        self.query, self.chunk, self.score = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+
+    def add(self, query: np.ndarray, chunk: np.ndarray, score: np.ndarray) -> None:
+        parts = np.concatenate([self.query, query]), np.concatenate([self.chunk, chunk]), np.concatenate([self.score, score])
+        order = np.lexsort((parts[1], -parts[2], parts[0]))
+        parts = tuple(part[order] for part in parts)
+        first = np.searchsorted(parts[0], np.arange(self.queries))
+        keep = np.arange(len(parts[0])) - first[parts[0]] < self.k
+        self.query, self.chunk, self.score = (part[keep] for part in parts)
+
+    def batch(self, names: np.ndarray, id_type: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names[self.query].tolist(), id_type), pa.array(self.chunk.tolist()), pa.array(self.score)], names=["query_id", "chunk_id", "score"]
+        )
+
+
+def score_batch(batch: pa.RecordBatch, matrix: np.ndarray, k: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``matrix``, chunk id and score of the k best of an Arrow batch (chunk_id, embedding) for every row of the matrix."""
+    ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)
+    order = np.argsort(ids, kind="stable")
+    scores = np.round(matrix @ _matrix(batch.column("embedding"), dim)[order].T, SCORE_DIGITS)
+    rows, cols = _top_k(scores, k)
+    return rows, ids[order][cols], scores[rows, cols]
+
+
+def hit_schema(corpus: DataFrame, queries: DataFrame) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {corpus.schema['chunk_id'].dataType.simpleString()}, score double"
+
+
+def _knn_pass(corpus: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
+    """Map-only scoring against one broadcast block of queries; only tasks x queries x k rows are shuffled."""
+    table = queries.select("query_id", "embedding").toArrow()
     ids, matrix = table.column("query_id").combine_chunks(), _matrix(table.column("embedding"), dim)
-    shared = corpus.sparkSession.sparkContext.broadcast(matrix)
-    id_type = corpus.schema["chunk_id"].dataType
-    shared_ids = corpus.sparkSession.sparkContext.broadcast(ids.to_pylist())
+    shared = corpus.sparkSession.sparkContext.broadcast((np.array(ids.to_pylist(), dtype=object), matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, names = shared.value, np.array(shared_ids.value, dtype=object)
-        best_id = best_query = best_score = None
+        names, q = shared.value
+        best = RunningBest(len(q), k)
         for batch in batches:
             batch = _usable(batch, dim)
-            if not batch.num_rows or not len(q):
-                continue
-            order = np.argsort(np.array(batch.column("chunk_id").to_pylist(), dtype=object), kind="stable")
-            chunk_ids = np.array(batch.column("chunk_id").to_pylist(), dtype=object)[order]
-            scores = np.round(q @ _matrix(batch.column("embedding"), dim)[order].T, SCORE_DIGITS)
-            rows, cols = _top_k(scores, k)
-            new = rows, chunk_ids[cols], scores[rows, cols]
-            if best_id is not None:
-                new = tuple(np.concatenate(pair) for pair in zip((best_query, best_id, best_score), new))
-                order = np.lexsort((new[1], -new[2], new[0]))
-                new = tuple(part[order] for part in new)
-                first = np.searchsorted(new[0], np.arange(len(q)))
-                keep = np.arange(len(new[0])) - first[new[0]] < k
-                new = tuple(part[keep] for part in new)
-            best_query, best_id, best_score = new
-        if best_id is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names[best_query].tolist(), ids.type), pa.array(best_id.tolist()), pa.array(best_score)],
-                names=["query_id", "chunk_id", "score"],
-            )
-
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {id_type.simpleString()}, score double"
-    return corpus.mapInArrow(run, schema)
+            if batch.num_rows and len(q):
+                best.add(*score_batch(batch, q, k, dim))
+        if len(best.query):
+            yield best.batch(names, ids.type)
+
+    return corpus.mapInArrow(run, hit_schema(corpus, queries))
+
+
+def in_passes(queries: DataFrame, width: int, block_bytes: int, each: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``each`` over blocks of the queries, a block holding about ``block_bytes`` at ``width`` bytes a query.
+
+    The queries are settled first, so what computes them runs once. A few blocks become one plan; the results of many
+    are written to the shared folder block by block, so that neither the plan nor the broadcasts pile up.
+    """
+    stored = settled(queries)
+    blocks = max(1, -(-stored.count() * width // block_bytes))
+    if blocks == 1:
+        return each(stored)
+    dealt = stored.withColumn("_pass", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    parts = [(lambda p: each(dealt.where(F.col("_pass") == p).drop("_pass"))) for p in range(blocks)]
+    if blocks <= PLANNED_PASSES:
+        return reduce(DataFrame.unionByName, [part(p) for p, part in enumerate(parts)])
+    path = scratch_path(queries.sparkSession, "passes")
+    for p, part in enumerate(parts):
+        part(p).write.parquet(f"{path}/pass={p}")
+    return queries.sparkSession.read.parquet(path).drop("pass")
 
 
 def _knn_blocks(corpus: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
@@ -189,25 +239,17 @@ def _knn_blocks(corpus: DataFrame, queries: DataFrame, k: int, dim: int) -> Data
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
 
 
-def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, dim: int = 1024, broadcast_queries: int = 4096,
-              block_rows: int = 4096) -> DataFrame:
+def knn_exact(corpus: DataFrame, queries: DataFrame, k: int = 5, dim: int = 1024, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Top ``k`` by inner product: (query_id, rank, chunk_id, score); equal scores by chunk id.
 
     ``corpus(chunk_id, embedding)``, ``queries(query_id, embedding)``, unit vectors of ``dim``; vectors of
-    another size are left out (see ``check_dimension``). Up to ``broadcast_queries`` queries (counted) are
-    sent to the corpus, which is then read in place; beyond that both sides are cut into blocks.
+    another size are left out (see ``check_dimension``). Queries are computed once and sent to the corpus in blocks of
+    ``query_bytes``; the corpus is read in place, once per block, and never copied or shuffled. With more than one block
+    pass a stored corpus, or its vectors are computed again for every block.
     """
-    corpus, queries = corpus.select("chunk_id", "embedding"), queries.select("query_id", "embedding")
-    if broadcast_queries and fits_broadcast(queries, broadcast_queries):
-        best = _knn_few_queries(corpus, queries, k, dim)
-    else:
-        sizes = {
-            "c_blocks": F.lit(max(1, -(-corpus.count() // block_rows))).cast("int"),
-            "q_blocks": F.lit(max(1, -(-queries.count() // block_rows))).cast("int"),
-            "cell": F.lit(0),
-        }
-        best = _knn_blocks(corpus.withColumns(sizes), queries.withColumns(sizes), k, dim)
-    return _rank(best, k)
+    corpus = corpus.select("chunk_id", "embedding")
+    asked = _valid(queries, dim, "query_id")
+    return _rank(in_passes(asked, 8 * dim, query_bytes, lambda block: _knn_pass(corpus, block, k, dim)), k)
 
 
 def hydrate_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:

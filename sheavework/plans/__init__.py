@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-for _name in ("documents", "grids", "nearest", "catalogs", "lookup", "chats", "console", "streams"):
+for _name in ("documents", "grids", "nearest", "catalogs", "lookup", "intake", "chats", "console", "streams"):
     importlib.import_module(f"{__name__}.{_name}")
 
 

@@ -60,10 +60,17 @@ def header_hierarchy(spark, sf):
     return tables.header_hierarchy(tables.cells_to_rows(I.cells(spark, sf)))
 
 
-@register("drop_empty_tables", sql("SELECT source, kind, count(*) AS n_tables, sum(width)::BIGINT AS n_columns FROM tabs WHERE width > 0 GROUP BY ALL", "tabs"))
+@register("drop_empty_tables", sql("""SELECT source, kind, label, table_name, n_rows::BIGINT AS n_rows, (n_rows > 0)::INT * width AS n_columns, CASE WHEN n_rows = 0 THEN '_empty' END AS only_column FROM (
+    SELECT source, kind, label, table_name, grid_rows AS n_rows, width FROM tabs UNION ALL SELECT 'broken.xlsx', 'xlsx', 'blank', 'broken_blank', 0, 0)""", "tabs"))
 def drop_empty_tables(spark, sf):
-    rows = tables.drop_empty_tables(tables.cells_to_rows(I.cells(spark, sf)))
-    return tables.header_info(rows).groupBy("source", "kind").agg(F.count("*").alias("n_tables"), F.sum("width").alias("n_columns"))
+    """All grids that were met: of those without a cell the sheet stays, as a table of one column that no one named."""
+    rows = tables.cells_to_rows(I.cells(spark, sf))
+    listed = tables.drop_empty_tables(I.grid_list(spark), rows)
+    headers = tables.header_info(rows)
+    every = headers.unionByName(tables.empty_headers(listed, headers))
+    columns = tables.column_catalog(every).groupBy("table_name").agg(F.max(F.when(F.col("column_name") == tables.EMPTY_COLUMN, F.col("column_name"))).alias("only_column"))
+    widths = every.select("table_name", F.col("width").alias("n_columns"))
+    return listed.select("source", "kind", "label", "table_name", "n_rows").join(widths, "table_name").join(columns, "table_name")
 
 
 @register("sheet_stats", sql("SELECT source, label AS sheet, width AS n_cols, grid_rows - taken AS n_rows, grid_rows - header_rows AS raw_n_rows FROM tabs", "tabs"))
@@ -106,12 +113,15 @@ def infer_order_types(spark, sf):
 _CSV = "CASE WHEN regexp_matches({0}, '[\",\r\n]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
 
 
-@register("head_as_csv_text", sql(f"""SELECT t.source, t.label, t.kind, t.table_name, h.line || chr(10) || coalesce(string_agg(r.line, chr(10) ORDER BY r.row_no) || chr(10), '') AS text
+HEAD_TEXTS = f"""SELECT t.source, t.label, t.kind, t.table_name, h.line || chr(10) || coalesce(string_agg(r.line, chr(10) ORDER BY r.row_no) || chr(10), '') AS text
     FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY table_no, label) AS rk FROM tabs WHERE kind IN ('csv', 'xlsx', 'xls')) WHERE rk <= 3) t
     JOIN (SELECT source, label, string_agg({_CSV.format('read_name')}, ',' ORDER BY col_no) AS line FROM read GROUP BY ALL) h ON h.source = t.source AND h.label = t.label
     LEFT JOIN (SELECT source, label, row_no, string_agg({_CSV.format("coalesce(value, '')")}, ',' ORDER BY col_no) AS line FROM named GROUP BY ALL) r
       ON r.source = t.source AND r.label = t.label AND r.row_no >= t.header_rows AND r.row_no < t.header_rows + CASE WHEN t.kind = 'csv' THEN 50 ELSE 30 END
-    GROUP BY t.source, t.label, t.kind, t.table_name, h.line""", "tabs", "read", "named"))
+    GROUP BY t.source, t.label, t.kind, t.table_name, h.line"""
+
+
+@register("head_as_csv_text", sql(HEAD_TEXTS, "tabs", "read", "named"))
 def head_as_csv_text(spark, sf):
     s = I.stored(spark, sf, ALL)
     return tables.head_as_csv_text(s["rows"], s["headers"])

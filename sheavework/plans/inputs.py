@@ -6,6 +6,8 @@ need, in front of a final SELECT.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +100,17 @@ def grids() -> list[dict]:
     return out
 
 
+# Grids without a single cell: a sheet, which is a table all the same, and a Word and a pdf grid, which are none.
+EMPTY_GRIDS = [("broken.xlsx", "xlsx", "blank", None, 5), ("memo.docx", "docx", None, None, 3), ("report.pdf", "pdf", None, 4, 1)]
+TWO_ROW_SHEETS = [("nested.xlsx", "part")]
+
+
+def grid_list(spark: SparkSession) -> DataFrame:
+    """(source, kind, sheet, page, table_no) of every grid, also of those without a cell."""
+    met = [(g["source"], g["kind"], g["sheet"], g["page"], g["table_no"]) for g in grids()]
+    return spark.createDataFrame(met + EMPTY_GRIDS, "source string, kind string, sheet string, page int, table_no int")
+
+
 def _lit(value) -> str:
     return "NULL" if value is None else "'" + str(value).replace("'", "''") + "'"
 
@@ -154,6 +167,16 @@ def catalogs_of(rows: DataFrame) -> dict[str, DataFrame]:
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
+def written(spark: SparkSession, sf: str, name: str, write: Callable[[str], object]) -> str:
+    """The folder that ``write`` fills, once per session and data folder."""
+    key = (spark.sparkContext.applicationId, f"{sf}#{name}")
+    if key not in _WRITTEN:
+        root = scratch_path(spark, name)
+        write(root)
+        _WRITTEN[key] = root
+    return _WRITTEN[key]
+
+
 def knowledge_base(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """The workbook of whole tables as stored tables: rows, column, sheet and table catalogs as Parquet.
 
@@ -161,19 +184,16 @@ def knowledge_base(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     laid out by ranges of table and row number, so that a scan for some tables skips the files of the
     others and a dominant table is spread over many files.
     """
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _WRITTEN:
-        root = scratch_path(spark, "kb")
-        tables.cells_to_rows(cells(spark, sf, "star.xlsx")).write.parquet(f"{root}/grid")
+
+    def write(root: str) -> None:
+        tables.cells_to_rows(cells(spark, sf, "star.xlsx"), laid_out=True).write.parquet(f"{root}/grid")
         made = catalogs_of(spark.read.parquet(f"{root}/grid"))
-        ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        laid_out = made["body"].repartitionByRange(ranges, "table_name", "row_no").sortWithinPartitions("table_name", "row_no")
-        laid_out.write.parquet(f"{root}/rows")
+        made["body"].sortWithinPartitions("table_name", "row_no").write.parquet(f"{root}/rows")
         sheets = tables.sheet_stats(made["headers"], spark.read.parquet(f"{root}/rows"))
         for name, df in {"columns": made["columns"], "tables": made["tables"], "sheets": sheets}.items():
             df.write.parquet(f"{root}/{name}")
-        _WRITTEN[key] = root
-    root = _WRITTEN[key]
+
+    root = written(spark, sf, "kb", write)
     found = {name: spark.read.parquet(f"{root}/{name}") for name in ("rows", "columns", "sheets", "tables")}
     return {**found, "body": found["rows"]}
 
@@ -203,15 +223,14 @@ def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_base(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """Chunks and vectors of the documents as stored tables, written once per session and data folder."""
-    key = (spark.sparkContext.applicationId, sf + "#text")
-    if key not in _WRITTEN:
-        root = scratch_path(spark, "text")
+
+    def write(root: str) -> None:
         doc_chunks(spark, sf).write.parquet(f"{root}/chunks")
         stored_chunks = spark.read.parquet(f"{root}/chunks")
         embedded = vectors.embed(stored_chunks.select("chunk_id", "preview"), "preview", DIM)
         embedded.select("chunk_id", "embedding").write.parquet(f"{root}/vectors")
-        _WRITTEN[key] = root
-    root = _WRITTEN[key]
+
+    root = written(spark, sf, "text", write)
     return {name: spark.read.parquet(f"{root}/{name}") for name in ("chunks", "vectors")}
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import catalog, vectors
+from ..operators.cells import StoredCells, recall
+from ..session import scratch_path
 from . import inputs as I
 from .inputs import DIM, sql, words_sql
 from .registry import register
@@ -64,8 +66,8 @@ def knn_exact(spark, sf):
 
 @register("knn_exact_blocks", KNN_SQL)
 def knn_exact_blocks(spark, sf):
-    """The same without any broadcast of queries, in blocks of both sides."""
-    return vectors.knn_exact(_corpus(spark, sf), _as_queries(spark, sf), K, DIM, broadcast_queries=0, block_rows=512)
+    """The same with queries in blocks of a hundred, as they come when they are too many to be sent at once."""
+    return vectors.knn_exact(_corpus(spark, sf), _as_queries(spark, sf), K, DIM, query_bytes=100 * 8 * DIM)
 
 
 @register("knn_approx_all_cells", KNN_SQL)
@@ -75,10 +77,55 @@ def knn_approx_all_cells(spark, sf):
     return vectors.knn_approx(index, _as_queries(spark, sf), K, nprobe=16)
 
 
-@register("knn_approx")
+CELLS, PROBES, ROUNDS = 32, 8, 4
+
+
+def cells_sql(final: str) -> str:
+    """The cells of the stored index: whole-number k-means written out round by round, then the probes and the hits."""
+    apart = "list_sum(list_transform(list_zip(a.q, b.q), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = [f"""v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e, list_transform(embedding, lambda x: floor(x::DOUBLE * 32768)::BIGINT) AS q FROM embeddings),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(vec_id::VARCHAR), vec_id) - 1 AS cell, q FROM v ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT {CELLS})"""]
+    for r in range(ROUNDS + 1):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(a.q) AS q, min_by(cell, ({apart}, cell)) AS cell FROM v a, c{r} b GROUP BY vec_id)")
+        if r < ROUNDS:
+            parts.append(f"""m{r} AS (SELECT cell, list(((s - (((s % n) + n) % n)) // n)::BIGINT ORDER BY i) AS q FROM (SELECT cell, i, sum(x) AS s, count(*) AS n
+                FROM (SELECT cell, unnest(q) AS x, unnest(range(len(q))) AS i FROM a{r}) GROUP BY cell, i) GROUP BY cell),
+                c{r + 1} AS MATERIALIZED (SELECT cell, coalesce(m{r}.q, c{r}.q) AS q FROM c{r} LEFT JOIN m{r} USING (cell))""")
+    parts.append(f"""probes AS MATERIALIZED (SELECT vec_id, cell FROM (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY {apart}, cell) AS n FROM v a, c{ROUNDS} b) WHERE n <= {PROBES}),
+        pairs AS (SELECT p.vec_id AS query_id, x.vec_id AS chunk_id, round(list_inner_product(y.e, z.e), 6) AS score FROM probes p JOIN a{ROUNDS} x ON x.cell = p.cell JOIN v y ON y.vec_id = p.vec_id JOIN v z ON z.vec_id = x.vec_id),
+        found AS (SELECT query_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM pairs) WHERE rank <= {K})""")
+    return "WITH " + ",\n".join(parts) + "\n" + final
+
+
+def stored_cells(spark, sf) -> StoredCells:
+    """The index of the table, built once per session and data folder, opened again for every query."""
+    root = I.written(spark, sf, "cells", lambda path: StoredCells.build(_corpus(spark, sf), path, DIM, CELLS, ROUNDS))
+    return StoredCells.open(spark, root)
+
+
+@register("knn_approx", cells_sql("SELECT * FROM found"))
 def knn_approx(spark, sf):
-    index = vectors.build_cells(_corpus(spark, sf), DIM, cells=32)
-    return vectors.knn_approx(index, _as_queries(spark, sf), K, nprobe=8)
+    return stored_cells(spark, sf).search(_as_queries(spark, sf), K, PROBES)
+
+
+@register("knn_approx_recall", cells_sql(f"""SELECT hits, wanted, scored, total FROM (SELECT count(f.chunk_id) AS hits, count(*) AS wanted FROM ({KNN_SQL}) e LEFT JOIN found f ON f.query_id = e.query_id AND f.chunk_id = e.chunk_id),
+    (SELECT count(*) AS scored FROM pairs), (SELECT count(*) * count(*) AS total FROM v)"""))
+def knn_approx_recall(spark, sf):
+    """Exact hits that were found, and pairs that were looked at."""
+    index, queries = stored_cells(spark, sf), _as_queries(spark, sf)
+    met = recall(index.search(queries, K, PROBES), vectors.knn_exact(_corpus(spark, sf), queries, K, DIM))
+    return met.join(index.pair_share(queries, PROBES), F.lit(True))
+
+
+@register("knn_index_add", KNN_SQL)
+def knn_index_add(spark, sf):
+    """Half of the vectors are indexed; then all come, the known ones turned round, which changes nothing. Every cell is probed."""
+    corpus, root = _corpus(spark, sf), scratch_path(spark, "cells")
+    half = F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == 0
+    StoredCells.build(corpus.where(half), root, DIM, CELLS, ROUNDS)
+    known = corpus.where(half).withColumn("embedding", F.transform("embedding", lambda x: -x))
+    StoredCells.open(spark, root).add(corpus.where(~half).unionByName(known))
+    return StoredCells.open(spark, root).search(_as_queries(spark, sf), K, CELLS)
 
 
 TEXT_HITS = """hits AS (SELECT query_id, rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (

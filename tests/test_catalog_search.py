@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheavework.operators import catalog, search
+from sheavework.operators.rows import first_rows, rows_of_queries
 from sheavework.operators.spread import fits_broadcast, number_rows, number_within, running_offset, salted_join
 
 TABLES = "table_name string, source string, page int, sheet string, created_at int"
@@ -57,19 +58,50 @@ def test_row_matches_equal_brute_force_in_every_way(spark):
     letters = "ab%_é"
     data = [(f"t{i % 3}", i // 3, ["".join(rnd.choice(letters + " ") for _ in range(rnd.randint(0, 12))) for _ in range(3)] + [None]) for i in range(300)]
     rows = spark.createDataFrame(data, "table_name string, row_no long, values array<string>")
-    wanted = sorted({(f"t{rnd.randint(0, 2)}", "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 5)))) for _ in range(120)})
-    want = sorted((t, n, tok) for t, n, values in data for table, tok in wanted if table == t and any(tok in (v or "").lower() for v in values))
-    pairs = spark.createDataFrame(wanted, "table_name string, token string")
-    for limits in [{}, {"broadcast_rows": 40}, {"broadcast_rows": 40, "max_passes": 0}]:
-        got = search.match_row_tokens(rows, pairs, **limits)
+    wanted = sorted({(rnd.randint(0, 9), f"t{rnd.randint(0, 2)}", "".join(rnd.choice(letters) for _ in range(rnd.randint(1, 5)))) for _ in range(120)})
+    want = sorted({(q, t, n) for t, n, values in data for q, table, tok in wanted if table == t and any(tok in (v or "").lower() for v in values)})
+    asked = spark.createDataFrame(wanted, "query_id int, table_name string, token string")
+    for limit in (1 << 20, 900):
+        got = rows_of_queries(rows, asked, limit)
         assert sorted(map(tuple, got.collect())) == want
+    assert rows_of_queries(rows, asked.limit(0)).collect() == []
     import re
 
     def like(tok, v):
         return re.search(re.escape(tok).replace("%", ".*").replace("_", "."), v or "", re.S) is not None
 
-    want = sorted({(t, n, tok) for t, n, values in data for table, tok in wanted if table == t and any(v is not None and like(tok, v.lower()) for v in values)})
-    assert sorted(map(tuple, search.match_row_tokens(rows, pairs, wildcards=True).collect())) == want
+    want = sorted({(t, n, tok) for t, n, values in data for _, table, tok in wanted if table == t and any(v is not None and like(tok, v.lower()) for v in values)})
+    assert sorted(map(tuple, search._match_patterns(rows, asked.select("table_name", "token")).collect())) == want
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+@pytest.mark.parametrize("limit", [1 << 20, 900])
+def test_first_rows_in_one_scan(spark, ordered, limit):
+    rnd = random.Random(7)
+    data = [(f"t{i % 3}", i // 3, ["".join(rnd.choice("ab c") for _ in range(rnd.randint(0, 9))), None, f"N{i}"]) for i in range(600)]
+    held = {(t, n): "\n".join(v for v in values if v is not None).lower() for t, n, values in data}
+    wanted = sorted({(f"t{rnd.randint(0, 2)}", rnd.choice(["a", "b", "ab", "ba", "abc", "n1", "n12", "n599", "aaa", "zz", "bbb"])) for _ in range(40)})
+    rows = spark.createDataFrame(data if ordered else rnd.sample(data, len(data)), "table_name string, row_no long, values array<string>").coalesce(1)
+    found = first_rows(rows, spark.createDataFrame(wanted, "table_name string, token string"), 4, limit).collect()
+    seen = {}
+    for r in found:
+        assert all(t in held[r.table_name, r.row_no] for t in r.tokens) and r["values"] == [v for t, n, v in data if (t, n) == (r.table_name, r.row_no)][0]
+        for t in r.tokens:
+            seen.setdefault((r.table_name, t), set()).add(r.row_no)
+    for table, token in wanted:
+        first = sorted(n for (t, n), text in held.items() if t == table and token in text)[:4]
+        assert sorted(seen.get((table, token), ()))[:4] == first
+        assert {r.row_no for r in found if r.table_name == table} >= set(range(4))
+    if ordered and limit > 900:
+        assert all(len(n) <= 4 for n in seen.values())  # one task, in order: nothing beyond the first n
+
+
+def test_row_search_shuffles_no_rows(spark, base):
+    tables, columns, rows = base
+    q = queries(spark, "ring% part", "name6 name")
+    chosen = search.top_k_tables(q, tables, columns)
+    plan = search.match_rows(q, chosen, rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and plan.count("MapInArrow") == 1
 
 
 def test_resources(spark, base):

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sheavework.operators import catalog, vectors
+from sheavework.operators.cells import StoredCells, nearest_cells, recall
 
 DIM = 8
 
@@ -38,7 +39,7 @@ def test_all_ways_equal_brute_force(spark, copies):
     want = brute(c, q, 5)
     corpus = corpus.repartition(6)
     assert rows(vectors.knn_exact(corpus, queries, 5, DIM)) == want
-    assert rows(vectors.knn_exact(corpus, queries, 5, DIM, broadcast_queries=0, block_rows=64)) == want
+    assert rows(vectors.knn_exact(corpus, queries, 5, DIM, query_bytes=7 * 8 * DIM)) == want  # more blocks than one plan takes
     index = vectors.build_cells(corpus, DIM, cells=7)
     assert rows(vectors.knn_approx(index, queries, 5, nprobe=7, block_rows=50)) == want
 
@@ -47,8 +48,8 @@ def test_fewer_vectors_than_k_and_wrong_sizes(spark):
     corpus, c = make(spark, 3, 1, "c")
     bad = spark.createDataFrame([("bad", [1.0, 2.0]), ("none", None)], corpus.schema)
     queries, q = make(spark, 4, 2, "q")
-    for few in (4096, 0):
-        got = vectors.knn_exact(corpus.unionByName(bad), queries, 5, DIM, broadcast_queries=few)
+    for size in (1 << 20, 8 * DIM):
+        got = vectors.knn_exact(corpus.unionByName(bad), queries, 5, DIM, query_bytes=size)
         assert rows(got) == brute(c, q, 5)
     errors = {r.chunk_id: r.error for r in vectors.check_dimension(corpus.unionByName(bad), DIM).collect()}
     assert errors["bad"] == "size 2, expected 8" and errors["none"] == "no vector" and errors["c00000"] is None
@@ -63,6 +64,55 @@ def test_approximate_prunes(spark):
     assert vectors.scored_pair_share(index, queries, 8).first().share <= 0.40
 
 
+@pytest.mark.parametrize("size", [1 << 25, 20 * 8 * DIM])
+def test_stored_cells(spark, tmp_path, size):
+    (corpus, c), (queries, q) = make(spark, 600, 1, "c", 200), make(spark, 50, 2, "q")
+    bad = spark.createDataFrame([("bad", [1.0, 2.0]), ("none", None), ("c00007", [0.0] * DIM)], corpus.schema)
+    first, root = corpus.where("chunk_id < 'c00400'"), str(tmp_path / "cells")
+    built = StoredCells.build(first.repartition(3), root, DIM, cells=7)
+    assert rows(built.search(queries, 5, nprobe=7, query_bytes=size)) == brute(c[:400], q, 5)
+    index = StoredCells.open(spark, root)
+    assert (index.centroids == built.centroids).all()
+    index.add(corpus.where("chunk_id > 'c00350'").unionByName(bad))
+    index.add(corpus)
+    again = StoredCells.open(spark, root)
+    assert again.vectors.count() == 600 and (again.centroids == built.centroids).all()
+    assert rows(again.search(queries.unionByName(bad.selectExpr("chunk_id AS query_id", "embedding").limit(2)), 5, nprobe=70, query_bytes=size)) == brute(c, q, 5)
+    found = again.search(queries, 5, nprobe=2, query_bytes=size)
+    near = nearest_cells(np.floor(q * 32768), again.centroids, 2)
+    place = nearest_cells(np.floor(c * 32768), again.centroids, 1)[:, 0]
+    pairs = [(f"q{i:05d}", f"c{j:05d}") for i in range(50) for j in range(600) if place[j] in near[i]]
+    assert {(a, b) for a, _, b in rows(found)} <= set(pairs)
+    assert tuple(again.pair_share(queries, 2).first()) == (len(pairs), 50 * 600)
+    exact = vectors.knn_exact(corpus, queries, 5, DIM)
+    met = recall(found, exact).first()
+    assert met.wanted == 250 and met.hits == len({(a, b) for a, _, b in rows(found)} & {(a, b) for a, _, b in brute(c, q, 5)})
+
+
+def test_probes_prune_the_folders(spark, tmp_path):
+    corpus, _ = make(spark, 300, 1, "c")
+    index = StoredCells.build(corpus, str(tmp_path / "cells"), DIM, cells=9)
+    plan = index.search(corpus.limit(2).withColumnRenamed("chunk_id", "query_id"), 3, nprobe=1)._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan
+
+
+def test_queries_are_scored_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer():
+        def score(texts):
+            calls.add(len(texts))
+            return np.array([[float(len(t) + 1), *[float(ord(c)) for c in t[: DIM - 1].ljust(DIM - 1)]] for t in texts])
+
+        return score
+
+    asked = spark.range(40).selectExpr("cast(id AS string) AS query_id", "concat('text ', id) AS t")
+    corpus, _ = make(spark, 100, 1, "c")
+    queries = vectors.embed(asked, "t", DIM, scorer)
+    assert vectors.knn_exact(corpus, queries, 3, DIM, query_bytes=9 * 8 * DIM).count() == 120
+    assert calls.value == 40
+
+
 def test_embed(spark):
     df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, "c")], "i int, t string")
     got = {r.i: r for r in vectors.embed(df, "t", 16).collect()}
