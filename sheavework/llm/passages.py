@@ -206,7 +206,7 @@ def _extended(chunk: Chunk, hits: list[bytes], rolling: Rolling, block: int, wid
 
 def frames(chunks: DataFrame, hits: DataFrame, block: int, width: int, buckets: int) -> DataFrame:
     """(bucket, chunk, frames): a chunk's distinct windows of ``width`` words around hits, each with 128 bits of hash, the smallest
-    and the largest id that has it there."""
+    id that has it there and whether others have it there too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = bulk.Hasher()
@@ -221,11 +221,12 @@ def frames(chunks: DataFrame, hits: DataFrame, block: int, width: int, buckets:
             order = np.lexsort((b, a, bucket))
             a, b, ids, bucket = a[order], b[order], ids[order], bucket[order]
             first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            columns = [a[first], b[first], np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)]
+            low = np.minimum.reduceat(ids, first)
+            columns = [a[first], b[first], low, (np.maximum.reduceat(ids, first) > low).astype(np.uint8)]
             rows = list(_packs(row["chunk"], bucket[first], columns, 0))
-            yield _batch(rows, [pa.int64(), pa.int64(), *[pa.binary()] * 4], ["bucket", "chunk", "a", "b", "low", "high"])
+            yield _batch(rows, [pa.int64(), pa.int64(), *[pa.binary()] * 4], ["bucket", "chunk", "a", "b", "low", "more"])
 
-    return _met(chunks, hits, "hits").mapInArrow(run, "bucket long, chunk long, a binary, b binary, low binary, high binary")
+    return _met(chunks, hits, "hits").mapInArrow(run, "bucket long, chunk long, a binary, b binary, low binary, more binary")
 
 
 def first_owners(sent: DataFrame) -> DataFrame:
@@ -233,14 +234,15 @@ def first_owners(sent: DataFrame) -> DataFrame:
     with the smallest of all ids."""
 
     def run(table: pa.Table) -> pa.Table:
-        packs = [[np.frombuffer(p, np.int64) for p in table.column(c).to_pylist()] for c in ("a", "b", "low", "high")]
+        kinds = {"a": np.int64, "b": np.int64, "low": np.int64, "more": np.uint8}
+        packs = [[np.frombuffer(p, kind) for p in table.column(c).to_pylist()] for c, kind in kinds.items()]
         source = np.repeat(np.arange(table.num_rows, dtype=np.int32), [len(p) for p in packs[0]])
-        a, b, low, high = (np.concatenate(p) for p in packs)
+        a, b, low, more = (np.concatenate(p) for p in packs)
         order = np.lexsort((b, a))
-        a, b, low, high, source = a[order], b[order], low[order], high[order], source[order]
+        a, b, low, more, source = a[order], b[order], low[order], more[order] > 0, source[order]
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         least = np.repeat(np.minimum.reduceat(low, first), np.diff(np.append(first, len(a))))
-        wanted = least < high
+        wanted = (least < low) | more
         rows = np.stack([a[wanted], b[wanted], least[wanted]], axis=1)
         owner = source[wanted]
         order = np.argsort(owner, kind="stable")
