@@ -18,10 +18,13 @@ CHUNK_KEY = ["chunk_id"]
 
 
 def upsert(current: DataFrame, batch: DataFrame, keys: Sequence[str], batch_order: Sequence[Column] = ()) -> DataFrame:
-    """Current rows with those of the batch put over them; within the batch the last by ``batch_order`` wins.
+    """Current rows with those of the batch put over them; within the batch the first by ``batch_order`` wins.
 
-    One pass: each task keeps a single row per key before anything is shuffled.
+    One pass: each task keeps a single row per key before anything is shuffled. Without an order a batch that repeats a key is refused,
+    as any of its rows might win.
     """
+    if not batch_order and not duplicate_keys(batch, keys).isEmpty():
+        raise ValueError(f"the batch repeats a key {list(keys)}; give it an order")
     both = current.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     order = [F.col("_new").desc(), *batch_order]
     return latest_per_key(both, keys, order).select(*current.columns)
@@ -53,10 +56,10 @@ def upsert_chunks(current: DataFrame, batch: DataFrame, batch_order: Sequence[Co
     return current.unionByName(new_chunks(current, batch, batch_order).select(*current.columns))
 
 
-def register_tables(current: DataFrame, batch: DataFrame, created_at: Column | None = None) -> DataFrame:
+def register_tables(current: DataFrame, batch: DataFrame, created_at: Column | None = None, batch_order: Sequence[Column] = ()) -> DataFrame:
     """Put tables into the catalog under their names, created now unless a time is given."""
     stamped = batch.withColumn("created_at", created_at if created_at is not None else F.current_timestamp())
-    return upsert(current, stamped, TABLE_KEY)
+    return upsert(current, stamped, TABLE_KEY, batch_order)
 
 
 def add_headings(current: DataFrame, batch: DataFrame, spread_by: Sequence[str] = ("page", "heading")) -> DataFrame:

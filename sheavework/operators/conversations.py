@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .catalog import upsert
+from .catalog import duplicate_keys, upsert
 from .spread import first_n, latest_per_key, number_within, salted_join
 
 UNTITLED = "Untitled chat"
@@ -24,13 +26,17 @@ def start_sessions(starts: DataFrame, key: str, created_at: Column, user: Column
     )
 
 
-def append_messages(current: DataFrame, batch: DataFrame, order: str = "created_at", tie: str = "content") -> DataFrame:
+def append_messages(current: DataFrame, batch: DataFrame, order: Sequence[str] = ("created_at", "seq")) -> DataFrame:
     """Current messages and those of the batch, numbered on per session (from 1) in the order they were made.
 
-    ``tie`` makes the order total. Positions come from a distributed sort, so one session may hold any share of
-    the batch.
+    ``order`` names columns of the batch, by default the time and, if the batch has one, its sequence number. Messages of a session
+    that share all of them have no order and are refused. Positions come from a distributed sort, so one session may
+    hold any share of the batch.
     """
-    numbered = number_within(batch, ["session_id"], [order, tie], "_n")
+    order = [c for c in order if c in batch.columns]
+    if not duplicate_keys(batch, ["session_id", *order]).isEmpty():
+        raise ValueError(f"messages of a session share {order}; give the batch a sequence column")
+    numbered = number_within(batch, ["session_id"], order, "_n")
     last = current.groupBy("session_id").agg(F.max("msg_no").alias("_last"))
     placed = salted_join(numbered, last, ["session_id"], ["_n"], "left").withColumn(
         "msg_no", (F.coalesce("_last", F.lit(0)) + F.col("_n") + 1).cast("long")
@@ -38,9 +44,9 @@ def append_messages(current: DataFrame, batch: DataFrame, order: str = "created_
     return current.unionByName(placed.select(*current.columns))
 
 
-def rename_sessions(sessions: DataFrame, titles: DataFrame, order: Column | None = None) -> DataFrame:
+def rename_sessions(sessions: DataFrame, titles: DataFrame, order: Column) -> DataFrame:
     """New titles by session id, the last by ``order`` if a session has several; unknown ids are not added."""
-    last = latest_per_key(titles, ["session_id"], [order.desc() if order is not None else F.col("title").desc()])
+    last = latest_per_key(titles, ["session_id"], [order.desc()])
     known = sessions.join(last.select("session_id", F.col("title").alias("_title")), "session_id")
     changed = known.withColumn("title", F.col("_title")).drop("_title")
     return upsert(sessions, changed.select(*sessions.columns), ["session_id"])

@@ -140,3 +140,18 @@ def generate(df: DataFrame, prompt_col: str, completer: Callable[[], Completer]
                 yield part
 
     return df.mapInPandas(run, StructType([*df.schema.fields, StructField("completion", StringType()), StructField("error", StringType())]))
+
+
+def generate_cases(requests: DataFrame, hits: DataFrame, template: str, completer: Callable[[], Completer] | None = None) -> DataFrame:
+    """(query_id, file_name, prompt, completion, error, meta) of ``requests`` (query_id, feature, component, scenarios, constraints).
+
+    The hits that were retrieved for a request go into its prompt, shortened. ``meta`` holds what was asked for: feature, scenarios
+    and the single constraints. The file is named after the feature.
+    """
+    shown = context_block_short(requests, hits)
+    listed = requests.withColumn("_constraints", parse_constraints(F.col("constraints"))).join(shown, "query_id")
+    prompt = render_template(template, F.col("feature"), F.col("component"), F.col("scenarios"), F.col("_constraints"), F.col("context"))
+    meta = F.struct("feature", "scenarios", F.col("_constraints").alias("constraints"))
+    name = F.concat(F.translate("feature", " ", "_"), F.lit(".feature"))
+    asked = listed.select("query_id", name.alias("file_name"), prompt.alias("prompt"), meta.alias("meta"))
+    return generate(asked, "prompt", completer)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -90,13 +90,12 @@ def top_k_tables(queries: DataFrame, tables: DataFrame, columns: DataFrame, k: i
     """(query_id, rank, table_name) of the first ``k`` tables with a hit.
 
     In catalog order only the first ``k`` tables of every token can be among the first ``k`` of a query, so
-    the matches are cut per token before they meet the queries. ``order="score"`` ranks by score first.
+    the matches are cut per token before they meet the queries. ``order="score"`` ranks by score first (``top_k_by_score``).
     """
     placed = tables.select("table_name", "created_at")
     by_catalog = [F.col("created_at"), F.col("table_name")]
     if order == "score":
-        scored = score_tables(queries, tables, columns, scope).join(placed, "table_name")
-        return first_n(scored, ["query_id"], [F.col("score").desc(), *by_catalog], k).select("query_id", "rank", "table_name")
+        return top_k_by_score(queries, tables, columns, k, scope)
     if order != "catalog":
         raise ValueError(f"unknown order {order!r}")
     tokens = tokenize_query(queries)
@@ -107,6 +106,53 @@ def top_k_tables(queries: DataFrame, tables: DataFrame, columns: DataFrame, k: i
     return first_n(found, ["query_id"], by_catalog, k).select("query_id", "rank", "table_name")
 
 
+def _classes(tables: DataFrame, matches: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Tables that hold the same tokens score alike: (class_id, tokens) of each such class, and its first ``k`` tables as
+    (class_id, table_name, created_at). No others of it can be among the first ``k`` of any query."""
+    held = matches.groupBy("table_name").agg(F.sort_array(F.collect_set("token")).alias("tokens"))
+    signed = settled(held.withColumn("class_id", F.sha2(F.to_json("tokens"), 256)).join(tables.select("table_name", "created_at"), "table_name"))
+    members = first_n(signed.select("class_id", "table_name", "created_at"), ["class_id"], [F.col("created_at"), F.col("table_name")], k, "_n").drop("_n")
+    return settled(signed.groupBy("class_id").agg(F.first("tokens").alias("tokens"))), settled(members)
+
+
+def top_k_by_score(queries: DataFrame, tables: DataFrame, columns: DataFrame, k: int = 5, scope: str = "name+columns", postings: int = 64) -> DataFrame:
+    """(query_id, rank, table_name) of the ``k`` tables that hold most tokens of a query, duplicates counted, ties in catalog order.
+
+    A query looks at the classes of tables under its rarest tokens first, up to about ``postings`` times ``k`` of them. A table that holds none of
+    these can reach the weight of the other tokens at most; a query whose k-th score is above that bound is done, the others go
+    on with sixteen times as many. So a token that most tables hold costs a query nothing while rarer ones decide.
+    """
+    spark = queries.sparkSession
+    tokens = tokenize_query(queries)
+    classes, members = _classes(tables, match_names(table_names(tables, columns, scope), tokens), k)
+    lists = settled(classes.select("class_id", F.explode("tokens").alias("token")))
+    sizes = lists.groupBy("token").agg(F.count("*").alias("size"))
+    known = salted_join(tokens.groupBy("query_id", "token").agg(F.count("*").alias("n")), sizes, ["token"], ["query_id"])
+    w = Window.partitionBy("query_id").orderBy("size", "token")
+    weighed = known.withColumn("reach", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("place", F.row_number().over(w))
+    open_tokens = settled(weighed)
+    found, budget = None, postings * k
+    while not open_tokens.isEmpty():
+        near = (F.col("reach") <= budget) | (F.col("place") == 1)
+        bound = open_tokens.groupBy("query_id").agg(
+            F.sum(F.when(near, 0).otherwise(F.col("n"))).alias("bound"), F.map_from_entries(F.collect_list(F.struct("token", "n"))).alias("weights")
+        )
+        met = salted_join(open_tokens.where(near).select("query_id", "token"), lists, ["token"], ["query_id"]).select("query_id", "class_id").distinct()
+        scored = salted_join(met, classes, ["class_id"], ["query_id"]).join(bound, "query_id")
+        score = F.aggregate("tokens", F.lit(0).cast("long"), lambda total, t: total + F.coalesce(F.element_at(F.col("weights"), t), F.lit(0)))
+        scored = scored.select("query_id", "class_id", "bound", score.alias("score"))
+        best = first_n(salted_join(scored, members, ["class_id"], ["query_id"]), ["query_id"], [F.col("score").desc(), F.col("created_at"), F.col("table_name")], k)
+        best = settled(best.select("query_id", "rank", "table_name", "score", "bound"))
+        sure = best.groupBy("query_id").agg(F.max("bound").alias("bound"), F.count("*").alias("c"), F.min("score").alias("least"))
+        done = sure.where((F.col("bound") == 0) | ((F.col("c") == k) & (F.col("least") > F.col("bound")))).select("query_id")
+        part = best.join(done, "query_id", "left_semi").select("query_id", "rank", "table_name")
+        found = part if found is None else found.unionByName(part)
+        open_tokens = settled(open_tokens.join(done, "query_id", "left_anti"))
+        budget *= 16
+    kind = queries.schema["query_id"].dataType.simpleString()
+    return found if found is not None else spark.createDataFrame([], f"query_id {kind}, rank int, table_name string")
+
+
 def _match_patterns(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows with a cell that is LIKE ``%token%``. Cells and patterns meet on the pattern's first literal characters.
 
@@ -258,6 +304,18 @@ def text_resources(hits: DataFrame, headings: DataFrame, first_hits: int = 6, pd
     return pdf.select(*columns).unionByName(docx.select(*columns)).unionByName(other.select(*columns))
 
 
+def resources(queries: DataFrame, structured: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, structured, text): the tables of ``resources_for_query`` and the texts of ``text_resources`` as two lists in rank order, a row for
+    each query, also where nothing was found."""
+
+    def listed(found: DataFrame, name: str) -> DataFrame:
+        entry = F.struct("rank", *[c for c in found.columns if c not in ("query_id", "rank")])
+        return found.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias(name))
+
+    both = queries.select("query_id").join(listed(structured, "structured"), "query_id", "left").join(listed(texts, "text"), "query_id", "left")
+    return both.select("query_id", *[F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("structured", "text")])
+
+
 # Words that ask for the sheet inventory, and the form of a workbook name in a query.
 INVENTORY_WORDS = "sheet|worksheet|schema|columns|headers|fields"
 WORKBOOK_PATTERN = r"([A-Za-z0-9._ ()-]+\.xlsx?)"

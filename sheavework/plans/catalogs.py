@@ -75,7 +75,7 @@ def register_tables(spark, sf):
         normalize_name(F.col("c_name")).alias("table_name"), F.lit("customers.xlsx").alias("source"), page, F.col("c_mktsegment").alias("sheet"), F.lit(1).alias("created_at"))
     batch = I.table(spark, sf, "orders").select(
         normalize_name(F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))).alias("table_name"), F.lit("orders.csv").alias("source"), page, F.lit("csv").alias("sheet"))
-    return catalog.register_tables(current, batch, F.lit(2))
+    return catalog.register_tables(current, batch, F.lit(2), [F.col("source")])
 
 
 @register("document_rollup", sql("""SELECT source, kind, bytes, coalesce(s, 0) AS sheet_count, coalesce(t, 0) AS table_count FROM (SELECT source, max(lang) AS kind, sum(n_chars)::BIGINT AS bytes FROM documents GROUP BY source)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import catalog, search, vectors
 from ..operators import conversations as G
 from ..operators import prompts as H
-from ..operators import vectors
+from ..operators import turns as T
 from ..session import scratch_path
 from ..sources import sinks
 from . import inputs as I
 from .inputs import sql, strip_sql
+from .catalogs import INVENTORY_BLOCKS
+from .lookup import _MATCHED, _SAMPLED, _SNIPPETS, STORED, lookup_steps
 from .nearest import hits_sql, text_hits
 from .registry import register
 
@@ -21,20 +24,21 @@ def start_sessions(spark, sf):
     return G.start_sessions(starts, "conv_id", F.lit(1704067200) + F.col("conv_id") * 60)
 
 
-@register("append_messages", sql("SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, content) AS msg_no, role, content, created_at FROM messages", "messages"))
+@register("append_messages", sql("SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY created_at, msg_no) AS msg_no, role, content, created_at FROM messages", "messages"))
 def append_messages(spark, sf):
-    """The user's messages are stored first; all others are appended and numbered after them by time."""
-    all_messages = I.messages(spark, sf)
-    stored = G.append_messages(all_messages.where(F.lit(False)), all_messages)
+    """All messages, numbered by time and by their sequence in what was sent."""
+    everything = I.messages(spark, sf)
+    stored = G.append_messages(everything.where(F.lit(False)), everything.withColumnRenamed("msg_no", "seq"))
     return stored.select("session_id", "msg_no", "role", "content", "created_at")
 
 
-@register("append_messages_to_stored", sql("""SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY role <> 'user', created_at, content) AS msg_no, role, content FROM messages""", "messages"))
+@register("append_messages_to_stored", sql("""SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY role <> 'user', created_at, msg_no) AS msg_no, role, content FROM messages""", "messages"))
 def append_messages_to_stored(spark, sf):
     """User messages are stored; the others come later and go on with the numbers."""
     everything = I.messages(spark, sf)
-    stored = G.append_messages(everything.where(F.lit(False)), everything.where("role = 'user'"))
-    both = G.append_messages(stored, everything.where("role <> 'user'").drop("msg_no"))
+    sent = everything.withColumnRenamed("msg_no", "seq")
+    stored = G.append_messages(everything.where(F.lit(False)), sent.where("role = 'user'"))
+    both = G.append_messages(stored, sent.where("role <> 'user'"))
     return both.select("session_id", "msg_no", "role", "content")
 
 
@@ -211,3 +215,65 @@ def _counting_completer():
 @register("generate_with_completer", "SELECT conv_id, turn, length(text)::VARCHAR AS completion, NULL::VARCHAR AS error FROM conversations")
 def generate_with_completer(spark, sf):
     return H.generate(I.table(spark, sf, "conversations"), "text", _counting_completer).select("conv_id", "turn", "completion", "error")
+
+
+# ------------------------------------------------------------------ whole turns
+
+TURN_SYSTEM = "Answer from the context."
+
+
+def turn_inputs(spark, sf):
+    """Queries, what was retrieved for them, and the inventories."""
+    queries = I.turn_queries(spark, sf)
+    s = I.knowledge_base(spark, sf)
+    contexts = H.context_block(queries, _hits(spark, sf, queries))
+    snippets = search.search_context(queries, s["tables"], s["columns"], s["body"], 3)
+    blocks = catalog.inventory_blocks(I.sheet_catalog(spark, sf), 20)
+    return queries, contexts, snippets, blocks
+
+
+def _turn(spark, sf):
+    queries, contexts, snippets, blocks = turn_inputs(spark, sf)
+    return T.chat_turn(queries, I.messages(spark, sf), contexts, snippets, blocks, TURN_SYSTEM)
+
+
+_TURN = ", " + lookup_steps("turn_queries", 3, _MATCHED, _SAMPLED, _SNIPPETS) + ", " + CONTEXT.format("turn_queries") + f""",
+    turn_messages AS (SELECT session_id, msg_no, role, content FROM messages UNION ALL SELECT session_id, n + 1, 'user', query FROM turn_queries JOIN (SELECT session_id, count(*) AS n FROM messages GROUP BY session_id) USING (session_id)),
+    summaries AS (SELECT session_id, 'digest ' || md5('{G.SUMMARY_REQUEST}' || transcript || '{G.SUMMARY_END}') AS summary FROM ({_transcript_sql("").format(24).replace("FROM messages)", "FROM turn_messages)")})),
+    {INVENTORY_BLOCKS},
+    inventories AS (SELECT report_key, string_agg(text, chr(10) ORDER BY block_no) AS inventory FROM blocks GROUP BY report_key),
+    turn_routed AS (SELECT query_id, CASE WHEN regexp_matches(lower(query), 'sheet|worksheet|schema|columns|headers|fields') THEN coalesce(nullif(regexp_extract(query, '([A-Za-z0-9._ ()-]+\\.xlsx?)', 1), ''), '*') END AS report_key FROM turn_queries),
+    turn_structured AS (SELECT r.query_id, coalesce(s.structured, '') || CASE WHEN r.report_key IS NULL THEN '' ELSE CASE WHEN coalesce(s.structured, '') <> '' THEN chr(10) || chr(10) ELSE '' END || 'Sheet inventory:' || chr(10) ||
+        coalesce(i.inventory, r.report_key || ' — sheets: (none)') END AS structured FROM turn_routed r LEFT JOIN snippets s USING (query_id) LEFT JOIN inventories i USING (report_key)),
+    sent AS (SELECT query_id, 0 AS n, 'system' AS role, '{TURN_SYSTEM}' AS content FROM turn_queries
+        UNION ALL SELECT query_id, 1, 'system', 'Prior summary:' || chr(10) || summary FROM turn_queries JOIN summaries USING (session_id)
+        UNION ALL SELECT query_id, 2, 'system', 'Retrieved text context:' || chr(10) || context FROM contexts
+        UNION ALL SELECT query_id, 3, 'system', 'Structured data context (read-only):' || chr(10) || structured FROM turn_structured WHERE structured <> ''
+        UNION ALL SELECT query_id, 3 + msg_no, role, content FROM turn_queries JOIN turn_messages USING (session_id) WHERE msg_no <= 200),
+    answered AS (SELECT query_id, session_id, 'digest ' || md5(string_agg(role || chr(31) || content, chr(30) ORDER BY n)) AS answer, count(*) AS n_messages, sum(length(content))::BIGINT AS n_chars
+        FROM sent JOIN turn_queries USING (query_id) GROUP BY query_id, session_id)"""
+_TURN_NEEDS = ("turn_queries", "messages", "sheet_catalog", *STORED)
+
+
+@register("chat_turn", hits_sql(_TURN + " SELECT query_id, session_id, answer, n_messages, n_chars, NULL::VARCHAR AS error FROM answered", "turn_queries", *_TURN_NEEDS))
+def chat_turn(spark, sf):
+    """Every session is asked once more, a third of them for a workbook's inventory and a third for that of all."""
+    return _turn(spark, sf)[0]
+
+
+@register("chat_turn_messages", hits_sql(_TURN + """ SELECT session_id, msg_no, role, content FROM turn_messages
+    UNION ALL SELECT session_id, n + 1, 'assistant', answer FROM answered JOIN (SELECT session_id, count(*) AS n FROM turn_messages GROUP BY session_id) USING (session_id)""", "turn_queries", *_TURN_NEEDS))
+def chat_turn_messages(spark, sf):
+    """What the sessions hold after the turn."""
+    return _turn(spark, sf)[1].select("session_id", "msg_no", "role", "content")
+
+
+@register("case_generation", hits_sql(f""", short AS (SELECT query_id, string_agg('[' || rank || '] ' || source || ' p' || coalesce(nullif(page, 0)::VARCHAR, '-') || ' — ' || substr(text, 1, 300) || '...', chr(10) ORDER BY rank) AS context FROM hydrated GROUP BY query_id)
+    SELECT q.query_id, replace(substr(q.query, 1, 40), ' ', '_') || '.feature' AS file_name, 'digest ' || md5('Write cases for "' || substr(q.query, 1, 40) || '", 6 of them.' || chr(10) || 'Constraints: GDPR, P95 < 250ms' || chr(10) || 'Context:' || chr(10) || coalesce(s.context, '(no context provided)')) AS completion,
+    substr(q.query, 1, 40) AS feature, 6 AS scenarios, 'GDPR|P95 < 250ms' AS constraints FROM text_queries q LEFT JOIN short s USING (query_id)"""))
+def case_generation(spark, sf):
+    """A case file for each benchmark text, with what was asked for beside it."""
+    queries = I.text_queries(spark, sf)
+    requests = queries.select("query_id", F.substring("query", 1, 40).alias("feature"), F.lit(None).cast("string").alias("component"), F.lit(6).alias("scenarios"), F.lit("GDPR, P95 < 250ms").alias("constraints"))
+    made = H.generate_cases(requests, _hits(spark, sf, queries), TEMPLATE)
+    return made.select("query_id", "file_name", "completion", "meta.feature", "meta.scenarios", F.array_join("meta.constraints", "|").alias("constraints"))

@@ -10,62 +10,32 @@ from pyspark.sql import functions as F
 from ..functions import names, text
 from ..operators import chunks, tables
 from ..session import scratch_path
-from ..sources import files, sinks
+from ..sources import files, ranges, sinks
 from . import inputs as I
 from .inputs import NOT_WS, sql, strip_sql
 from .registry import register
 
 
-@register("scan_corpus", """SELECT 's_' || s_suppkey AS folder, strlen(s_name) + 1 AS length, sha256(s_name || chr(10)) AS digest, true AS complete FROM supplier""")
+@register("scan_corpus", """SELECT source || '_' || (doc_id // 200) AS folder, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS length,
+    sha256(string_agg(coalesce(text, '') || chr(1), '' ORDER BY doc_id)) AS digest, true AS complete FROM documents GROUP BY folder""")
 def scan_corpus(spark, sf):
-    """One text file per supplier, written and scanned."""
+    """Whole texts written as files, those of a source in steps of 200 ids to a file, and scanned."""
     path = scratch_path(spark, "corpus")
-    named = I.table(spark, sf, "supplier").select(F.concat(F.lit("s_"), F.col("s_suppkey").cast("string")).alias("name"), F.col("s_name").alias("value"))
-    named.repartition("name").write.partitionBy("name").text(path)
+    folder = F.concat_ws("_", "source", F.floor(F.col("doc_id") / 200).cast("string"))
+    texts = I.table(spark, sf, "documents").select(folder.alias("name"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
+    dealt = texts.repartition("name").sortWithinPartitions("name", "doc_id").drop("doc_id")
+    dealt.write.option("lineSep", "\u0001").partitionBy("name").text(path)
     found = files.scan_corpus(spark, path, "*.txt")
-    folder = F.regexp_extract("path", "name=([^/]+)/", 1).alias("folder")
-    return found.select(folder, "length", F.sha2("content", 256).alias("digest"), (F.length("content") == F.col("length")).alias("complete"))
+    name = F.url_decode(F.regexp_extract("path", "name=([^/]+)/", 1)).alias("folder")
+    return found.select(name, "length", F.sha2("content", 256).alias("digest"), (F.length("content") == F.col("length")).alias("complete"))
 
 
-def _parquet_cells():
-    """Decoder for the test tables themselves: whole-number and text columns of a Parquet file as cells."""
-    import pyarrow.parquet as pq
-
-    def decode(name: str, content: bytes) -> pd.DataFrame:
-        frame = pq.read_table(io.BytesIO(content)).to_pandas()
-        keep = [c for c in frame.columns if frame[c].dtype == object or frame[c].dtype.kind == "i"]
-        frame = frame[keep].astype(str)
-        out = frame.reset_index(names="row_no").melt(id_vars="row_no", var_name="column_name")
-        out["col_no"] = out["column_name"].map({c: i for i, c in enumerate(keep)})
-        return out[["row_no", "col_no", "column_name", "value"]]
-
-    return decode
-
-
-_EXTRACTED = [(rel, key, cols) for rel, key, cols in I._SHEETS if rel != "orders"]
-
-
-@register("extract", " UNION ALL ".join(
-    f"SELECT '{rel}.parquet' AS source, {key}::BIGINT AS row_no, unnest(range({len(cols)})) AS col_no, unnest({cols}) AS column_name, "
-    f"unnest([{', '.join(f'{c}::VARCHAR' for c in cols)}]) AS value, NULL::VARCHAR AS error FROM {rel}" for rel, key, cols in _EXTRACTED))
-def extract(spark, sf):
-    found = files.scan_corpus(spark, sf, "{%s}.parquet" % ",".join(rel for rel, _, _ in _EXTRACTED))
-    return files.extract(found, _parquet_cells, "row_no BIGINT, col_no INT, column_name STRING, value STRING")
-
-
-_WHOLE = [
-    ("region", ["r_regionkey", "r_name"]),
-    ("nation", ["n_nationkey", "n_name", "n_regionkey"]),
-    ("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
-    ("supplier", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]),
-    ("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
-    ("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
-]
-_AMOUNTS, _DATES = ("c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice"), ("o_orderdate",)
+_WHOLE = [(rel, cols) for rel, _, cols in I._SHEETS]
+_DATES = ("o_orderdate",)
 
 
 def _value_sql(c: str) -> str:
-    return f"{c}::DECIMAL(15, 2)::VARCHAR" if c in _AMOUNTS else f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if c in _DATES else f"{c}::VARCHAR"
+    return f"{c}::DECIMAL(15, 2)::VARCHAR" if c in I.AMOUNTS else f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if c in _DATES else f"{c}::VARCHAR"
 
 
 def _all_parquet_cells():
@@ -89,15 +59,63 @@ def _all_parquet_cells():
     return decode
 
 
-@register("extract_all_columns", " UNION ALL ".join(
+_CELLS_SQL = " UNION ALL ".join(
     f"SELECT '{rel}.parquet' AS source, {cols[0]}::BIGINT AS row_no, unnest(range({len(cols)})) AS col_no, unnest({cols}) AS column_name, "
-    f"unnest([{', '.join(map(_value_sql, cols))}]) AS value, NULL::VARCHAR AS error FROM {rel}" for rel, cols in _WHOLE))
-def extract_all_columns(spark, sf):
-    """The six tables of the star, ``orders`` too, with their amounts and dates."""
+    f"unnest([{', '.join(map(_value_sql, cols))}]) AS value, NULL::VARCHAR AS error FROM {rel}" for rel, cols in _WHOLE)
+
+
+@register("extract", _CELLS_SQL)
+def extract(spark, sf):
+    """The six tables of the star with all their columns, a file at a time."""
     found = files.scan_corpus(spark, sf, "{%s}.parquet" % ",".join(rel for rel, _ in _WHOLE))
     return files.extract(found, _all_parquet_cells, "row_no BIGINT, col_no INT, column_name STRING, value STRING")
 
 
+@register("extract_all_columns", _CELLS_SQL)
+def extract_all_columns(spark, sf):
+    return extract(spark, sf)
+
+
+def _shown(column):
+    """A column of the test tables as text: amounts with two decimals, dates with their time."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if pa.types.is_floating(column.type):
+        return pc.round(column, 2).cast(pa.decimal128(15, 2)).cast(pa.string())
+    if pa.types.is_timestamp(column.type):
+        return pc.strftime(column.cast(pa.timestamp("s"), safe=False), "%Y-%m-%d %H:%M:%S")
+    return column.cast(pa.string())
+
+
+def _range_cells():
+    return ranges.ParquetCells(_shown)
+
+
+@register("extract_ranges", _CELLS_SQL)
+def extract_ranges(spark, sf):
+    """The same cells, by row groups and batches: no file and no row group is held whole."""
+    found = files.scan_corpus(spark, sf, "{%s}.parquet" % ",".join(rel for rel, _ in _WHOLE))
+    return ranges.extract_ranges(ranges.plan_ranges(found, _range_cells), _range_cells, "row_no BIGINT, col_no INT, column_name STRING, value STRING")
+
+
+@register("extract_text_ranges", """SELECT doc_id, n_chars, md5(text) AS digest FROM (SELECT doc_id, length(text) AS n_chars, text FROM (
+    SELECT doc_id, replace(replace(coalesce(text, ''), chr(13), ' '), chr(10), ' ') AS text FROM documents))""")
+def extract_text_ranges(spark, sf):
+    """All texts as the lines of a few files, which are read again in ranges of 64 kB."""
+    path = scratch_path(spark, "lines")
+    flat = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" "))
+    I.table(spark, sf, "documents").select(F.concat_ws("\t", F.col("doc_id").cast("string"), flat).alias("value")).write.text(path)
+    plan = ranges.plan_ranges(files.scan_corpus(spark, path, "*.txt"), _small_ranges)
+    lines = ranges.extract_ranges(plan, _small_ranges, "line_start BIGINT, text STRING")
+    text = F.expr("substring(text, locate('\t', text) + 1)")
+    return lines.select(F.substring_index("text", "\t", 1).cast("bigint").alias("doc_id"), F.char_length(text).cast("bigint").alias("n_chars"), F.md5(F.encode(text, "utf-8")).alias("digest"))
+
+
+def _small_ranges():
+    return ranges.TextLines(64 << 10)
+
+
 @register("route_by_kind", f"""SELECT p_partkey, name, {I.KIND_SQL.format('name')} AS kind FROM (SELECT p_partkey, p_name ||
     ['.PDF', '.docx', '.csv', '.Xlsx', '.xls', '.md', '.TXT', '.bin'][p_size % 8 + 1] AS name FROM part)""")
 def route_by_kind(spark, sf):

@@ -127,7 +127,7 @@ def head_as_csv_text(spark, sf):
     return tables.head_as_csv_text(s["rows"], s["headers"])
 
 
-@register("materialize", "SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand, p_type, p_size::VARCHAR AS p_size FROM part")
+@register("materialize", "SELECT p_partkey::VARCHAR AS p_partkey, p_name, p_brand, p_type, p_size::VARCHAR AS p_size, p_retailprice::DECIMAL(15, 2)::VARCHAR AS p_retailprice FROM part")
 def materialize(spark, sf):
     s = I.stored(spark, sf)
     return sinks.materialize(s["body"], s["columns"], "star_part", scratch_path(spark, "star_part"))

@@ -49,14 +49,15 @@ KIND_SQL = """CASE WHEN lower({0}) LIKE '%.pdf' THEN 'pdf' WHEN lower({0}) LIKE
  WHEN lower({0}) LIKE '%.md' OR lower({0}) LIKE '%.txt' THEN 'text' ELSE 'other' END"""
 
 _SHEETS = [
-    # Workbook sheets: table, key and the whole-number and text columns (other number types print differently).
+    # Workbook sheets: table, key and all its columns.
     ("region", "r_regionkey", ["r_regionkey", "r_name"]),
     ("nation", "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"]),
-    ("customer", "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]),
-    ("supplier", "s_suppkey", ["s_suppkey", "s_name", "s_nationkey"]),
-    ("part", "p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]),
-    ("orders", "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]),
+    ("customer", "c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]),
+    ("supplier", "s_suppkey", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]),
+    ("part", "p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]),
+    ("orders", "o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]),
 ]
+AMOUNTS = ("c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice")  # printed with two decimals, as engines print doubles differently
 
 
 def _grid(source, kind, sheet, page, table_no, relation, row_no, columns, header_rows) -> dict:
@@ -66,7 +67,7 @@ def _grid(source, kind, sheet, page, table_no, relation, row_no, columns, header
 
 
 def _as_text(cols: list[str]) -> list[str]:
-    return [f"CAST({c} AS STRING)" for c in cols]
+    return [f"CAST(CAST({c} AS DECIMAL(15, 2)) AS STRING)" if c in AMOUNTS else f"CAST({c} AS STRING)" for c in cols]
 
 
 def grids() -> list[dict]:
@@ -74,7 +75,7 @@ def grids() -> list[dict]:
         _grid("star.xlsx", "xlsx", rel, None, i, rel, f"{key} + 1", _as_text(cols), [cols])
         for i, (rel, key, cols) in enumerate(_SHEETS, start=1)
     ]
-    part = _as_text(_SHEETS[4][2])
+    part = _as_text(_SHEETS[4][2][:5])
     nation = _as_text(_SHEETS[1][2])
     blank5, blank3 = ["", None, " ", "", ""], ["", "", None]
     # Header rows that lost their names: 3 of 5, 2 of 3 and 1 of 3 columns unnamed.
@@ -314,6 +315,17 @@ def chat_queries(spark: SparkSession, sf: str) -> DataFrame:
     return conv.select(sid.alias("query_id"), sid.alias("session_id"), F.col("text").alias("query"))
 
 
+def turn_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """Every session's opening message, asked again at its end; some ask for the sheets of a workbook or of all."""
+    conv = table(spark, sf, "conversations").where("turn = 0")
+    sid = F.concat(F.lit("sess_"), F.col("conv_id").cast("string"))
+    more = F.expr("""CASE conv_id % 4 WHEN 0 THEN ' Which columns has "BUILDING.xlsx"?' WHEN 1 THEN ' List every worksheet.' WHEN 2 THEN ' Fields of (none).xls' ELSE '' END""")
+    return conv.select(
+        F.concat(F.lit("turn_"), F.col("conv_id").cast("string")).alias("query_id"), sid.alias("session_id"), F.concat("text", more).alias("query"),
+        (F.lit(1704067200) + F.col("conv_id") * 60 + 1000).alias("created_at"),
+    )
+
+
 def sheet_catalog(spark: SparkSession, sf: str) -> DataFrame:
     """A workbook per market segment with a sheet per nation."""
     return (
@@ -374,6 +386,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "sessions": ((), "SELECT DISTINCT 'sess_' || conv_id AS session_id, 'Chat ' || conv_id AS title, 'user' AS \"user\", 1704067200 + conv_id * 60 AS created_at FROM conversations"),
     "messages": ((), "SELECT 'sess_' || conv_id AS session_id, turn + 1 AS msg_no, role, text AS content, 1704067200 + conv_id * 60 + turn AS created_at FROM conversations"),
     "chat_queries": ((), "SELECT 'sess_' || conv_id AS query_id, 'sess_' || conv_id AS session_id, text AS query FROM conversations WHERE turn = 0"),
+    "turn_queries": ((), """SELECT 'turn_' || conv_id AS query_id, 'sess_' || conv_id AS session_id, text || CASE conv_id % 4 WHEN 0 THEN ' Which columns has "BUILDING.xlsx"?'
+        WHEN 1 THEN ' List every worksheet.' WHEN 2 THEN ' Fields of (none).xls' ELSE '' END AS query FROM conversations WHERE turn = 0"""),
     "sheet_catalog": ((), "SELECT c_mktsegment || '.xlsx' AS source, 'nation_' || c_nationkey AS sheet, 4 AS n_cols, count(*) AS n_rows FROM customer GROUP BY c_mktsegment, c_nationkey"),
     "column_entries": ((), """SELECT 'order_' || l_orderkey || '.xlsx' AS source, 'lines' AS sheet, l_linenumber AS col_ordinal, 'part_' || l_partkey AS column_name,
         CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS parent, strftime(l_shipdate, '%Y-%m-%d') || ':' || lpad(l_partkey::VARCHAR, 12, '0') AS seen_at FROM lineitem"""),

@@ -168,3 +168,18 @@ def retrieve(spark, sf):
     return both.select("query_id", F.array_join(F.transform("hits", lambda h: h["chunk_id"]), ",").alias("chunk_ids"), "structured")
 
 
+
+
+@register("resources", hits_sql(", " + lookup_steps("text_queries", 6, scope="names_all") + f""", {_RESOURCE_ROWS},
+    structured AS (SELECT c.query_id, string_agg(c.rank || ' ' || t.source || ' ' || t.label || ' ' || t.width || 'x' || (t.grid_rows - t.taken), '; ' ORDER BY c.rank) AS structured FROM chosen c JOIN star_tabs t ON t.table_name = c.table_name GROUP BY c.query_id),
+    texts AS (SELECT query_id, string_agg(rank || ' ' || document || ' p' || page, '; ' ORDER BY rank) AS texts FROM r GROUP BY query_id)
+    SELECT q.query_id, coalesce(structured, '') AS structured, coalesce(texts, '') AS texts FROM text_queries q LEFT JOIN structured USING (query_id) LEFT JOIN texts USING (query_id)""", "text_queries", *STORED))
+def resources(spark, sf):
+    """Tables and texts that were used for a query, as one row; documents of kinds that have no headings."""
+    s, queries = stored(spark, sf), I.text_queries(spark, sf)
+    hits = vectors.hydrate_hits(text_hits(spark, sf, queries), I.text_base(spark, sf)["chunks"])
+    headings = spark.createDataFrame([], "source string, page int, level int, heading string, heading_no long")
+    both = search.resources(queries, search.resources_for_query(queries, s["tables"], s["columns"], s["sheets"], 6), search.text_resources(hits, headings))
+    table = lambda x: F.format_string("%d %s %s %dx%d", x["rank"], x["document"], x["sheet"], x["n_cols"], x["n_rows"])
+    text = lambda x: F.concat_ws(" ", x["rank"].cast("string"), x["document"], F.concat(F.lit("p"), x["page"].cast("string")))
+    return both.select("query_id", F.array_join(F.transform("structured", table), "; ").alias("structured"), F.array_join(F.transform("text", text), "; ").alias("texts"))

@@ -37,6 +37,24 @@ def test_scores_and_order(spark, base):
     assert (first.table_name, best.table_name) == ("star_part", "star_nation")
 
 
+@pytest.mark.parametrize("postings", [64, 1])
+def test_best_tables_equal_a_full_ranking(spark, postings):
+    rnd = random.Random(3)
+    words = ["common", "often", "rare", "odd", "x1", "x2", "x3", "none"]
+    held = {f"t{i:03d}": ["common", *[w for w in words[1:-1] if rnd.random() < (0.5 if w == "often" else 0.08)]] for i in range(150)}
+    tables = spark.createDataFrame([(t, "s", None, "h", rnd.randint(0, 9)) for t in held], TABLES)
+    columns = spark.createDataFrame([(t, "s", "h", i, w, None) for t, ws in held.items() for i, w in enumerate(ws)], COLUMNS)
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(1, 6))) for _ in range(60)] + ["none", ""]
+    order = {r.table_name: (r.created_at, r.table_name) for r in tables.collect()}
+    want = set()
+    for q, text in enumerate(texts):
+        scores = {t: sum(w in ws for w in text.split()) for t, ws in held.items()}
+        best = sorted((t for t, s in scores.items() if s), key=lambda t: (-scores[t], order[t]))[:4]
+        want |= {(q, rank, t) for rank, t in enumerate(best, 1)}
+    got = search.top_k_by_score(queries(spark, *texts), tables, columns, 4, postings=postings).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_samples(spark, base):
     tables, columns, rows = base
     q = queries(spark, "ring% part", "name6 name", "nation", "p_name ring%\\'")
