@@ -19,6 +19,8 @@ from .table import KeyTable
 SPACE = "▁"
 CHUNK = 32_768  # characters of a chunk; longer texts go through the scan
 NONE = -1e30
+WORD_BYTES = 48 << 20  # segmented words that a task keeps
+CHUNKS_A_TASK = 64
 UNKNOWN_LOSS = 10.0  # below the lowest score, for a character that no piece holds
 
 
@@ -80,6 +82,33 @@ class Lattice:
         self.loss = float(vocabulary.scores.min()) - UNKNOWN_LOSS
         # No piece holds a mark behind another character, so none crosses into a word and words are independent.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in vocabulary.pieces)
+        self._forget()
+
+    def _forget(self) -> None:
+        """No word is known: sorted hashes, the place of each, and ids, offsets and scores by place."""
+        self.known, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.offsets, self.scores = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0)
+
+    def each_word(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all slices, their numbers per slice, and scores. A word is segmented when a task meets it first; what
+        the task knows is dropped when it passes ``WORD_BYTES``."""
+        hashes, first, which = np.unique(self.hasher.slices(points, starts, ends), return_index=True, return_inverse=True)
+        if self.ids.nbytes + self.scores.nbytes * 4 > WORD_BYTES:
+            self._forget()
+        at = np.searchsorted(self.known, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != hashes[inside]
+        if new.any():
+            ids, offsets, scores = self.words(points, starts[first[new]], ends[first[new]])
+            self.known = np.insert(self.known, at[new], hashes[new])
+            self.place = np.insert(self.place, at[new], len(self.scores) + np.arange(len(scores)))
+            self.ids = np.concatenate((self.ids, ids.astype(np.int32)))
+            self.offsets = np.concatenate((self.offsets, self.offsets[-1] + offsets[1:]))
+            self.scores = np.concatenate((self.scores, scores))
+        places = self.place[np.searchsorted(self.known, hashes)][which]
+        flat, sizes = bulk.ragged(self.ids, self.offsets, places)
+        return flat, sizes, self.scores[places]
 
     def steps(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(n, longest) scores and piece numbers of the slices that end behind each position, by length; single
@@ -110,32 +139,27 @@ class Lattice:
         scores[:, :, 0] = np.where(numbers[:, :, 0] >= 0, scores[:, :, 0], self.loss)
         return scores, numbers
 
-    def transfer(self, points: np.ndarray, length: int, last: bool) -> np.ndarray:
-        """The matrix of best scores of a chunk of ``length`` characters from each state before it to each state behind.
+    def transfer(self, points: np.ndarray, length: int, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The matrix of best scores of a chunk of ``length`` characters from each state before it to each state behind,
+        and the ids that all paths have in common.
 
         ``points`` holds the chunk and up to ``longest - 1`` characters that follow. No piece crosses into a word, so what
-        lies between the first and the last word of the chunk adds one score to all paths.
+        lies between the first and the last word of the chunk adds one score, and the same ids, to all paths.
         """
         bounds = self._bounds(points, length)
         if len(bounds):
             first, end = int(bounds[0]), int(bounds[-1])
             head = self._swept(points[:first], first, True)[:, :1]
             tail = self._swept(points[end:], length - end, last)[:1]
-            return np.maximum(head + tail + self._between(points, bounds)[1], NONE)
-        return self._swept(points, length, last)
+            ids, _, scores = self.each_word(points, bounds[:-1], bounds[1:])
+            return np.maximum(head + tail + float(scores.sum()), NONE), ids
+        return self._swept(points, length, last), np.zeros(0, np.int32)
 
     def _bounds(self, points: np.ndarray, length: int) -> np.ndarray:
         """Where words begin inside the chunk, if words are independent."""
         mark = points[:length] == ord(SPACE)
         return np.flatnonzero(mark[1:] & ~mark[:-1]) + 1 if self.by_word else np.zeros(0, np.int64)
 
-    def _between(self, points: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, float]:
-        """Ids and score of the words between the first and the last bound; equal words are segmented once."""
-        starts, ends = bounds[:-1], bounds[1:]
-        _, first, which = np.unique(self.hasher.slices(points, starts, ends), return_index=True, return_inverse=True)
-        ids, offsets, scores = self.words(points, starts[first], ends[first])
-        return bulk.ragged(ids, offsets, which)[0], float(scores[which].sum())
-
     def _swept(self, points: np.ndarray, length: int, last: bool) -> np.ndarray:
         """``transfer`` position by position; all entries go side by side."""
         wide = self.longest
@@ -158,15 +182,15 @@ class Lattice:
                 out[:, exit_] = best[length + exit_ + wide - 1]
         return out
 
-    def trace(self, points: np.ndarray, length: int, entry: int, exit_: int) -> np.ndarray:
-        """Ids of the best path through a chunk between two fixed states."""
+    def trace(self, points: np.ndarray, length: int, entry: int, exit_: int, common: np.ndarray) -> np.ndarray:
+        """Ids of the best path through a chunk between two fixed states; ``common`` are those between its first and last word."""
         bounds = self._bounds(points, length)
         if not len(bounds):
             return np.array(self.path_ids(self.segment(points, entry, length + exit_), points), np.int64)
         first, end = int(bounds[0]), int(bounds[-1])
         head = self.path_ids(self.segment(points, entry, first), points)
         tail = self.path_ids(self.segment(points[end:], 0, length - end + exit_), points[end:])
-        return np.concatenate((np.array(head, np.int64), self._between(points, bounds)[0], np.array(tail, np.int64)))
+        return np.concatenate((np.array(head, np.int64), common, np.array(tail, np.int64)))
 
     def segment(self, points: np.ndarray, entry: int, target: int) -> list[int]:
         """Piece numbers (or minus the position behind, for a character in bytes) of the best path between two positions."""
@@ -239,7 +263,7 @@ class Lattice:
         return np.array(found, np.int64), np.array(sizes, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """Ids and scores of whole texts. Each distinct word of a batch is segmented once, if words are independent."""
+        """Ids and scores of whole texts. Each distinct word is segmented once, if words are independent."""
         seen = [marked(t) for t in texts]
         points = np.frombuffer("".join(seen).encode("utf-32-le", "surrogatepass"), np.uint32)
         begins = np.concatenate(([0], np.cumsum([len(t) for t in seen]))).astype(np.int64)
@@ -250,12 +274,10 @@ class Lattice:
             cut[1:] |= mark[1:] & ~mark[:-1]
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(points)) if len(starts) else starts
-        _, first, which = np.unique(self.hasher.slices(points, starts, ends), return_index=True, return_inverse=True)
-        ids, offsets, scores = self.words(points, starts[first], ends[first])
-        flat, sizes = bulk.ragged(ids, offsets, which)
+        flat, sizes, scores = self.each_word(points, starts, ends)
         owner = np.searchsorted(begins, starts, side="right") - 1
         per_text = np.bincount(owner, weights=sizes, minlength=len(texts)).astype(np.int64)
-        return np.split(flat, np.cumsum(per_text)[:-1]), np.bincount(owner, weights=scores[which], minlength=len(texts))
+        return np.split(flat, np.cumsum(per_text)[:-1]), np.bincount(owner, weights=scores, minlength=len(texts))
 
     def path_ids(self, path: list[int], points: np.ndarray) -> list[int]:
         out = []
@@ -310,13 +332,16 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
                 size = min(chunk, len(seen) - start)
                 yield pa.RecordBatch.from_pydict({"key": [key], "chunk": pa.array([k], pa.int32()), "size": [size], "last": [start + chunk >= len(seen)], "part": [ahead]})
 
-    chunks = settle(giant.select("key", "text").mapInArrow(cut, "key long, chunk int, size long, last boolean, part string").repartition("key", "chunk"), "chunks")
+    chunks = settle(giant.select("key", "text").mapInArrow(cut, "key long, chunk int, size long, last boolean, part string"), "chunks")
+    tasks = max(1, -(-chunks.count() // CHUNKS_A_TASK))
+    chunks = chunks.repartition(tasks, "key", "chunk")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(sent.value)
         for key, k, size, last, part in bulk.rows_of(batches):
             points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-            yield pa.RecordBatch.from_pydict({"key": [key], "chunk": pa.array([k], pa.int32()), "matrix": [lattice.transfer(points, size, last).tobytes()]})
+            matrix, common = lattice.transfer(points, size, last)
+            yield pa.RecordBatch.from_pydict({"key": [key], "chunk": pa.array([k], pa.int32()), "size": [size], "part": [part], "matrix": [matrix.tobytes()], "common": [common.tobytes()]})
 
     def states(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("chunk")
@@ -328,16 +353,18 @@ def encoded(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
             exits[k] = int((best[k] + each[k + 1][:, exits[k + 1]]).argmax())
         return pd.DataFrame({"key": frame["key"], "chunk": frame["chunk"], "entry": np.append(0, exits[:-1]).astype("int32"), "exit": exits.astype("int32"), "score": best[-1, 0]})
 
-    fixed = chunks.mapInArrow(matrices, "key long, chunk int, matrix binary").groupBy("key").applyInPandas(states, "key long, chunk int, entry int, exit int, score double")
+    # What all paths of a chunk have in common is kept beside its matrix, so its words are segmented once.
+    measured = settle(chunks.mapInArrow(matrices, "key long, chunk int, size long, part string, matrix binary, common binary"), "matrices")
+    fixed = measured.select("key", "chunk", "matrix").groupBy("key").applyInPandas(states, "key long, chunk int, entry int, exit int, score double")
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(sent.value)
-        for key, k, size, part, entry, exit_, score in bulk.rows_of(batches):
+        for key, k, size, part, common, entry, exit_, score in bulk.rows_of(batches):
             points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
-            ids = lattice.trace(points, size, entry, exit_)
+            ids = lattice.trace(points, size, entry, exit_, np.frombuffer(common, np.int32))
             yield pa.RecordBatch.from_pydict({"key": [key], "chunk": pa.array([k], pa.int32()), "ids": pa.array([ids.astype(np.int32)], pa.list_(pa.int32())), "score": [score]})
 
-    paths = chunks.join(fixed, ["key", "chunk"]).select("key", "chunk", "size", "part", "entry", "exit", "score").mapInArrow(traced, ENCODED)
+    paths = measured.join(fixed, ["key", "chunk"]).select("key", "chunk", "size", "part", "common", "entry", "exit", "score").mapInArrow(traced, ENCODED)
     met = paths.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("all"), F.first("score").alias("score"))
     long = giant.select("doc_id", "key").join(met, "key").select("doc_id", F.flatten("all.ids").alias("ids"), "score")
     return plain.unionByName(long)
