@@ -45,21 +45,35 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
+SALTS = 64
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: str) -> DataFrame:
+    """Equi-join of ``big`` with ``small`` (one row per key) in which no key's rows meet in one task.
+
+    The rows of a key are told apart by a salt of their column ``by``. Only keys with a salt that occurs are brought from
+    ``small``, by a join that sees each pair of key and salt once; nothing is repeated for keys with few rows.
+    """
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    told = salted.select(*on, "_salt").distinct().join(small, on)
+    return salted.join(told, [*on, "_salt"]).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a long, b long) is connected with.
 
     Alternates large-star and small-star steps, which halve the depth of the trees and end in a star per component.
-    Only minima per node are aggregated, with partial sums before the shuffle, so a hub is no hot spot; state is one row
-    per edge, settled in the shared folder after each step. Self-loops and repeated edges do no harm.
+    Only minima per node are aggregated, with partial sums before the shuffle, and the edges of a hub meet its minimum divided by
+    salt; state is one row per edge, settled in the shared folder after each step. Self-loops and repeated edges do no harm.
     """
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     sign = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = spread_join(both, lowest, ["a"], "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        small = spread_join(large, lowest, ["a"], "b").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = settle(small.select("e.*").where("a <> b").distinct(), "edges")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if sign == (seen["n"], seen["h"]):

@@ -9,16 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.spread import salted_join
 from . import bulk
-from .frames import components, narrow, pack, settle, small_side, unpack
+from .frames import components, narrow, pack, settle, small_side, spread_join, unpack
 
 SKETCH = 48  # values kept for estimates
 LISTED = 32  # smallest of them, which go to the inverted lists
 COLD = 32  # a list up to this length is taken pair by pair
 COVERED = 18  # documents with so many values in such lists have all their partners there
-MAP_WORDS = 16  # 64-bit words of a bitmap of differences
-MAP = [f"m{k}" for k in range(MAP_WORDS)]
-KIN = 0.25  # estimates from here on make a star's pair worth comparing, to know the differences
+RARE = 32  # a difference that so many members of a group have, at most, gives pairs
+STEP = 8  # shingles by which members of a group are binned
+KIN = 0.25  # estimates from here on make a star's pair worth comparing
 PAIR_SCHEMA = "a long, b long"
 
 
@@ -43,51 +44,64 @@ def shingle_sets(texts: list[str | None], words: int, hasher: bulk.Hasher) -> li
     return sets
 
 
-def _sid(values: np.ndarray) -> int:
-    """One signed 64-bit number of a set."""
-    place = bulk.mix(np.arange(len(values), dtype=np.uint64))
-    return int(bulk.mix((values * (place | np.uint64(1))).sum(keepdims=True) + np.uint64(len(values))).view(np.int64)[0])
+def _identity(values: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit numbers of a set."""
+    place = bulk.mix(np.arange(len(values), dtype=np.uint64)) | np.uint64(1)
+    two = [bulk.mix((x * place).sum(keepdims=True) + np.uint64(len(values))) for x in (values, bulk.mix(values + np.uint64(1)))]
+    return tuple(int(x.view(np.int64)[0]) for x in two)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, sid, low, top): size and number of each document's shingle set, its smallest hashes as numbers for the
+    """(doc_id, n, h1, h2, low, top): size and 128 bits of each document's shingle set, its smallest hashes as numbers for the
     lists, and the upper halves of its smallest hashes as bytes for estimates. One pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = bulk.Hasher()
         for group in bulk.text_batches(bulk.rows_of(batches)):
             sets = shingle_sets([t for _, t in group], words, hasher)
+            first, second = zip(*map(_identity, sets), strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([i for i, _ in group], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_sid(s) for s in sets], pa.int64()),
+                    pa.array(first, pa.int64()),
+                    pa.array(second, pa.int64()),
                     pa.array([s[:LISTED].view(np.int64) for s in sets], pa.list_(pa.int64())),
                     pa.array([(s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n", "sid", "low", "top"],
+                names=["doc_id", "n", "h1", "h2", "low", "top"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, sid long, low array<long>, top binary")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, low array<long>, top binary")
 
 
-def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(sid, members): the whole shingle set, 40 bits of each hash, in ascending order."""
+def with_set_ids(sketched: DataFrame) -> DataFrame:
+    """``sketched`` with ``sid``, one number for each different set: a hash of its 128 bits, of which no two are alike."""
+    kinds = settle(sketched.where("n > 0").select("h1", "h2").distinct(), "kinds")
+    count, salt = kinds.count(), 0
+    while kinds.select(F.xxhash64(F.lit(salt), "h1", "h2").alias("sid")).distinct().count() < count:
+        salt += 1
+    return sketched.withColumn("sid", F.xxhash64(F.lit(salt), "h1", "h2"))
+
+
+def _members(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """(sid, members): the whole shingle sets that the pairs (a, b) need, as ascending 64-bit hashes. Only their texts are read into sets."""
+    needed = settle(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "needed")
+    holders = sets.join(needed, "sid", "left_semi").select("doc_id", "sid")
+    read = docs.join(small_side(holders.where("doc_id is not null").select("doc_id").distinct()), "doc_id", "left_semi")
+    if holders.where("doc_id is null").limit(1).count():
+        read = read.unionByName(docs.where("doc_id is null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = bulk.Hasher()
         for group in bulk.text_batches(bulk.rows_of(batches)):
-            sets = shingle_sets([t for _, t in group], words, hasher)
-            packed = [np.ascontiguousarray((s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array([_sid(s) for s in sets], pa.int64()), pa.array(packed, pa.binary())], names=["sid", "members"])
-
-    return docs.mapInArrow(run, "sid long, members binary")
+            found = shingle_sets([t for _, t in group], words, hasher)
+            first, second = zip(*map(_identity, found), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["h1", "h2", "members"])
 
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return wide.view("<u8").ravel()
+    found = read.mapInArrow(run, "h1 long, h2 long, members binary").dropDuplicates(["h1", "h2"])
+    named = sets.join(needed, "sid", "left_semi").select("sid", "h1", "h2")
+    return settle(found.join(named, ["h1", "h2"]).select("sid", "members"), "sets")
 
 
 def union_estimate(left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -115,63 +129,91 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int, kin: float = 1.0) -
                 yield batch.select([0, 1]).filter(pa.array(good))
 
     tops = sets.select("sid", "top")
-    met = pairs.join(tops.toDF("a", "top_a"), "a").join(tops.toDF("b", "top_b"), "b")
+    met = spread_join(pairs, tops.toDF("a", "top_a"), ["a"], "b").join(tops.toDF("b", "top_b"), "b")
     return met.select("a", "b", "top_a", "top_b").mapInArrow(run, PAIR_SCHEMA)
 
 
-def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b, linked, apart, m0, m1 …): whether the full sets of a pair reach the threshold, in how many shingles they
-    differ, and a bitmap of these. Only texts that some pair needs are read into sets."""
+def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bulk.slices_of(batches):
-            linked, apart, maps = [], [], np.zeros((batch.num_rows, MAP_WORDS), np.uint64)
-            for row, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                p, q = _unpacked(x), _unpacked(y)
-                joint = np.concatenate((p, q))
-                joint.sort()
-                twice = joint[1:] == joint[:-1]
-                shared = int(twice.sum())
-                linked.append(100 * shared >= percent * (len(p) + len(q) - shared))
-                apart.append(len(joint) - 2 * shared)
-                lone = np.ones(len(joint), bool)
-                lone[1:] &= ~twice
-                lone[:-1] &= ~twice
-                bits = (bulk.mix(joint[lone]) % np.uint64(64 * MAP_WORDS)).astype(np.int64)
-                np.bitwise_or.at(maps[row], bits >> 6, np.uint64(1) << (bits & 63).astype(np.uint64))
-            columns = [batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(apart, pa.int32())]
-            columns += [pa.array(maps[:, k].view(np.int64)) for k in range(MAP_WORDS)]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "apart", *MAP])
+            linked = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                n, m = len(x) // 8, len(y) // 8
+                shared = n + m - len(np.unique(np.concatenate((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)))))
+                linked.append(100 * shared >= percent * (n + m - shared))
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
 
     pairs = settle(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    holders = sets.join(needed, "sid", "left_semi").select(F.col("doc_id"))
-    read = docs.join(small_side(holders.where("doc_id is not null").distinct()), "doc_id", "left_semi")
-    if holders.where("doc_id is null").limit(1).count():
-        read = read.unionByName(docs.where("doc_id is null"))
-    found = settle(full_sets(read, words).dropDuplicates(["sid"]).join(needed, "sid", "left_semi"), "sets")
+    found = _members(pairs, docs, sets, words)
     met = pairs.join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b")
-    schema = "a long, b long, linked boolean, apart int, " + ", ".join(f"{m} long" for m in MAP)
-    return settle(met.select("a", "b", "set_a", "set_b").mapInArrow(run, schema), "compared")
+    return settle(met.select("a", "b", "set_a", "set_b").mapInArrow(run, PAIR_SCHEMA), "linked")
+
+
+def _differences(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
+    """(centre, sid, parts): the shingles that just one of centre and set has, for pairs (a: centre, b: sid)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bulk.slices_of(batches):
+            parts = [np.setxor1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).view(np.int64) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int64()))], names=["centre", "sid", "parts"])
+
+    found = _members(pairs, docs, sets, words)
+    met = spread_join(pairs, found.toDF("a", "set_a"), ["a"], "b").join(found.toDF("b", "set_b"), "b")
+    return settle(met.select("a", "b", "set_a", "set_b").mapInArrow(run, "centre long, sid long, parts array<long>"), "differences")
 
 
 def _alike_in_size(percent: int) -> F.Column:
     return (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
 
 
-def _can_meet(percent: int) -> F.Column:
-    """False for two sets that cannot be linked, by their differences from a third that both were compared with.
+def _within_groups(groups: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a group ``(centre, sid, n, root)`` with different roots that their differences from the centre allow to be linked.
 
-    Two sets of n and m shingles are linked if they differ in at most t = (n + m) (100 - p) / (100 + p) of them. They differ
-    in x + y - 2 z, for x and y differences from the third and z of these in common, so z must reach (x + y - t) / 2.
-    That many common differences set an expected number of common bits in the two bitmaps; a tenth of it and one more bit are allowed
-    for collisions.
+    Sets of n and m shingles are linked if they differ in at most t = (n + m) (100 - p) / (100 + p). With x and y differences from
+    the centre, z of them in common, they differ in x + y - 2 z; so z must reach (x + y - t) / 2. Of common differences,
+    those that more than ``RARE`` members have are at most as many as either set has of these; the others are counted exactly,
+    in their short lists. So a pair is left out only if it cannot be linked. Pairs that need no rare difference in common are found by
+    their numbers alone: those of a set and of the bins of sets that are few enough differences away. Any set may be the centre of a
+    group; the more alike it is to the members, the fewer pairs are left.
     """
-    bits = 64 * MAP_WORDS
-    least = (F.col("apart") + F.col("apart2") - (F.col("n") + F.col("m")) * (100 - percent) / (100 + percent)) / 2
-    common = sum((F.bit_count(F.col(f"m{k}").bitwiseAND(F.col(f"w{k}"))) for k in range(1, MAP_WORDS)), F.bit_count(F.col("m0").bitwiseAND(F.col("w0"))))
-    enough = common >= 0.9 * bits * (1 - F.exp(-least / bits)) - 1.5
-    return F.coalesce((F.col("centre") != F.col("centre2")) | (least <= 0) | enough, F.lit(True))
+    apart = _differences(groups.select(F.col("centre").alias("a"), F.col("sid").alias("b")).where("a <> b"), docs, sets, words)
+    entries = apart.select("centre", "sid", F.explode("parts").alias("part"))
+    often = entries.groupBy("centre", "part").agg(F.count("*").alias("c")).where("c > 1")
+    marked = settle(spread_join(entries, often, ["centre", "part"], "sid"), "marked")
+    frequent = marked.where(F.col("c") > RARE).groupBy("centre", "sid").agg(F.count("*").alias("f"))
+    sizes = apart.select("centre", "sid", F.size("parts").alias("d"))
+    known = groups.join(sizes, ["centre", "sid"], "left").join(frequent, ["centre", "sid"], "left")
+    known = settle(known.select("centre", "sid", "n", "root", F.coalesce("d", F.lit(0)).alias("d"), F.coalesce("f", F.lit(0)).alias("f")), "known")
+    other = known.toDF("centre", "sid2", "m", "root2", "d2", "f2")
+    whole, part = 100 + percent, 100 - percent
+    short = (F.col("d") + F.col("d2")) * whole - (F.col("n") + F.col("m")) * part  # twice the z that is needed, times ``whole``
+
+    listed = marked.where(F.col("c") <= RARE).join(known.select("centre", "sid", "root"), ["centre", "sid"])
+    lists = listed.groupBy("centre", "part").agg(F.array_sort(F.collect_list(F.struct("sid", "root"))).alias("l"))
+    later = lambda x, i: F.filter(F.slice("l", i + 2, RARE), lambda y: y["root"] != x["root"])
+    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(later(x, i), lambda y: F.struct(x["sid"].alias("sid"), y["sid"].alias("sid2")))))
+    shared = lists.select("centre", F.explode(pairs).alias("p")).groupBy("centre", "p.sid", "p.sid2").agg(F.count("*").alias("r"))
+    rare = shared.join(known, ["centre", "sid"]).join(other, ["centre", "sid2"])
+    rare = rare.where(_alike_in_size(percent) & (2 * whole * (F.col("r") + F.least("f", "f2")) >= short)).select("sid", "sid2")
+
+    # Without a rare one: u(x) + v(y) <= 0 for u = d - t / 2 and v = u - 2 f, both ways round, in whole numbers. The members of the largest
+    # component of a group are found by the others.
+    u, v = F.col("d") * whole - F.col("n") * part, F.col("u") - 2 * whole * F.col("f")
+    placed = settle(known.withColumn("u", u).withColumn("v", v).withColumn("bin", F.floor(F.col("v") / (STEP * whole))), "placed")
+    parts = placed.groupBy("centre", "root").agg(F.count("*").alias("c"), F.min("bin").alias("low"))
+    main = parts.groupBy("centre").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.min("low").alias("low"))
+    asking = spread_join(placed, main, ["centre"], "sid").where("root <> main").withColumn("high", F.floor(-F.col("u") / (STEP * whole))).where("high >= low")
+    asking = asking.select("centre", F.explode(F.sequence("low", "high")).alias("bin"), "sid", "n", "root", "d", "f", "u", "v")
+    bins = placed.groupBy("centre", "bin").agg(F.count("*").alias("_n")).drop("_n")
+    asking = asking.join(bins, ["centre", "bin"], "left_semi")
+    facing = placed.select("centre", "bin", *[F.col(c).alias(d) for c, d in (("sid", "sid2"), ("n", "m"), ("root", "root2"), ("u", "u2"), ("v", "v2"))])
+    plain = salted_join(facing, asking, ["centre", "bin"], ["sid2"]).where(
+        (F.col("root") != F.col("root2")) & _alike_in_size(percent) & (F.col("u") + F.col("v2") <= 0) & (F.col("v") + F.col("u2") <= 0)
+    )
+    found = rare.unionByName(plain.select("sid", "sid2"))
+    return found.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
 
 
 def _with_roots(df: DataFrame, roots: DataFrame, key: str, out: str) -> DataFrame:
@@ -190,27 +232,28 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     Candidates come from the lists of the retained values. First each list gives stars: its members of like size against
     the most typical of them, the centre, which contracts groups of copies without their pairs. Then every pair of a list of up to
     ``COLD`` members that are not yet in one component is tested. A document with ``COVERED`` or more of its values in
-    such lists has all its partners there, as a partner lacks at most a fifth of them; for the others, pairs of the long lists are
-    tested as well, wherever the two are still apart and their differences from a common centre allow a link. No list is cut.
+    such lists has all its partners there, as a partner lacks at most a fifth of them; the others are also tested within the
+    groups around the centres of their long lists, as far as their differences from the centre allow a link (``_within_groups``). No
+    list is cut. Equal sets are known by 128 bits; sets are compared by 64 bits of every shingle.
     """
     docs = narrow(docs, "doc_id", "text")
-    sketched = settle(sketches(docs, words), "sketches")
+    sketched = settle(with_set_ids(settle(sketches(docs, words), "sketches")), "named")
     sets = settle(
-        sketched.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("low").alias("low"), F.first("top").alias("top")),
+        sketched.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "h1", "h2", "low", "top")]),
         "distinct",
     )
     bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
     listed = sets.select("sid", "n", bucket.alias("bucket"), F.explode("low").alias("value"))
     lengths = listed.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
-    lists = listed.join(lengths, "value")
+    lists = settle(spread_join(listed, lengths, ["value"], "sid"), "lists")
     lists = settle(lists.join(lists.groupBy("sid").agg(F.sum("length").alias("weight")), "sid"), "lists")
 
     # Sets of like size share one of their two buckets.
     placed = lists.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
     centres = placed.groupBy("value", "bucket").agg(F.max_by("sid", F.struct("weight", "sid")).alias("centre"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    stars = placed.join(centres, ["value", "bucket"]).where("centre <> sid").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
-    compared = _compared(_likely(stars, sets, percent, KIN), docs, sets, words, percent)
-    links = compared.where("linked").select("a", "b")
+    centres = settle(centres, "centres")
+    stars = spread_join(placed, centres, ["value", "bucket"], "sid").where("centre <> sid").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
+    links = _linked(_likely(stars, sets, percent, KIN), docs, sets, words, percent)
     roots = settle(components(links), "roots")
 
     member = F.struct("n", "sid")
@@ -222,33 +265,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     long = lists.where(F.col("length") > COLD).groupBy("sid").agg(F.count("*").alias("often"))
     # Values in no one else's list are as good as those of short lists: what counts is how many are in long ones.
     open_ = long.join(sets.select("sid", F.size("low").alias("k")), "sid").where(F.col("k") - F.col("often") < F.least(F.lit(COVERED), F.col("k"))).select("sid")
-    hot = placed.where(F.col("length") > COLD).join(open_, "sid", "left_semi").select("value", "bucket", "sid", "n")
-    hot = _with_roots(hot, roots, "sid", "root")
-    mixed = hot.groupBy("value", "bucket").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("value", "bucket")
-    hot = settle(hot.join(mixed, ["value", "bucket"], "left_semi"), "hot")
-    # Of the centres that a set was compared with, the one that most others were compared with too.
-    popular = compared.groupBy("a").agg(F.count("*").alias("_all"))
-    nothing = [F.lit(0).alias("apart"), *[F.lit(0).cast("long").alias(m) for m in MAP]]
-    seen = compared.join(popular, "a").select(F.col("b").alias("sid"), F.col("a").alias("centre"), "_all", "apart", *MAP)
-    seen = seen.unionByName(popular.select(F.col("a").alias("sid"), F.col("a").alias("centre"), "_all", *nothing))
-    reference = seen.groupBy("sid").agg(F.max_by(F.struct("centre", "apart", *MAP), F.struct("_all", "centre")).alias("_s")).select("sid", "_s.*")
-    # A pair is taken up in the first of the lists that it shares only.
-    few = hot.withColumn("key", F.xxhash64("value", "bucket"))
-    few = few.join(reference, "sid", "left").join(few.groupBy("sid").agg(F.collect_list("key").alias("keys")), "sid")
-    few = settle(few, "few")
-    # The largest component of a list meets the rest of it, and the rest meets itself; its own pairs are done.
-    sizes = few.groupBy("value", "bucket", "root").agg(F.count("*").alias("c"))
-    largest = sizes.groupBy("value", "bucket").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    apart = few.join(largest, ["value", "bucket"]).where("root <> main").drop("main")
-    other = few.select("value", "bucket", F.col("sid").alias("sid2"), F.col("n").alias("m"), F.col("root").alias("root2"), F.col("centre").alias("centre2"), F.col("keys").alias("keys2"), F.col("apart").alias("apart2"), *[F.col(f"m{k}").alias(f"w{k}") for k in range(MAP_WORDS)])
-    facing = apart.join(other, ["value", "bucket"]).where(_alike_in_size(percent) & (F.col("root") != F.col("root2")) & _can_meet(percent))
-    facing = facing.where(F.array_min(F.array_intersect("keys", "keys2")) == F.col("key"))
-    rest = facing.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
+    hot = _with_roots(placed.where(F.col("length") > COLD).join(open_, "sid", "left_semi").select("value", "bucket", "sid", "n"), roots, "sid", "root")
+    # Centres of one component stand for each other: the one that most lists have serves for all, so a group of copies is one group.
+    known = _with_roots(centres, roots, "centre", "group")
+    chosen = known.groupBy("group", "centre").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"))
+    serving = settle(known.drop("centre").join(chosen, "group").select("value", "bucket", "centre"), "centres")
+    groups = spread_join(hot, serving, ["value", "bucket"], "sid").select("centre", "sid", "n", "root").distinct()
+    mixed = groups.groupBy("centre").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("centre")
+    groups = settle(spread_join(groups, mixed, ["centre"], "sid"), "groups")
+    rest = _within_groups(groups, docs, sets, words, percent)
 
     more = near.unionByName(rest).distinct()
     more = _with_roots(_with_roots(more, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
-    found = _compared(_likely(more, sets, percent), docs, sets, words, percent)
-    final = components(links.unionByName(found.where("linked").select("a", "b")))
+    found = _linked(_likely(more, sets, percent), docs, sets, words, percent)
+    final = components(links.unionByName(found))
 
     named = sets.select("sid", "doc_id").join(final.toDF("sid", "root"), "sid")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -11,26 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.spread import number_rows
-from .frames import narrow, settle
+from .frames import narrow, settle, spread_join
 
 WIDTH = 16  # turns of one matrix; longer conversations go on in further matrices, found by the key of what came before
 STRETCH = 1 << 14  # turns of a conversation that one group holds
 MATRIX_ROWS = 1 << 15
-SALTS = 64
 IDS_IN_BLOCK = 1 << 13
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: list[str], by: str) -> DataFrame:
-    """Equi-join of ``big`` with ``small`` (one row per key) in which no key's rows meet in one task.
-
-    The rows of a key are told apart by a salt of their column ``by``. Only keys with a salt that occurs are brought from
-    ``small``, by a join that sees each pair of key and salt once; nothing is repeated for keys with few rows.
-    """
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    told = salted.select(*on, "_salt").distinct().join(small, on)
-    return salted.join(told, [*on, "_salt"]).drop("_salt")
-
-
 def numbered_turns(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, turn_no, d1, d2, n_bytes): every turn at its place from 0, with 120 bits of the SHA-256 of role and text."""
     plain = narrow(conversations, conv, turn, role, text).toDF("conv_id", "turn", "role", "text").where("conv_id is not null")

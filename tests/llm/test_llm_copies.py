@@ -134,3 +134,41 @@ def test_shards(spark):
     assert all(again[r.doc_id, r.row_no] == (r.shard, r.slot) for r in got)
     sizes = {r.doc_id: r["size"] for r in got}
     assert sizes[3] == 8 and sizes[8] == 8 + 3 * 3000
+
+
+@pytest.mark.parametrize("cold, rare, step", [(4, 3, 1), (4, 32, 8), (32, 32, 8)])
+def test_copies_that_are_barely_unlike(spark, monkeypatch, cold, rare, step):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(220):
+        words = list(base)
+        for _ in range(rng.choice([2, 3, 4, 5, 5, 6])):
+            at = rng.randrange(120)
+            words[at] = rng.choice([f"own{i}-{at}", f"some{rng.randint(0, 8)}"])
+        if i % 6 == 0:  # a family with the same differences
+            words[10:16] = [f"f{i % 4}-{k}" for k in range(6)]
+        if i % 9 == 0:  # only deletions
+            words = [w for w in base if rng.random() > 0.04]
+        rows.append((i, " ".join(words)))
+    for name, value in (("COLD", cold), ("RARE", rare), ("STEP", step)):
+        monkeypatch.setattr(near, name, value)
+    asked = []
+    within = near._within_groups
+
+    def counted(*given):
+        found = within(*given)
+        asked.append(found.count())
+        return found
+
+    monkeypatch.setattr(near, "_within_groups", counted)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near.near_duplicates(table(spark, rows), 4, 80).collect()]
+    want = brute_components(rows, 4, 80)
+    assert sorted(got) == sorted(want)
+    assert len({c for _, _, c in want}) > 30 and asked[0] < 0.35 * len(rows) ** 2 / 2
+
+
+def test_sets_get_different_numbers(spark):
+    rows = [(1, 3, 7, 7), (2, 3, 7, 8), (3, 3, 7, 7), (4, 0, 0, 0)]
+    got = {r.doc_id: r.sid for r in near.with_set_ids(spark.createDataFrame(rows, "doc_id long, n long, h1 long, h2 long")).collect()}
+    assert got[1] == got[3] != got[2]
