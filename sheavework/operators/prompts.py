@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from .conversations import MESSAGE_LIMIT, messages_of
+from .spread import salted_join
 
 NO_TEXT_CONTEXT = "(no text context)"
 NO_CONTEXT = "(no context provided)"
@@ -51,7 +52,8 @@ def chat_messages(queries: DataFrame, messages: DataFrame, history_limit: int =
     """(query_id, messages): the ordered list a model is given.
 
     ``queries(query_id, session_id, system, summary, context, structured)``: the system text, then the summary, the
-    text context and the structured context where present, then the first ``history_limit`` messages of the session.
+    text context and the structured context where present, then the first ``history_limit`` messages of the session. A list
+    holds its whole history; ``turns`` puts lists together where the model is called instead.
     """
 
     def system_message(text: Column) -> Column:
@@ -68,13 +70,13 @@ def chat_messages(queries: DataFrame, messages: DataFrame, history_limit: int =
         system_message(titled("Structured data context (read-only):", "structured")),
     ))
     asked = queries.select(F.col("session_id")).distinct()
-    recent = messages_of(messages.join(asked, "session_id", "left_semi"), history_limit)
+    recent = messages_of(salted_join(messages, asked, ["session_id"], ["msg_no"], "left_semi"), history_limit)
     ordered = F.array_sort(F.collect_list(F.struct("msg_no", "role", "content")))
     history = recent.groupBy("session_id").agg(
         F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("history")
     )
     none = F.array().cast("array<struct<role:string,content:string>>")
-    return queries.join(history, "session_id", "left").select(
+    return salted_join(queries, history, ["session_id"], ["query_id"], "left").select(
         "query_id", F.concat(head, F.coalesce("history", none)).alias("messages")
     )
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .catalog import column_label
+from .catalog import NO_SHEETS, column_label
 from .rows import first_rows, rows_of_queries
 from .spread import BROADCAST_BYTES, first_n, salted_join, settled
 
@@ -339,34 +339,31 @@ def route_inventory(queries: DataFrame) -> DataFrame:
 INVENTORY_TITLE = "Sheet inventory:"
 
 
-def inventory_for_queries(queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(query_id, block_no, text): the inventory each asking query gets, in blocks.
+def inventories(queries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(report_key, block_no, text): each inventory that some query asks for, once, in blocks; queries name it by ``report_key`` of
+    ``route_inventory``.
 
-    A workbook without sheets has one "(none)" block, and with an empty catalog the report of all is one
-    fixed line. Most queries share the key ``*``; they are divided by salt.
+    A workbook without sheets has one "(none)" block, and with an empty catalog the report of all is one fixed line.
     """
-    asked = route_inventory(queries).where("wants_inventory").select("query_id", "report_key")
-    joined = salted_join(asked, blocks, ["report_key"], ["query_id"], "left")
-    none = F.when(F.col("report_key") == "*", F.lit("(no sheets recorded)")).otherwise(
-        F.concat(F.col("report_key"), F.lit(" — sheets: (none)"))
-    )
-    return joined.select("query_id", F.coalesce("block_no", F.lit(0)).alias("block_no"), F.coalesce("text", none).alias("text"))
+    asked = route_inventory(queries).where("report_key is not null").select("report_key").distinct()
+    # Few keys with many blocks: the blocks of one are divided by salt.
+    held = salted_join(blocks, asked, ["report_key"], ["block_no"]).select("report_key", "block_no", "text")
+    missing = asked.join(blocks.select("report_key").distinct(), "report_key", "left_anti")
+    none = F.when(F.col("report_key") == "*", F.lit(NO_SHEETS)).otherwise(F.concat(F.col("report_key"), F.lit(" — sheets: (none)")))
+    return held.unionByName(missing.select("report_key", F.lit(0).alias("block_no"), none.alias("text")))
 
 
-def structured_context(snippets: DataFrame, queries: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(query_id, part_no, text): the snippets as part 0, then the inventory blocks.
+def retrieve(hits: DataFrame, snippets: DataFrame, queries: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """(query_id, hits, structured): text hits in rank order and table snippets of every query that has any.
 
-    Joined in order, snippets and inventory are set apart by a blank line and the inventory starts with its
-    title. Inventories keep their blocks, so no text grows with the catalog.
+    With ``queries`` every query has a row, and ``report_key`` names the inventory that belongs to its structured part; with
+    ``found`` (``resources``) also the tables and texts that were used, as ``resources``.
     """
-    first = snippets.where(F.col("structured") != "").select("query_id", F.lit(0).alias("part_no"), F.col("structured").alias("text"))
-    titled = F.when(F.col("block_no") == 0, F.concat(F.lit(INVENTORY_TITLE + "\n"), F.col("text"))).otherwise(F.col("text"))
-    more = inventory_for_queries(queries, blocks).select("query_id", (F.col("block_no") + 1).alias("part_no"), titled.alias("text"))
-    return first.unionByName(more)
-
-
-def retrieve(hits: DataFrame, snippets: DataFrame) -> DataFrame:
-    """(query_id, hits, structured): text hits in rank order and table snippets of every query that has any."""
     entry = F.struct("rank", "chunk_id", "source", "page", "text", "score")
     text_hits = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("hits"))
-    return text_hits.join(snippets, "query_id", "full_outer").select("query_id", "hits", "structured")
+    both = text_hits.join(snippets, "query_id", "full_outer").select("query_id", "hits", "structured")
+    if queries is not None:
+        both = route_inventory(queries).select("query_id", "report_key").join(both, "query_id", "left")
+    if found is not None:
+        both = both.join(found.select("query_id", F.struct("structured", "text").alias("resources")), "query_id", "left")
+    return both

@@ -158,19 +158,19 @@ def system_prompt(spark, sf):
     return I.table(spark, sf, "conversations").select("conv_id", "turn", text.alias("system"))
 
 
-@register("chat_messages", hits_sql(", " + CONTEXT.format("chat_queries") + """, inputs AS (SELECT c.query_id, context, CASE WHEN length(q.query) % 2 = 0 THEN 'short' ELSE '' END AS summary,
-      CASE WHEN length(q.query) % 3 = 0 THEN 'tables' END AS structured FROM contexts c JOIN chat_queries q USING (query_id)),
-    listed AS (SELECT query_id, 0 AS n, 'system' AS role, 'Answer.' AS content FROM inputs UNION ALL SELECT query_id, 1, 'system', 'Prior summary:' || chr(10) || summary FROM inputs WHERE summary <> ''
-      UNION ALL SELECT query_id, 2, 'system', 'Retrieved text context:' || chr(10) || context FROM inputs UNION ALL SELECT query_id, 3, 'system', 'Structured data context (read-only):' || chr(10) || structured FROM inputs WHERE structured <> ''
-      UNION ALL SELECT session_id, 3 + msg_no, role, content FROM messages)
-    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n) - 1 AS pos, role, content FROM listed""", "chat_queries", "messages"))
+@register("chat_messages", hits_sql(", " + lookup_steps("chat_queries", 3, _MATCHED, _SAMPLED, _SNIPPETS) + ", " + CONTEXT.format("chat_queries") + f""",
+    summaries AS (SELECT session_id, 'digest ' || md5('{G.SUMMARY_REQUEST}' || transcript || '{G.SUMMARY_END}') AS summary FROM ({_transcript_sql("").format(24)})),
+    listed AS (SELECT query_id, 0 AS n, 'system' AS role, 'Answer.' AS content FROM chat_queries UNION ALL SELECT query_id, 1, 'system', 'Prior summary:' || chr(10) || summary FROM chat_queries JOIN summaries USING (session_id)
+      UNION ALL SELECT query_id, 2, 'system', 'Retrieved text context:' || chr(10) || context FROM contexts UNION ALL SELECT query_id, 3, 'system', 'Structured data context (read-only):' || chr(10) || structured FROM snippets WHERE structured <> ''
+      UNION ALL SELECT query_id, 3 + msg_no, role, content FROM chat_queries JOIN messages USING (session_id))
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY n) - 1 AS pos, role, content FROM listed""", "chat_queries", "messages", *STORED))
 def chat_messages(spark, sf):
-    queries = I.chat_queries(spark, sf)
-    contexts = H.context_block(queries, _hits(spark, sf, queries))
-    inputs = queries.join(contexts, "query_id").select(
-        "query_id", "session_id", F.lit("Answer.").alias("system"), "context",
-        F.when(F.length("query") % 2 == 0, "short").otherwise("").alias("summary"), F.when(F.length("query") % 3 == 0, "tables").alias("structured"))
-    listed = H.chat_messages(inputs, I.messages(spark, sf))
+    """Whole message lists, with a summary of the session, retrieved texts and table snippets."""
+    queries, s = I.chat_queries(spark, sf), I.knowledge_base(spark, sf)
+    summaries = H.generate(G.summary_prompts(I.sessions(spark, sf), G.transcript(I.messages(spark, sf))), "prompt").select("session_id", F.col("completion").alias("summary"))
+    snippets = search.search_context(queries, s["tables"], s["columns"], s["body"], 3)
+    inputs = queries.join(H.context_block(queries, _hits(spark, sf, queries)), "query_id").join(snippets, "query_id", "left").join(summaries, "session_id", "left")
+    listed = H.chat_messages(inputs.withColumn("system", F.lit("Answer.")), I.messages(spark, sf))
     return listed.select("query_id", F.posexplode("messages").alias("pos", "m")).select("query_id", "pos", "m.role", "m.content")
 
 

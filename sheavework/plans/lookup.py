@@ -149,25 +149,32 @@ def extract_workbook_name(spark, sf):
     return I.inventory_queries(spark, sf).select("query_id", search.extract_workbook_name(F.col("query")).alias("book"))
 
 
-@register("route_inventory", sql("", "inventory_queries", "sheet_catalog").rstrip() + f""",\n{_ROUTED},\n{INVENTORY_BLOCKS}
-    SELECT query_id, coalesce(block_no, 0) AS block_no, coalesce(text, report_key || ' — sheets: (none)') AS text
-    FROM (SELECT query_id, coalesce(book, '*') AS report_key FROM routed WHERE wants_inventory) q LEFT JOIN blocks USING (report_key)""")
+@register("route_inventory", sql("", "inventory_queries").rstrip() + f""",\n{_ROUTED}
+    SELECT query_id, wants_inventory, CASE WHEN wants_inventory THEN book END AS workbook, CASE WHEN wants_inventory THEN coalesce(book, '*') END AS report_key FROM routed""")
 def route_inventory(spark, sf):
-    blocks = catalog.inventory_blocks(I.sheet_catalog(spark, sf), 20)
-    return search.inventory_for_queries(I.inventory_queries(spark, sf), blocks)
+    return search.route_inventory(I.inventory_queries(spark, sf))
 
 
-@register("retrieve", hits_sql(", " + lookup_steps("text_queries", 3, _MATCHED, _SAMPLED, _SNIPPETS) + """
-    SELECT coalesce(h.query_id, s.query_id) AS query_id, h.chunk_ids, s.structured FROM (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids FROM hydrated GROUP BY query_id) h
-    FULL JOIN snippets s ON s.query_id = h.query_id""", "text_queries", *STORED))
+@register("inventories", sql("", "inventory_queries", "sheet_catalog").rstrip() + f""",\n{_ROUTED},\n{INVENTORY_BLOCKS}
+    SELECT report_key, coalesce(block_no, 0) AS block_no, coalesce(text, report_key || ' — sheets: (none)') AS text
+    FROM (SELECT DISTINCT coalesce(book, '*') AS report_key FROM routed WHERE wants_inventory) q LEFT JOIN blocks USING (report_key)""")
+def inventories(spark, sf):
+    """The texts that the keys stand for, each once."""
+    return search.inventories(I.inventory_queries(spark, sf), catalog.inventory_blocks(I.sheet_catalog(spark, sf), 20))
+
+
+@register("retrieve", hits_sql(", " + lookup_steps("turn_queries", 3, _MATCHED, _SAMPLED, _SNIPPETS) + r"""
+    SELECT q.query_id, coalesce(h.chunk_ids, '') AS chunk_ids, coalesce(s.structured, '') AS structured,
+      CASE WHEN regexp_matches(lower(q.query), 'sheet|worksheet|schema|columns|headers|fields') THEN coalesce(nullif(regexp_extract(q.query, '([A-Za-z0-9._ ()-]+\.xlsx?)', 1), ''), '*') END AS report_key
+    FROM turn_queries q LEFT JOIN (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS chunk_ids FROM hydrated GROUP BY query_id) h USING (query_id) LEFT JOIN snippets s USING (query_id)""", "turn_queries", *STORED))
 def retrieve(spark, sf):
-    s, queries = stored(spark, sf), I.text_queries(spark, sf)
+    """Hits, snippets and the key of the inventory for every question of a session."""
+    s, queries = stored(spark, sf), I.turn_queries(spark, sf)
     hits = vectors.hydrate_hits(text_hits(spark, sf, queries), I.text_base(spark, sf)["chunks"])
     snippets = search.search_context(queries, s["tables"], s["columns"], s["body"], 3)
-    both = search.retrieve(hits, snippets)
-    return both.select("query_id", F.array_join(F.transform("hits", lambda h: h["chunk_id"]), ",").alias("chunk_ids"), "structured")
-
-
+    both = search.retrieve(hits, snippets, queries)
+    ids = F.array_join(F.transform("hits", lambda h: h["chunk_id"]), ",")
+    return both.select("query_id", F.coalesce(ids, F.lit("")).alias("chunk_ids"), F.coalesce("structured", F.lit("")).alias("structured"), "report_key")
 
 
 @register("resources", hits_sql(", " + lookup_steps("text_queries", 6, scope="names_all") + f""", {_RESOURCE_ROWS},

@@ -149,14 +149,18 @@ def test_inventory(spark):
     assert report("b.xlsx") == b
     assert report("*") == "a.xlsx — sheets:\n- x (2 cols × 3 rows)\n\n" + b
     q = queries(spark, 'columns of "a.xlsx"', 'FIELDS of "c.xls"?', "all sheets", "hello")
+    keys = {r.query_id: r.report_key for r in search.route_inventory(q).collect()}
+    assert keys == {0: "a.xlsx", 1: "c.xls", 2: "*", 3: None}
     got = {}
-    for r in search.inventory_for_queries(q, blocks).orderBy("query_id", "block_no").collect():
-        got.setdefault(r.query_id, []).append(r.text)
-    assert got[0] == ["a.xlsx — sheets:\n- x (2 cols × 3 rows)"] and got[1] == ["c.xls — sheets: (none)"] and "\n".join(got[2]) == report("*") and 3 not in got
+    for r in search.inventories(q, blocks).orderBy("report_key", "block_no").collect():
+        got.setdefault(r.report_key, []).append(r.text)
+    assert got["a.xlsx"] == ["a.xlsx — sheets:\n- x (2 cols × 3 rows)"] and got["c.xls"] == ["c.xls — sheets: (none)"] and "\n".join(got["*"]) == report("*") and len(got) == 3
     empty = catalog.inventory_blocks(sheets.limit(0))
-    assert [r.text for r in search.inventory_for_queries(q, empty).where("query_id = 2").collect()] == ["(no sheets recorded)"]
-    parts = search.structured_context(spark.createDataFrame([(0, "snippet")], "query_id int, structured string"), q, blocks).where("query_id = 0").orderBy("part_no").collect()
-    assert [p.text for p in parts] == ["snippet", "Sheet inventory:\na.xlsx — sheets:\n- x (2 cols × 3 rows)"]
+    assert {r.report_key: r.text for r in search.inventories(q, empty).collect()}["*"] == "(no sheets recorded)"
+    snippets = spark.createDataFrame([(0, "snippet")], "query_id int, structured string")
+    hits = spark.createDataFrame([(2, 1, "c", "s", 1, "t", 0.5)], "query_id int, rank int, chunk_id string, source string, page int, text string, score double")
+    both = {r.query_id: (r.report_key, r.structured, len(r.hits or [])) for r in search.retrieve(hits, snippets, q).collect()}
+    assert both == {0: ("a.xlsx", "snippet", 0), 1: ("c.xls", None, 0), 2: ("*", None, 1), 3: (None, None, 0)}
 
 
 def test_schema_report(spark):
