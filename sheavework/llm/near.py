@@ -9,15 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.spread import salted_join
+from ..operators.spread import first_n, salted_join
 from . import bulk
-from .frames import components, narrow, pack, settle, small_side, spread_join, unpack
+from .frames import components, narrow, pack, settle, small_side, unpack
 
 SKETCH = 48  # values kept for estimates
 LISTED = 32  # smallest of them, which go to the inverted lists
 COLD = 32  # a list up to this length is taken pair by pair
 COVERED = 18  # documents with so many values in such lists have all their partners there
 RARE = 32  # a difference that so many members of a group have, at most, gives pairs
+TYPICAL = 3  # members of a group that all others are compared with
 STEP = 8  # shingles by which members of a group are binned
 KIN = 0.25  # estimates from here on make a star's pair worth comparing
 PAIR_SCHEMA = "a long, b long"
@@ -129,7 +130,7 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int, kin: float = 1.0) -
                 yield batch.select([0, 1]).filter(pa.array(good))
 
     tops = sets.select("sid", "top")
-    met = spread_join(pairs, tops.toDF("a", "top_a"), ["a"], "b").join(tops.toDF("b", "top_b"), "b")
+    met = pairs.join(tops.toDF("a", "top_a"), "a").join(tops.toDF("b", "top_b"), "b")
     return met.select("a", "b", "top_a", "top_b").mapInArrow(run, PAIR_SCHEMA)
 
 
@@ -160,7 +161,7 @@ def _differences(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int64()))], names=["centre", "sid", "parts"])
 
     found = _members(pairs, docs, sets, words)
-    met = spread_join(pairs, found.toDF("a", "set_a"), ["a"], "b").join(found.toDF("b", "set_b"), "b")
+    met = pairs.join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b")
     return settle(met.select("a", "b", "set_a", "set_b").mapInArrow(run, "centre long, sid long, parts array<long>"), "differences")
 
 
@@ -168,8 +169,34 @@ def _alike_in_size(percent: int) -> F.Column:
     return (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
 
 
-def _within_groups(groups: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of a group ``(centre, sid, n, root)`` with different roots that their differences from the centre allow to be linked.
+def _groups_apart(groups: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Of the members of groups ``(centre, sid, n)``: (centre, sid, part, c), their differences from the centre that c > 1 members have, and
+    (centre, sid, n, d, f, far): how many differences they have, how many that more than ``RARE`` members have, and how far they are from
+    what most members of the group have in common."""
+    apart = _differences(groups.select(F.col("centre").alias("a"), F.col("sid").alias("b")).where("a <> b"), docs, sets, words)
+    entries = apart.select("centre", "sid", F.explode("parts").alias("part"))
+    often = settle(entries.groupBy("centre", "part").agg(F.count("*").alias("c")).where("c > 1"), "often")
+    members = groups.groupBy("centre").agg(F.count("*").alias("g"))
+    most = often.join(members, "centre").groupBy("centre").agg(F.max("g").alias("g"), F.count_if(F.col("c") * 2 > F.col("g")).alias("own"))
+    marked = settle(entries.join(often, ["centre", "part"]).join(most.select("centre", "g"), "centre"), "marked")
+    shared = marked.groupBy("centre", "sid").agg(F.count_if(F.col("c") > RARE).alias("f"), F.count_if(F.col("c") * 2 > F.col("g")).alias("q"))
+    sizes = apart.select("centre", "sid", F.size("parts").alias("d"))
+    zero = F.lit(0).cast("long")
+    known = groups.join(sizes, ["centre", "sid"], "left").join(shared, ["centre", "sid"], "left").join(most.select("centre", "own"), "centre", "left")
+    known = known.select("centre", "sid", "n", *[F.coalesce(c, zero).alias(c) for c in ("d", "f", "q", "own")])
+    return marked, settle(known.withColumn("far", F.col("d") - 2 * F.col("q") + F.col("own")).drop("q", "own"), "known")
+
+
+def _typical_pairs(known: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each member with the ``TYPICAL`` members of its group that are nearest to what most have in common."""
+    best = first_n(known, ["centre"], [F.col("far"), F.col("sid")], TYPICAL, "_r").select("centre", F.col("sid").alias("sid2"), F.col("n").alias("m"))
+    met = salted_join(known, best, ["centre"], ["sid"]).where((F.col("sid") != F.col("sid2")) & _alike_in_size(percent))
+    met = met.select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
+    return _with_roots(_with_roots(met, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
+
+
+def _within_groups(marked: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of a group with different roots that their differences from the centre allow to be linked.
 
     Sets of n and m shingles are linked if they differ in at most t = (n + m) (100 - p) / (100 + p). With x and y differences from
     the centre, z of them in common, they differ in x + y - 2 z; so z must reach (x + y - t) / 2. Of common differences,
@@ -178,15 +205,7 @@ def _within_groups(groups: DataFrame, docs: DataFrame, sets: DataFrame, words: i
     their numbers alone: those of a set and of the bins of sets that are few enough differences away. Any set may be the centre of a
     group; the more alike it is to the members, the fewer pairs are left.
     """
-    apart = _differences(groups.select(F.col("centre").alias("a"), F.col("sid").alias("b")).where("a <> b"), docs, sets, words)
-    entries = apart.select("centre", "sid", F.explode("parts").alias("part"))
-    often = entries.groupBy("centre", "part").agg(F.count("*").alias("c")).where("c > 1")
-    marked = settle(spread_join(entries, often, ["centre", "part"], "sid"), "marked")
-    frequent = marked.where(F.col("c") > RARE).groupBy("centre", "sid").agg(F.count("*").alias("f"))
-    sizes = apart.select("centre", "sid", F.size("parts").alias("d"))
-    known = groups.join(sizes, ["centre", "sid"], "left").join(frequent, ["centre", "sid"], "left")
-    known = settle(known.select("centre", "sid", "n", "root", F.coalesce("d", F.lit(0)).alias("d"), F.coalesce("f", F.lit(0)).alias("f")), "known")
-    other = known.toDF("centre", "sid2", "m", "root2", "d2", "f2")
+    other = known.select("centre", *[F.col(c).alias(d) for c, d in (("sid", "sid2"), ("n", "m"), ("d", "d2"), ("f", "f2"), ("root", "root2"))])
     whole, part = 100 + percent, 100 - percent
     short = (F.col("d") + F.col("d2")) * whole - (F.col("n") + F.col("m")) * part  # twice the z that is needed, times ``whole``
 
@@ -204,7 +223,7 @@ def _within_groups(groups: DataFrame, docs: DataFrame, sets: DataFrame, words: i
     placed = settle(known.withColumn("u", u).withColumn("v", v).withColumn("bin", F.floor(F.col("v") / (STEP * whole))), "placed")
     parts = placed.groupBy("centre", "root").agg(F.count("*").alias("c"), F.min("bin").alias("low"))
     main = parts.groupBy("centre").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.min("low").alias("low"))
-    asking = spread_join(placed, main, ["centre"], "sid").where("root <> main").withColumn("high", F.floor(-F.col("u") / (STEP * whole))).where("high >= low")
+    asking = placed.join(main, "centre").where("root <> main").withColumn("high", F.floor(-F.col("u") / (STEP * whole))).where("high >= low")
     asking = asking.select("centre", F.explode(F.sequence("low", "high")).alias("bin"), "sid", "n", "root", "d", "f", "u", "v")
     bins = placed.groupBy("centre", "bin").agg(F.count("*").alias("_n")).drop("_n")
     asking = asking.join(bins, ["centre", "bin"], "left_semi")
@@ -234,7 +253,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     ``COLD`` members that are not yet in one component is tested. A document with ``COVERED`` or more of its values in
     such lists has all its partners there, as a partner lacks at most a fifth of them; the others are also tested within the
     groups around the centres of their long lists, as far as their differences from the centre allow a link (``_within_groups``). No
-    list is cut. Equal sets are known by 128 bits; sets are compared by 64 bits of every shingle.
+    list is cut. Equal sets are known by 128 bits; sets are compared by 64 bits of every shingle. Members of a hot list, or around a
+    hot centre, meet its one row in joins whose rows Spark divides at run time (skew join).
     """
     docs = narrow(docs, "doc_id", "text")
     sketched = settle(with_set_ids(settle(sketches(docs, words), "sketches")), "named")
@@ -245,14 +265,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     bucket = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)))
     listed = sets.select("sid", "n", bucket.alias("bucket"), F.explode("low").alias("value"))
     lengths = listed.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
-    lists = settle(spread_join(listed, lengths, ["value"], "sid"), "lists")
+    lists = listed.join(lengths, "value")
     lists = settle(lists.join(lists.groupBy("sid").agg(F.sum("length").alias("weight")), "sid"), "lists")
 
     # Sets of like size share one of their two buckets.
     placed = lists.withColumn("bucket", F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)))
     centres = placed.groupBy("value", "bucket").agg(F.max_by("sid", F.struct("weight", "sid")).alias("centre"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     centres = settle(centres, "centres")
-    stars = spread_join(placed, centres, ["value", "bucket"], "sid").where("centre <> sid").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
+    stars = placed.join(centres, ["value", "bucket"]).where("centre <> sid").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
     links = _linked(_likely(stars, sets, percent, KIN), docs, sets, words, percent)
     roots = settle(components(links), "roots")
 
@@ -267,13 +287,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     open_ = long.join(sets.select("sid", F.size("low").alias("k")), "sid").where(F.col("k") - F.col("often") < F.least(F.lit(COVERED), F.col("k"))).select("sid")
     hot = _with_roots(placed.where(F.col("length") > COLD).join(open_, "sid", "left_semi").select("value", "bucket", "sid", "n"), roots, "sid", "root")
     # Centres of one component stand for each other: the one that most lists have serves for all, so a group of copies is one group.
-    known = _with_roots(centres, roots, "centre", "group")
-    chosen = known.groupBy("group", "centre").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"))
-    serving = settle(known.drop("centre").join(chosen, "group").select("value", "bucket", "centre"), "centres")
-    groups = spread_join(hot, serving, ["value", "bucket"], "sid").select("centre", "sid", "n", "root").distinct()
+    of_group = _with_roots(centres, roots, "centre", "group")
+    chosen = of_group.groupBy("group", "centre").agg(F.count("*").alias("c")).groupBy("group").agg(F.max_by("centre", F.struct("c", "centre")).alias("centre"))
+    serving = settle(of_group.drop("centre").join(chosen, "group").select("value", "bucket", "centre"), "centres")
+    groups = hot.join(serving, ["value", "bucket"]).select("centre", "sid", "n", "root").distinct()
     mixed = groups.groupBy("centre").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x <> _y").select("centre")
-    groups = settle(spread_join(groups, mixed, ["centre"], "sid"), "groups")
-    rest = _within_groups(groups, docs, sets, words, percent)
+    groups = settle(groups.join(mixed, "centre", "left_semi").drop("root"), "groups")
+    marked, known = _groups_apart(groups, docs, sets, words)
+    # The centres were chosen by lists; what lies nearest to the middle of a group links more of it.
+    links = settle(links.unionByName(_linked(_likely(_typical_pairs(known, roots, percent), sets, percent), docs, sets, words, percent)), "links")
+    roots = settle(components(links), "roots")
+    known = settle(_with_roots(known, roots, "sid", "root").select("centre", "sid", "n", "d", "f", "root"), "known")
+    rest = _within_groups(marked, known, percent)
 
     more = near.unionByName(rest).distinct()
     more = _with_roots(_with_roots(more, roots, "a", "ra"), roots, "b", "rb").where("ra <> rb").select("a", "b")
