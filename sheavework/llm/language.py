@@ -9,15 +9,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.spread import salted_join
+from ..session import scratch_path
 from . import bulk
 from .frames import narrow, pack, settle, unpack
 
 ORDER = 4
-MODEL_GRAMS = 2_000_000  # counts that a broadcast model is made of at most; beyond it the whole model stays in tables
+MODEL_GRAMS = 2_000_000  # counts that the driver makes a model of at most; beyond it the model stays in tables
+MODEL_BYTES = 128 << 20  # of a model, or of one of its parts, that a task holds
+FOLDS = 2
 HELD_GRAMS = 400_000  # grams that a task gathers before it passes them on
 REJECT_SHARE = 0.0005  # of right documents, the share that may lie beyond the threshold
 REJECT_ACCURACY = 100_000  # the rank of a threshold is right to this part of a language's documents
@@ -56,33 +59,32 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
-    """(lang, gram, n) over all texts of ``labelled`` (lang, text): the whole corpus is counted, each task sums its own first."""
+    """(lang, fold, gram, n) over all texts of ``labelled`` (lang, fold, text): the whole corpus is counted, each task sums its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        size = 0
+        held: dict[tuple[str, int], list] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for lang, (keys, counts) in held.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
+            for (lang, fold), (keys, counts) in held.items():
+                columns = [pa.repeat(lang, len(keys)), pa.repeat(pa.scalar(fold, pa.int32()), len(keys)), pa.array(keys.view(np.int64)), pa.array(counts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "fold", "gram", "n"])
 
         for group in bulk.text_batches(bulk.rows_of(batches)):
-            for lang in {r[0] for r in group}:
-                packed, _ = grams([t for t in (plain_letters(r[1]) for r in group if r[0] == lang) if t])
+            for kind in {r[:2] for r in group}:
+                packed, _ = grams([t for t in (plain_letters(r[2]) for r in group if r[:2] == kind) if t])
                 keys, counts = np.unique(packed, return_counts=True)
-                if lang in held:
-                    keys = np.concatenate((held[lang][0], keys))
+                if kind in held:
+                    keys = np.concatenate((held[kind][0], keys))
                     keys, back = np.unique(keys, return_inverse=True)
-                    counts = np.bincount(back, weights=np.concatenate((held[lang][1], counts))).astype(np.int64)
-                held[lang] = [keys, counts]
-            size = sum(len(v[0]) for v in held.values())
-            if size > HELD_GRAMS:
+                    counts = np.bincount(back, weights=np.concatenate((held[kind][1], counts))).astype(np.int64)
+                held[kind] = [keys, counts]
+            if sum(len(v[0]) for v in held.values()) > HELD_GRAMS:
                 yield from out()
                 held.clear()
         yield from out()
 
-    found = labelled.select("lang", "text").mapInArrow(run, "lang string, gram long, n long")
-    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = labelled.select("lang", "fold", "text").mapInArrow(run, "lang string, fold int, gram long, n long")
+    return found.groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n"))
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -135,47 +137,58 @@ class KneserNey:
             result = np.where(whole > 0, (seen + left * result) / np.maximum(whole, 1e-300), result)
         return result
 
+    def share_below(self, order: int, context: np.ndarray) -> np.ndarray:
+        """What the grams of an order give up behind each context: the weight of the order below, 1 where the context is unseen."""
+        _, total, kinds, discount = self.levels[ORDER - order]
+        whole = _at(total, context, 0.0)
+        return np.where(whole > 0, discount * _at(kinds, context, 0.0) / np.maximum(whole, 1e-300), 1.0)
+
 
 @dataclass
 class LanguageModel:
-    """Languages, and per order the sorted hashes of all grams with each language's log-probabilities.
+    """Languages, and per order, from the highest, the sorted hashes of all grams with each language's log-probabilities, and
+    those of all contexts with the logarithm of what each language hands down behind them.
 
-    The entry of a gram of a lower order is its probability where no longer context was seen in any language.
+    The entry of a gram of a lower order is its probability where no longer context was seen. A gram that no language has seen is
+    looked up one order lower, and its context's weight is added. ``floor`` is what a character has that none has seen at all.
     """
 
     languages: list[str]
     hashes: list[np.ndarray]
     values: list[np.ndarray]
+    contexts: list[np.ndarray]
+    weights: list[np.ndarray]
+    floor: np.ndarray
     limits: list[float]
 
     def lookup(self) -> Lookup:
         return Lookup(self)
 
 
-class Lookup:
-    """Finds grams in the sorted hash arrays by interpolation: the top bits of a hash point to a short run of entries."""
+def named(keys: np.ndarray, order: int) -> np.ndarray:
+    """Hashes of grams or contexts of an order."""
+    return bulk.mix(keys + np.uint64(order))
 
-    def __init__(self, model: LanguageModel) -> None:
-        self.model = model
-        self.bits, self.index, self.longest = [], [], []
-        for hashes in model.hashes:
-            bits = max(1, int(len(hashes)).bit_length() + 1)
-            tops = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-            index = np.searchsorted(tops, np.arange((1 << bits) + 1)).astype(np.int32)
-            self.bits.append(bits)
-            self.index.append(index)
-            self.longest.append(int(np.diff(index).max(initial=0)))
-
-    def _find(self, level: int, keys: np.ndarray) -> np.ndarray:
-        hashes = self.model.hashes[level]
-        at = self.index[level][(keys >> np.uint64(64 - self.bits[level])).astype(np.int64)].astype(np.int64)
+
+class SortedHashes:
+    """Finds hashes in a sorted array: the top bits of a hash point to a short run of entries."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        self.bits = max(1, int(len(hashes)).bit_length() + 1)
+        tops = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.index = np.searchsorted(tops, np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.longest = int(np.diff(self.index).max(initial=0))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self.index[(keys >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
         found = np.full(len(keys), -1, np.int64)
         todo = np.arange(len(keys))
-        for step in range(self.longest[level]):
+        for step in range(self.longest):
             spot = at[todo] + step
-            good = spot < len(hashes)
+            good = spot < len(self.hashes)
             todo, spot = todo[good], spot[good]
-            same = hashes[spot]
+            same = self.hashes[spot]
             hit = same == keys[todo]
             found[todo[hit]] = spot[hit]
             todo = todo[same < keys[todo]]
@@ -183,37 +196,86 @@ class Lookup:
                 break
         return found
 
-    def entropies(self, texts: list[str]) -> np.ndarray:
-        """Cross-entropy per character of each text under each language; texts hold at least one character."""
-        keys, owner = grams(texts)
+
+class Lookup:
+    """Log-probabilities of many grams at once, under all languages."""
+
+    def __init__(self, model: LanguageModel) -> None:
+        self.model = model
+        self.grams = [SortedHashes(h) for h in model.hashes]
+        self.contexts = [SortedHashes(h) for h in model.contexts]
+
+    def sums(self, keys: np.ndarray, owner: np.ndarray, texts: int) -> np.ndarray:
+        """Summed log-probabilities of the grams ``keys`` of each text under each language."""
         n = len(self.model.languages)
-        sums = np.zeros((len(texts), n))
+        sums = np.zeros((texts, n))
+
+        def add(own: np.ndarray, values: np.ndarray) -> None:
+            for k in range(n):
+                sums[:, k] += np.bincount(own, weights=values[:, k], minlength=texts)
+
         todo = np.arange(len(keys))
         for level, order in enumerate(range(ORDER, 0, -1)):
             part = keys[todo] & np.uint64((1 << 16 * order) - 1) if order < 4 else keys[todo]
-            at = self._find(level, bulk.mix(part + np.uint64(order)))
+            at = self.grams[level].find(named(part, order))
             hit = at >= 0
-            own, rows = owner[todo[hit]], at[hit]
-            for k in range(n):
-                sums[:, k] += np.bincount(own, weights=self.model.values[level][rows, k], minlength=len(texts))
-            todo = todo[~hit]
-        missing = np.bincount(owner[todo], minlength=len(texts))
-        sums += (missing * self.model.values[-1])[:, None] if np.ndim(self.model.values[-1]) == 0 else missing[:, None] * self.model.values[-1]
-        return -sums / np.maximum(1, np.bincount(owner, minlength=len(texts)))[:, None]
+            add(owner[todo[hit]], self.model.values[level][at[hit]])
+            todo, part = todo[~hit], part[~hit]
+            if order > 1 and len(todo):
+                behind = self.contexts[level].find(named(part >> np.uint64(16), order))
+                known = behind >= 0
+                add(owner[todo[known]], self.model.weights[level][behind[known]])
+        sums += np.bincount(owner[todo], minlength=texts)[:, None] * self.model.floor
+        return sums
+
+    def entropies(self, texts: list[str]) -> np.ndarray:
+        """Cross-entropy per character of each text under each language; texts hold at least one character."""
+        keys, owner = grams(texts)
+        return -self.sums(keys, owner, len(texts)) / np.maximum(1, np.bincount(owner, minlength=len(texts)))[:, None]
+
+
+PRIME = 1_000_003
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a large model that a 4-gram is looked up in: by the two characters before its last, which the gram, the shorter gram
+    and the contexts of both have in common."""
+    return ((keys >> np.uint64(16)) & np.uint64(0xFFFFFFFF)) % np.uint64(PRIME) % np.uint64(parts)
 
 
 @dataclass
 class GramTables:
-    """A model beyond what is broadcast: per order a table (key, values) of all grams, with the same values as a LanguageModel's arrays."""
+    """A model beyond what the driver holds: per order the tables (key, values) of a LanguageModel. Orders three and four are cut into ``parts``;
+    the entries of shorter grams belong to each part."""
 
     languages: list[str]
-    tables: list[DataFrame]
-    missing: float
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    floor: np.ndarray
+    parts: int
     limits: list[float]
 
+    def part(self, number: int) -> LanguageModel:
+        """The arrays of one part, at most about ``MODEL_BYTES``."""
+
+        def arrays(table: DataFrame, order: int, shift: int) -> tuple[np.ndarray, np.ndarray]:
+            if order > 2:
+                pair = F.shiftrightunsigned("key", shift).bitwiseAND(F.lit(0xFFFFFFFF)) if shift else F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+                table = table.where(pair % PRIME % self.parts == number)
+            found = table.select("key", "values").toArrow()
+            names = named(found.column("key").to_numpy().view(np.uint64), order)
+            by = np.argsort(names)
+            values = found.column("values").combine_chunks().flatten().to_numpy().reshape(-1, len(self.languages))
+            return names[by], values[by].astype(np.float32)
+
+        orders = range(ORDER, 0, -1)
+        found = [arrays(t, o, 16) for t, o in zip(self.grams, orders, strict=True)]
+        behind = [arrays(t, o, 0) for t, o in zip(self.contexts, orders, strict=False)]
+        return LanguageModel(self.languages, [x for x, _ in found], [x for _, x in found], [x for x, _ in behind], [x for _, x in behind], self.floor, self.limits)
 
-def gram_tables(counts: DataFrame, languages: list[str]) -> GramTables:
-    """The model of ``counts`` (lang, gram, n), all of them, worked out in Spark; the driver gets two numbers per language and order."""
+
+def gram_tables(counts: DataFrame, languages: list[str], part_bytes: int = MODEL_BYTES) -> GramTables:
+    """The model of ``counts`` (lang, gram, n), all of them, worked out in Spark; the driver gets a few numbers per language and order."""
     each = lambda f: F.array(*[f(i) for i in range(len(languages))])
     count = lambda i: F.col("counts")[i]
     of_lang = lambda i: F.coalesce(F.sum(F.when(F.col("lang") == languages[i], F.col("n"))), F.lit(0).cast("long"))
@@ -222,12 +284,12 @@ def gram_tables(counts: DataFrame, languages: list[str]) -> GramTables:
         context = level.groupBy(F.shiftrightunsigned("key", 16).alias("context")).agg(
             each(lambda i: F.sum(count(i))).alias("total"), each(lambda i: F.count_if(count(i) > 0)).alias("kinds"))
         seen = level.agg(each(lambda i: F.count_if(count(i) == 1)).alias("once"), each(lambda i: F.count_if(count(i) == 2)).alias("twice")).first()
-        levels.append((order, level, context, [a / (a + 2 * b) if a and b else 0.5 for a, b in zip(seen["once"], seen["twice"], strict=True)]))
+        levels.append((order, level, settle(context, "contexts"), [a / (a + 2 * b) if a and b else 0.5 for a, b in zip(seen["once"], seen["twice"], strict=True)]))
         if order > 1:
             shorter = F.col("key").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1))
             level = settle(level.groupBy(shorter.alias("key")).agg(each(lambda i: F.count_if(count(i) > 0)).alias("counts")), "level")
     alphabet = level.count() + 1
-    tables, lower = [], None
+    tables, behind, lower, rows = [], [], None, 0
     for order, level, context, discounts in reversed(levels):
         # A context or a shorter gram has at most one row per character here, so no key is hot.
         both = level.withColumn("context", F.shiftrightunsigned("key", 16)).join(context, "context")
@@ -241,55 +303,92 @@ def gram_tables(counts: DataFrame, languages: list[str]) -> GramTables:
             whole, kinds, below = F.col("total")[i], F.col("kinds")[i], F.col("lower")[i]
             return F.when(whole > 0, (F.greatest(count(i) - discounts[i], F.lit(0.0)) + discounts[i] * kinds * below) / whole).otherwise(below)
 
+        def weight(i: int, discounts: list[float] = discounts) -> Column:
+            return F.when(F.col("total")[i] > 0, F.log(F.lit(discounts[i]) * F.col("kinds")[i] / F.col("total")[i])).otherwise(0.0)
+
         lower = settle(both.select("key", each(p).alias("p")), "probabilities")
         tables.insert(0, lower.select("key", F.transform("p", lambda x: F.log(x).cast("float")).alias("values")))
-    return GramTables(languages, tables, -float(np.log(alphabet)) - 3.0, [np.inf] * len(languages))
+        weights = context.select(F.col("context").alias("key"), each(weight).cast("array<float>").alias("values"))
+        if order > 1:
+            behind.insert(0, weights)
+        else:
+            floor = np.array(weights.first()["values"], np.float64) - np.log(alphabet)
+        rows += lower.count() + context.count()
+    parts = max(1, -(-rows * (8 + 4 * len(languages)) // part_bytes))
+    return GramTables(languages, tables, behind, floor, parts, [np.inf] * len(languages))
+
+
+def _model(counts: DataFrame, max_grams: int) -> LanguageModel | GramTables:
+    """A model of counts (lang, gram, n), in arrays or in tables; both give the same values."""
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    sizes = counts.agg(F.count("*").alias("n"), F.count_distinct("gram").alias("g")).first()
+    # Shorter grams and contexts are fewer than the longest grams, and mostly far fewer.
+    if sizes["n"] > max_grams or 3 * sizes["g"] * (8 + 4 * len(languages)) > MODEL_BYTES:
+        return gram_tables(counts, languages)
+    return _gram_arrays(counts.select("lang", "gram", "n").toPandas())
 
 
 def fit(labelled: DataFrame, max_grams: int = MODEL_GRAMS) -> LanguageModel | GramTables:
     """A model of all texts of ``labelled`` (doc_id, lang, text); rows without language or letters are passed over.
 
-    Counts cover every text and the model holds every gram. Up to ``max_grams`` counts it is made of arrays that are broadcast,
-    beyond that of tables that texts are joined with; both give the same values. The rejection limit of a language is
-    fitted on all its rows that are recognised as it or, if none is, on all rows that bear its label, so each has one.
+    Counts cover every text and the model holds every gram. Up to ``max_grams`` counts and ``MODEL_BYTES`` it is made of arrays that are broadcast,
+    beyond that of tables that are read in parts; both give the same values. Rejection limits come from texts that the model has not
+    seen: rows fall into two folds by a hash of their text, and each is scored by a model of the other. The limit of a language is
+    taken from all its rows that are recognised as it or, if none is, from all that bear its label; a language that the other fold
+    lacks is scored by the whole model.
     """
-    counts = settle(gram_counts(labelled.where("lang is not null and text is not null")), "grams")
-    if counts.count() > max_grams:
-        model = gram_tables(counts, sorted(r["lang"] for r in counts.select("lang").distinct().collect()))
-    else:
-        model = _gram_arrays(counts.toPandas())
+    rows = labelled.where("lang is not null and text is not null").select("lang", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
+    counts = settle(gram_counts(rows), "grams")
+    model = _model(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), max_grams)
     if not model.languages:
         return model
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text")
     limit = lambda entropy: F.percentile_approx(entropy, 1 - REJECT_SHARE, REJECT_ACCURACY)
     right = F.when(F.col("lang") == F.col("lang_pred"), F.col("entropy"))
-    seen = scored(rows, model, "lang").groupBy("lang").agg(F.coalesce(limit(right), limit(F.col("entropy"))).alias("q")).collect()
-    limits = {r["lang"]: r["q"] for r in seen}
-    model.limits = [float(limits[lang]) + REJECT_MARGIN for lang in model.languages]
+
+    def limits_of(seen: DataFrame) -> dict[str, float]:
+        found = seen.groupBy("lang").agg(F.coalesce(limit(right), limit(F.col("entropy"))).alias("q"))
+        return {r["lang"]: float(r["q"]) for r in found.collect() if r["q"] is not None}
+
+    seen = None
+    for fold in range(FOLDS):
+        other = _model(counts.where(F.col("fold") != fold).groupBy("lang", "gram").agg(F.sum("n").alias("n")), max_grams)
+        part = scored(rows.where((F.col("fold") == fold) & F.col("lang").isin(other.languages)).select("lang", "text"), other, "lang")
+        seen = part if seen is None else seen.unionByName(part)
+    limits = limits_of(seen)
+    if missing := [lang for lang in model.languages if lang not in limits]:
+        limits |= limits_of(scored(rows.where(F.col("lang").isin(missing)).select("lang", "text"), model, "lang"))
+    model.limits = [limits[lang] + REJECT_MARGIN for lang in model.languages]
     return model
 
 
 def _gram_arrays(table: pd.DataFrame) -> LanguageModel:
     languages = sorted(table["lang"].unique())
     if not languages:
-        return LanguageModel([], [np.zeros(0, np.uint64)] * ORDER, [np.zeros((0, 0))] * ORDER + [np.zeros(0)], [])
+        none, empty = [np.zeros(0, np.uint64)] * ORDER, [np.zeros((0, 0))] * ORDER
+        return LanguageModel([], none, empty, none[1:], empty[1:], np.zeros(0), [])
     all_keys = table["gram"].to_numpy().view(np.uint64)
     alphabet = len(np.unique(all_keys & np.uint64(0xFFFF))) + 1
     models = []
     for lang in languages:
         own = table[table["lang"] == lang]
         models.append(KneserNey(*_sorted(own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy()), alphabet))
-    hashes, values = [], []
+    hashes, values, contexts, weights = [], [], [], []
     for order in range(ORDER, 0, -1):
         keys = np.unique(all_keys & np.uint64((1 << 16 * order) - 1) if order < 4 else all_keys)
-        names = bulk.mix(keys + np.uint64(order))
+        names = named(keys, order)
         by = np.argsort(names)
         hashes.append(names[by])
         # A gram of a lower order stands behind a context that no language has seen: the high part is set to one that none has.
         asked = keys[by] | np.uint64(((1 << 64) - 1) ^ ((1 << 16 * order) - 1)) if order < 4 else keys[by]
         values.append(np.stack([np.log(m.probability(asked)) for m in models], axis=1).astype(np.float32))
-    values.append(np.full(len(languages), -np.log(alphabet) - 3.0))
-    return LanguageModel(languages, hashes, values, [np.inf] * len(languages))
+        if order > 1:
+            behind = np.unique(keys >> np.uint64(16))
+            names = named(behind, order)
+            by = np.argsort(names)
+            contexts.append(names[by])
+            weights.append(np.stack([np.log(m.share_below(order, behind[by])) for m in models], axis=1).astype(np.float32))
+    floor = np.array([np.log(m.share_below(1, np.zeros(1, np.uint64))[0] / alphabet) for m in models])
+    return LanguageModel(languages, hashes, values, contexts, weights, floor, [np.inf] * len(languages))
 
 
 def _sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,36 +396,34 @@ def _sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[by], counts[by]
 
 
-def _scored_by_join(docs: DataFrame, model: GramTables, *keep: str) -> DataFrame:
-    """``scored`` for a model in tables: the distinct grams of the texts find their values, then each text's grams are summed."""
+def _scored_in_passes(docs: DataFrame, model: GramTables, *keep: str) -> DataFrame:
+    """``scored`` for a model in tables: the texts are read once for each part of the model, every pass looks up the grams that belong
+    to its part, and the sums of a text are added up. A text's grams never leave its task."""
+    spark = docs.sparkSession
     kept = settle(docs.select(F.monotonically_increasing_id().alias("_id"), *keep, "text"), "texts")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in bulk.text_batches(bulk.rows_of(batches)):
-            group = [(i, letters) for i, t in group if (letters := plain_letters(t))]
-            if not group:
-                continue
-            keys, owner = grams([t for _, t in group])
-            by = np.lexsort((keys, owner))
-            keys, owner = keys[by], owner[by]
-            first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1]))))
-            ids, sizes = np.array([i for i, _ in group], np.int64), np.array([len(t) for _, t in group], np.int64)
-            own = owner[first]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(keys[first].view(np.int64)), pa.array(np.diff(first, append=len(keys))), pa.array(sizes[own])], names=["_id", "gram", "n", "size"])
-
-    pieces = settle(kept.select("_id", "text").mapInArrow(run, "_id long, gram long, n long, size long"), "pieces")
-    found = pieces.select("gram").distinct()
-    for table, order in zip(model.tables, range(ORDER, 0, -1), strict=True):
-        found = found.withColumn("_key", F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1)) if order < 4 else F.col("gram"))
-        table = table.select(F.col("key").alias("_key"), F.col("values").alias(f"_{order}"))
-        # Longer keys have at most one gram per character.
-        found = salted_join(found, table, ["_key"], ["gram"], "left") if order <= 2 else found.join(table, "_key", "left")
-        found = found.drop("_key")
+    path = scratch_path(spark, "sums")
+    parts = model.parts
+    for number in range(parts):
+        sent = spark.sparkContext.broadcast(model.part(number))
+
+        def run(batches: Iterator[pa.RecordBatch], number: int = number, sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            lookup = sent.value.lookup()
+            for group in bulk.text_batches(bulk.rows_of(batches)):
+                group = [(i, letters) for i, t in group if (letters := plain_letters(t))]
+                if not group:
+                    continue
+                keys, owner = grams([t for _, t in group])
+                own = part_of(keys, parts) == number
+                sums = lookup.sums(keys[own], owner[own], len(group))
+                seen = np.bincount(owner[own], minlength=len(group))
+                columns = [pa.array([i for i, _ in group], pa.int64()), pa.array(list(sums), pa.list_(pa.float64())), pa.array(seen), pa.array([len(t) for _, t in group], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "sums", "n", "size"])
+
+        kept.select("_id", "text").mapInArrow(run, "_id long, sums array<double>, n long, size long").write.parquet(f"{path}/pass={number}")
+        sent.destroy()
     each = lambda f: F.array(*[f(i) for i in range(len(model.languages))])
-    nothing = each(lambda i: F.lit(model.missing)).cast("array<double>")
-    values = F.coalesce(*[F.col(f"_{order}").cast("array<double>") for order in range(ORDER, 0, -1)], nothing)
-    summed = salted_join(pieces, found.select("gram", values.alias("_values")), ["gram"], ["_id"]).groupBy("_id").agg(
-        F.sum("n").alias("_n"), F.max("size").alias("_size"), each(lambda i: F.sum(F.col("n") * F.col("_values")[i])).alias("_sums"))
+    found = spark.read.parquet(path) if kept.limit(1).count() else spark.createDataFrame([], "_id long, sums array<double>, n long, size long")
+    summed = found.groupBy("_id").agg(F.sum("n").alias("_n"), F.max("size").alias("_size"), each(lambda i: F.sum(F.col("sums")[i])).alias("_sums"))
     out = kept.join(summed, "_id", "left").withColumn("_h", F.transform("_sums", lambda x: -x / F.col("_n")))
     out = out.withColumn("_low", F.array_min("_h")).withColumn("_best", F.array_position("_h", F.col("_low")).cast("int"))
     share = 1 / F.aggregate("_h", F.lit(0.0), lambda a, x: a + F.exp(4 * (F.col("_low") - x)))
@@ -345,7 +442,7 @@ def _scored_by_join(docs: DataFrame, model: GramTables, *keep: str) -> DataFrame
 def scored(docs: DataFrame, model: LanguageModel | GramTables, *keep: str) -> DataFrame:
     """The kept columns of ``docs`` (text and those) with lang_pred, score, entropy and rejected."""
     if isinstance(model, GramTables):
-        return _scored_by_join(docs, model, *keep)
+        return _scored_in_passes(docs, model, *keep)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*keep, "text")
     schema = kept.schema

@@ -46,6 +46,7 @@ def test_rare_languages_beyond_the_broadcast(spark):
     rows = [*languages(rng, 150), (500, "qua wix zuf qua", "dd"), (501, None, "aa"), (502, "12", "bb"), (503, "漢字 qua 😀", None), (503, "漢字 qua 😀", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
     whole, tables = language.fit(docs), language.fit(docs, max_grams=50)
+    tables.parts = 3
     assert tables.languages == whole.languages == ["aa", "bb", "cc", "dd"] and tables.limits == pytest.approx(whole.limits)
     one, two = (sorted(language.scored(docs, m, "doc_id").collect()) for m in (whole, tables))
     assert [(r.doc_id, r.lang_pred, r.rejected) for r in one] == [(r.doc_id, r.lang_pred, r.rejected) for r in two]
@@ -75,17 +76,70 @@ def test_probabilities_sum_to_one():
         assert model.probability(np.array([high | p for p in points], np.uint64)).sum() == pytest.approx(1)
 
 
-def test_lookup_equals_the_model():
+def model_of(texts_by_language):
+    table = []
+    for lang, texts in texts_by_language.items():
+        keys, counts = np.unique(language.grams([language.plain_letters(t) for t in texts])[0], return_counts=True)
+        table += [(lang, int(k), int(n)) for k, n in zip(keys.view(np.int64), counts, strict=True)]
+    return language.pd.DataFrame(table, columns=["lang", "gram", "n"])
+
+
+def brute_probability(texts, context, character, alphabet):
+    """Interpolated Kneser-Ney by its definition, from the texts themselves."""
+    grams_of = lambda n: [t[i - n + 1 : i + 1] for t in ("  " + language.plain_letters(x) for x in texts) for i in range(3, len(t))]
+    counts = {}
+    for g in grams_of(4):
+        counts[g] = counts.get(g, 0) + 1
+    tables = [counts]
+    for _ in range(3):
+        below = {}
+        for g in tables[-1]:
+            below[g[1:]] = below.get(g[1:], 0) + 1
+        tables.append(below)
+    result = 1 / alphabet
+    for table, length in zip(reversed(tables), range(4), strict=True):
+        once, twice = (sum(n == k for n in table.values()) for k in (1, 2))
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        ctx = context[len(context) - length :]
+        total = sum(n for g, n in table.items() if g[:-1] == ctx)
+        if total:
+            kinds = sum(g[:-1] == ctx for g in table)
+            result = (max(table.get(ctx + character, 0) - discount, 0) + discount * kinds * result) / total
+    return result
+
+
+def test_lookup_is_kneser_ney():
+    """Against the definition, for seen and unseen grams and contexts of each language, and as a distribution behind every context."""
     rng = random.Random(2)
-    texts = [language.plain_letters(sentence(rng, "aa", 30)) for _ in range(20)]
-    keys, counts = np.unique(language.grams(texts)[0], return_counts=True)
-    kn = language.KneserNey(keys, counts, 30)
-    hashes = language.bulk.mix(keys + np.uint64(4))
-    by = np.argsort(hashes)
-    none = np.zeros(0, np.uint64)
-    model = language.LanguageModel(["aa"], [hashes[by], none, none, none], [np.log(kn.probability(keys[by]))[:, None]] + [np.zeros((0, 1))] * 3 + [np.zeros(1)], [9.0])
-    own = language.grams(texts[:1])[0]
-    assert model.lookup().entropies(texts[:1])[0, 0] == pytest.approx(-np.log(kn.probability(own)).mean())
+    texts = {lang: [sentence(rng, lang, 12) for _ in range(6)] for lang in ("aa", "bb")}
+    model = language._gram_arrays(model_of(texts))
+    lookup = model.lookup()
+    points = sorted({c for ts in texts.values() for t in ts for c in language.plain_letters(t)})
+    asked = ["tha", " th", "öch", "hth", "zzz", "qöc", "  t", "nöt"]
+    for context in asked:
+        high = sum(ord(c) << (16 * (3 - k)) for k, c in enumerate(context))
+        keys = np.array([high | ord(c) for c in [*points, "漢"]], np.uint64)
+        logs = lookup.sums(keys, np.arange(len(keys)), len(keys))
+        assert np.exp(logs).sum(axis=0) == pytest.approx(1, abs=1e-5)
+        for k, lang in enumerate(model.languages):
+            want = [brute_probability(texts[lang], context, c, len(points) + 1) for c in [*points, "漢"]]
+            assert np.exp(logs[:, k]) == pytest.approx(want, rel=1e-4)
+    own = language.plain_letters("fremde wörter zwischen that ond")
+    keys, owner = language.grams([own])
+    assert lookup.entropies([own]) == pytest.approx(-lookup.sums(keys, owner, 1) / len(keys))
+
+
+def test_limits_come_from_unseen_texts(spark, monkeypatch):
+    """Two folds by text: a text and its copies are never scored by a model that has seen them."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, "aa", sentence(rng, "aa", 6)) for i in range(60)], "doc_id long, lang string, text string")
+    model = language.fit(docs.unionByName(docs))
+    folds = docs.selectExpr("*", "cast(pmod(xxhash64(text), 2) AS int) AS fold").collect()
+    entropies = []
+    for fold in (0, 1):
+        half = language._gram_arrays(model_of({"aa": [r.text for r in folds if r.fold != fold] * 2}))
+        entropies += half.lookup().entropies([language.plain_letters(r.text) for r in folds if r.fold == fold])[:, 0].tolist()
+    assert model.limits[0] == pytest.approx(max(entropies) + language.REJECT_MARGIN)
 
 
 def subsequences(s, t, decay):
@@ -199,3 +253,19 @@ def test_pipeline(spark, tmp_path):
     assert kept["private"][105].endswith("[EMAIL]") and "@" not in kept["private"][105]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(kept["private"])
+
+
+def test_stages_take_odd_tables(spark):
+    """An empty table, rows that repeat, ids and texts that are null, and columns with the names that operators use themselves."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, sid long, _row long, TEXT_SHA256 string, centre int, fold int"
+    extra = (1, 2, "x", 3, 4)
+    rows = [(i, t, lang, "s", len(t), *extra) for i, t, lang in languages(random.Random(8), 40)]
+    rows += [rows[3], rows[3], (None, rows[5][1], "aa", "s", 1, *extra), (70, None, "bb", "s", None, *extra), (71, "", None, None, 0, *extra), (72, "öchkeit " * 3000, "bb", "s", 9, *extra)]
+    for made in ([], rows):
+        docs = spark.createDataFrame(made, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.settle(stage(spark, docs, ""), "odd")
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "sid", "_row", "TEXT_SHA256", "centre", "fold"]
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+        assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
+    assert len(packed) >= 30 and sum(r.doc_id == rows[3][0] for r in packed) == 1
