@@ -16,7 +16,10 @@ from .frames import narrow
 from .language import held_out
 
 SAMPLE_ROWS = 2000  # labelled rows of each class, about, that the machine is fitted on
-POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS, LANDMARK_BYTES = 32, 8, 10
+POSITIVE_LANDMARKS, NEGATIVE_LANDMARKS = 32, 8
+LANDMARK_BYTES = 10  # of a span that a landmark is made of
+TRIED_SPANS = 400  # of the ranked spans, those that may become landmarks
+INNER_SENTENCES = 4000  # sentences, about, that are not toxic and give all their spans to a round, not just the highest
 DECAY = np.float32(0.8)  # weight of each byte that a subsequence of three spans
 SHARPNESS = 3  # power of the normalised kernel, a kernel again, in which likeness of common endings counts for less
 LIKE = 0.15  # landmarks are less alike than this
@@ -244,7 +247,9 @@ def fit_texts(texts: list[str], toxic: np.ndarray, natural_share: float) -> Toxi
 
     Spans that toxic texts have and others lack become landmarks, with common spans of the others beside them. The machine
     learns from the witness of each toxic text's sentences, the span that it scores highest, and from the highest spans of the
-    sentences that are not toxic; witnesses and machine are found in turn.
+    sentences that are not toxic; witnesses and machine are found in turn. Bounds of the fit, none of which touches what is scored:
+    landmarks are the first ``LANDMARK_BYTES`` of their spans and come from the ``TRIED_SPANS`` highest ranked ones, and beside the
+    highest span of every sentence all spans of about ``INNER_SENTENCES`` of them are learned from.
     """
     sentences, owner = [], []
     for i, t in enumerate(texts):
@@ -262,7 +267,7 @@ def fit_texts(texts: list[str], toxic: np.ndarray, natural_share: float) -> Toxi
     # Ranked by how many toxic texts a span explains beyond what chance gives.
     ranked = [names[i] for i in np.lexsort((np.arange(len(names)), -inside * np.clip(lift, 0, 4))) if inside[i] and lift[i] > 0]
     marks: list[bytes] = []
-    for w in ranked[:400]:
+    for w in ranked[:TRIED_SPANS]:
         w = w[:LANDMARK_BYTES]
         if len(marks) >= POSITIVE_LANDMARKS:
             break
@@ -291,7 +296,7 @@ def fit_texts(texts: list[str], toxic: np.ndarray, natural_share: float) -> Toxi
                 best[int(owner[j])] = int(j)
         good = np.union1d(witness[list(best.values())], telling) if best else telling
         plain = np.array([j for j in np.flatnonzero(witness >= 0) if not toxic[owner[j]]], np.int64)
-        bad = np.unique(np.concatenate([witness[plain], *[inner[j] for j in plain[:: max(1, len(plain) // 4000)]]])) if len(plain) else np.zeros(0, np.int64)
+        bad = np.unique(np.concatenate([witness[plain], *[inner[j] for j in plain[:: max(1, len(plain) // INNER_SENTENCES)]]])) if len(plain) else np.zeros(0, np.int64)
         good = np.setdiff1d(good, bad) if len(np.setdiff1d(good, bad)) else good
         if not len(good) or not len(bad):
             break
@@ -315,12 +320,13 @@ def fit_texts(texts: list[str], toxic: np.ndarray, natural_share: float) -> Toxi
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Fits on about ``sample_rows`` rows of each class of ``labelled`` (doc_id, text, toxic), taken by a hash of the id."""
+    """Fits on about ``sample_rows`` rows of each class of ``labelled`` (doc_id, text, toxic), taken by a hash of the id: a bounded
+    sample of at least a millionth of a class, whose whole texts reach the driver."""
     rows = labelled.where("toxic in (0, 1) and text is not null")
     sizes = {int(r["toxic"]): r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     keep = F.lit(False)
     for label, n in sizes.items():
-        keep = keep | ((F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / n))))
+        keep = keep | ((F.col("toxic") == label) & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, sample_rows / n)))))
     few = rows.where(keep).select("doc_id", "text", "toxic").orderBy("doc_id", "text").collect()
     natural = sizes.get(1, 0) / max(1, sum(sizes.values()))
     return fit_texts([r["text"] for r in few], np.array([int(r["toxic"]) for r in few]), natural)
@@ -350,10 +356,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 5, rest: int = 0
 
     Rows whose id's checksum leaves ``rest`` are held out of learning. The score is a calibrated probability of the
     text's highest span; a null, empty or blank text has the score of a text without spans. Labels other than 0 and 1 and
-    labels without a text are passed over. Repeated rows give repeated results; extra columns are ignored.
+    labels without a text are passed over; an id that has both labels counts as toxic. Repeated rows give repeated results; extra columns are ignored.
     """
     docs = narrow(docs, "doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), modulus, rest))
-    marked = narrow(labels, "doc_id", "toxic").where("toxic in (0, 1)").dropDuplicates(["doc_id"])
+    marked = narrow(labels, "doc_id", "toxic").where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = marked.where(~held_out(F.col("doc_id"), modulus, rest))
     model = fit(docs.where("not held_out").select("doc_id", "text").join(marked, "doc_id"))
     return scored(docs, model, "doc_id", "held_out")
