@@ -15,23 +15,32 @@ from sheavework.llm.queries import word_bpe
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose language is recognised. A text without letters, or beyond what texts of its language show, goes; models learn
+    from all rows with a language, so without any label every row goes. An empty table stays empty; repeated rows stay or go together."""
     return language.recognised(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, white space apart: that with the smallest doc_id. Null texts count as empty; of rows that repeat id and text one
+    stays; a row without doc_id stays only if no other has its text."""
     return exact.first_of_each(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more: that with the smallest doc_id. Texts without a
+    word are linked with nothing; rows that share a doc_id stay or go together; a row without doc_id stays."""
     return near.one_of_each(docs, words=5, percent=80)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The same rows with personal data replaced in their texts, and ``n_chars`` counted anew. A null text stays null."""
     clean = private.redacted(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 4096 tokens. A null or empty text is its end token alone; repeated rows are packed
+    as often as they come; an empty table gives no pieces."""
     return packing.packed_documents(docs, word_bpe(), end_id=1, room=4096)
 
 
