@@ -250,17 +250,19 @@ class Lattice:
         plain = numbers >= 0
         if not (numbers == -1).any():
             return self.v.ids[numbers[plain]], width
-        found, sizes = [], []
-        for row, points in zip(numbers.tolist(), rows.tolist(), strict=True):
-            own = []
-            for number, point in zip(row, points, strict=True):
-                if number >= 0:
-                    own.append(int(self.v.ids[number]))
-                elif number == -1:
-                    own += [int(self.v.byte_ids[b]) for b in chr(point).encode("utf-8", "surrogatepass")]
-            found += own
-            sizes.append(len(own))
-        return np.array(found, np.int64), np.array(sizes, np.int64)
+        row, _ = ends = np.nonzero(numbers != -2)
+        number, point = numbers[ends], rows[ends]
+        odd = number == -1
+        # A character in bytes takes as many ids as UTF-8 takes bytes for it.
+        sizes = np.where(odd, 1 + (point >= 0x80) + (point >= 0x800) + (point >= 0x10000), 1)
+        at = np.cumsum(sizes) - sizes
+        found = np.empty(int(sizes.sum()), np.int64)
+        found[at[~odd]] = self.v.ids[number[~odd]]
+        for p in np.unique(point[odd]).tolist():
+            here = at[odd & (point == p)]
+            for k, b in enumerate(chr(p).encode("utf-8", "surrogatepass")):
+                found[here + k] = self.v.byte_ids[b]
+        return found, np.bincount(row, weights=sizes, minlength=len(numbers)).astype(np.int64)
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
         """Ids and scores of whole texts. Each distinct word is segmented once, if words are independent."""
