@@ -49,15 +49,13 @@ class Chunk:
         data = zstandard.ZstdDecompressor().decompress(packed) if lengths.sum() else b""
         ends = np.cumsum(lengths)
         self.texts = [data[e - n : e] for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
-        hashes, counts, spans = [], np.zeros(len(self.texts), np.int64), []
+        hashes, counts = [], np.zeros(len(self.texts), np.int64)
         for first, behind in self._groups(lengths):
             joined, begins = bulk.joined(self.texts[first:behind])
             starts, stops, owner = bulk.words(joined, begins)
             hashes.append(self._hashes(joined, starts, stops, hasher))
             counts[first:behind] = np.bincount(owner, minlength=behind - first)
-            spans.append((starts - begins[owner], stops - begins[owner]))
         self.words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        self.spans = [np.concatenate(x) for x in zip(*spans, strict=True)] if spans else [np.zeros(0, np.int64)] * 2
         self.offsets = np.concatenate(([0], np.cumsum(counts)))
         self.owner = np.repeat(np.arange(len(self.texts)), counts)
 
@@ -97,13 +95,15 @@ class Rolling:
     """Hashes of runs of words by prefix sums over the words' hashes."""
 
     def __init__(self, words: np.ndarray, hasher: bulk.Hasher) -> None:
-        self.hasher, self.sums = hasher, (hasher.sums(words), hasher.sums(words ^ np.uint64(0x5851F42D4C957F2D)))
+        self.words, self.hasher, self.sums = words, hasher, hasher.sums(words)
 
     def one(self, at: np.ndarray, width: int) -> np.ndarray:
-        return self.hasher.of(self.sums[0], at, at + width)
+        return self.hasher.of(self.sums, at, at + width)
 
     def two(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(self.hasher.of(s, at, at + width).view(np.int64) for s in self.sums)
+        """128 bits, as two signed numbers."""
+        other = self.hasher.of(self.hasher.sums(self.words ^ np.uint64(0x5851F42D4C957F2D)), at, at + width)
+        return self.one(at, width).view(np.int64), other.view(np.int64)
 
 
 def _spots(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -311,8 +311,11 @@ def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
                 mine = gone[first:behind]
                 edge = np.flatnonzero(np.diff(np.concatenate(([False], mine, [False])).astype(np.int8)))
                 runs = [{"first": a, "n": b - a} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-                starts, stops = chunk.spans[0][first:behind][~mine].tolist(), chunk.spans[1][first:behind][~mine].tolist()
-                kept = b" ".join([text[a:b] for a, b in zip(starts, stops, strict=True)]).decode("utf-8", "replace")
+                words, kept, at = text.split(), [], 0  # bytes are split at the same characters
+                for r in runs:
+                    kept += words[at : r["first"]]
+                    at = r["first"] + r["n"]
+                kept = b" ".join(kept + words[at:] if at else words).decode("utf-8", "replace")
                 doc_id = int(chunk.ids[i])
                 rows.append((None if doc_id == LAST else doc_id, len(mine), int(mine.sum()), runs, kept))
             for start in range(0, len(rows), bulk.SLICE_ROWS):
