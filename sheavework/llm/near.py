@@ -22,6 +22,7 @@ TYPICAL = 3  # members of a group that all others are compared with
 STEP = 8  # shingles by which members of a group are binned
 KIN = 0.25  # estimates from here on make a star's pair worth comparing
 PAIR_SCHEMA = "a long, b long"
+PAIR_ROWS = 256  # pairs of whole sets that go to Python at a time
 
 
 def shingle_sets(texts: list[str | None], words: int, hasher: bulk.Hasher) -> list[np.ndarray]:
@@ -134,6 +135,17 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int, kin: float = 1.0) -
     return met.select("a", "b", "top_a", "top_b").mapInArrow(run, PAIR_SCHEMA)
 
 
+def _in_small_batches(df: DataFrame, label: str) -> DataFrame:
+    """``settle`` with few rows in an Arrow batch, as each holds two whole sets."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, min(PAIR_ROWS, int(before)) if int(before) > 0 else PAIR_ROWS)
+    try:
+        return settle(df, label)
+    finally:
+        conf.set(name, before)
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
 
@@ -149,7 +161,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, perc
     pairs = settle(pairs, "pairs")
     found = _members(pairs, docs, sets, words)
     met = pairs.join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b")
-    return settle(met.select("a", "b", "set_a", "set_b").mapInArrow(run, PAIR_SCHEMA), "linked")
+    return _in_small_batches(met.select("a", "b", "set_a", "set_b").mapInArrow(run, PAIR_SCHEMA), "linked")
 
 
 def _differences(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
@@ -162,7 +174,7 @@ def _differences(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int)
 
     found = _members(pairs, docs, sets, words)
     met = pairs.join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b")
-    return settle(met.select("a", "b", "set_a", "set_b").mapInArrow(run, "centre long, sid long, parts array<long>"), "differences")
+    return _in_small_batches(met.select("a", "b", "set_a", "set_b").mapInArrow(run, "centre long, sid long, parts array<long>"), "differences")
 
 
 def _alike_in_size(percent: int) -> F.Column:
