@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -210,21 +209,21 @@ class Lookup:
         n = len(self.model.languages)
         sums = np.zeros((texts, n))
 
-        def add(own: np.ndarray, values: np.ndarray) -> None:
+        def add(own: np.ndarray, values: np.ndarray, rows: np.ndarray) -> None:
             for k in range(n):
-                sums[:, k] += np.bincount(own, weights=values[:, k], minlength=texts)
+                sums[:, k] += np.bincount(own, weights=values[rows, k], minlength=texts)
 
         todo = np.arange(len(keys))
         for level, order in enumerate(range(ORDER, 0, -1)):
             part = keys[todo] & np.uint64((1 << 16 * order) - 1) if order < 4 else keys[todo]
             at = self.grams[level].find(named(part, order))
             hit = at >= 0
-            add(owner[todo[hit]], self.model.values[level][at[hit]])
+            add(owner[todo[hit]], self.model.values[level], at[hit])
             todo, part = todo[~hit], part[~hit]
             if order > 1 and len(todo):
                 behind = self.contexts[level].find(named(part >> np.uint64(16), order))
                 known = behind >= 0
-                add(owner[todo[known]], self.model.weights[level][behind[known]])
+                add(owner[todo[known]], self.model.weights[level], behind[known])
         sums += np.bincount(owner[todo], minlength=texts)[:, None] * self.model.floor
         return sums
 
@@ -318,14 +317,35 @@ def gram_tables(counts: DataFrame, languages: list[str], part_bytes: int = MODEL
     return GramTables(languages, tables, behind, floor, parts, [np.inf] * len(languages))
 
 
-def _model(counts: DataFrame, max_grams: int) -> LanguageModel | GramTables:
-    """A model of counts (lang, gram, n), in arrays or in tables; both give the same values."""
-    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
-    sizes = counts.agg(F.count("*").alias("n"), F.count_distinct("gram").alias("g")).first()
+def _models(counts: DataFrame, max_grams: int) -> list[LanguageModel | GramTables]:
+    """The model of all ``counts`` (lang, fold, gram, n), and for each fold that of the others, in arrays or in tables; both give the same
+    values. The counts come to the driver once, if they are few enough."""
+    sizes = counts.agg(F.count("*").alias("n"), F.count_distinct("gram").alias("g"), F.array_sort(F.collect_set("lang")).alias("l")).first()
     # Shorter grams and contexts are fewer than the longest grams, and mostly far fewer.
-    if sizes["n"] > max_grams or 3 * sizes["g"] * (8 + 4 * len(languages)) > MODEL_BYTES:
-        return gram_tables(counts, languages)
-    return _gram_arrays(counts.select("lang", "gram", "n").toPandas())
+    if sizes["n"] <= max_grams and 3 * sizes["g"] * (8 + 4 * len(sizes["l"])) <= MODEL_BYTES:
+        return _small_models(counts, sizes["l"])
+    made = []
+    for fold in (None, *range(FOLDS)):
+        part = counts if fold is None else counts.where(F.col("fold") != fold)
+        names = sizes["l"] if fold is None else sorted(r["lang"] for r in part.select("lang").distinct().collect())
+        made.append(gram_tables(part.groupBy("lang", "gram").agg(F.sum("n").alias("n")), names))
+    return made
+
+
+def _small_models(counts: DataFrame, languages: list[str]) -> list[LanguageModel]:
+    """Languages come as numbers, so that the driver holds no string per count."""
+    number = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")) if languages else F.lit(0)
+    table = counts.select(number.cast("byte").alias("lang"), F.col("fold").cast("byte").alias("fold"), "gram", "n").toArrow()
+    lang, fold, gram, n = (table.column(c).to_numpy() for c in ("lang", "fold", "gram", "n"))
+    made = []
+    for left_out in (None, *range(FOLDS)):
+        found = {}
+        for k, name in enumerate(languages, start=1):
+            own = (lang == k) & (fold != left_out) if left_out is not None else lang == k
+            if own.any():
+                found[name] = _summed(gram[own].view(np.uint64), n[own])
+        made.append(_gram_arrays(found))
+    return made
 
 
 def fit(labelled: DataFrame, max_grams: int = MODEL_GRAMS) -> LanguageModel | GramTables:
@@ -339,7 +359,7 @@ def fit(labelled: DataFrame, max_grams: int = MODEL_GRAMS) -> LanguageModel | Gr
     """
     rows = labelled.where("lang is not null and text is not null").select("lang", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "text")
     counts = settle(gram_counts(rows), "grams")
-    model = _model(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), max_grams)
+    model, *others = _models(counts, max_grams)
     if not model.languages:
         return model
     limit = lambda entropy: F.percentile_approx(entropy, 1 - REJECT_SHARE, REJECT_ACCURACY)
@@ -350,8 +370,7 @@ def fit(labelled: DataFrame, max_grams: int = MODEL_GRAMS) -> LanguageModel | Gr
         return {r["lang"]: float(r["q"]) for r in found.collect() if r["q"] is not None}
 
     seen = None
-    for fold in range(FOLDS):
-        other = _model(counts.where(F.col("fold") != fold).groupBy("lang", "gram").agg(F.sum("n").alias("n")), max_grams)
+    for fold, other in enumerate(others):
         part = scored(rows.where((F.col("fold") == fold) & F.col("lang").isin(other.languages)).select("lang", "text"), other, "lang")
         seen = part if seen is None else seen.unionByName(part)
     limits = limits_of(seen)
@@ -361,17 +380,15 @@ def fit(labelled: DataFrame, max_grams: int = MODEL_GRAMS) -> LanguageModel | Gr
     return model
 
 
-def _gram_arrays(table: pd.DataFrame) -> LanguageModel:
-    languages = sorted(table["lang"].unique())
+def _gram_arrays(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> LanguageModel:
+    """The model of each language's ascending 4-grams and their counts."""
+    languages = sorted(counts)
     if not languages:
         none, empty = [np.zeros(0, np.uint64)] * ORDER, [np.zeros((0, 0))] * ORDER
         return LanguageModel([], none, empty, none[1:], empty[1:], np.zeros(0), [])
-    all_keys = table["gram"].to_numpy().view(np.uint64)
+    all_keys = np.unique(np.concatenate([counts[lang][0] for lang in languages]))
     alphabet = len(np.unique(all_keys & np.uint64(0xFFFF))) + 1
-    models = []
-    for lang in languages:
-        own = table[table["lang"] == lang]
-        models.append(KneserNey(*_sorted(own["gram"].to_numpy().view(np.uint64), own["n"].to_numpy()), alphabet))
+    models = [KneserNey(*counts[lang], alphabet) for lang in languages]
     hashes, values, contexts, weights = [], [], [], []
     for order in range(ORDER, 0, -1):
         keys = np.unique(all_keys & np.uint64((1 << 16 * order) - 1) if order < 4 else all_keys)
@@ -391,11 +408,6 @@ def _gram_arrays(table: pd.DataFrame) -> LanguageModel:
     return LanguageModel(languages, hashes, values, contexts, weights, floor, [np.inf] * len(languages))
 
 
-def _sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    by = np.argsort(keys)
-    return keys[by], counts[by]
-
-
 def _scored_in_passes(docs: DataFrame, model: GramTables, *keep: str) -> DataFrame:
     """``scored`` for a model in tables: the texts are read once for each part of the model, every pass looks up the grams that belong
     to its part, and the sums of a text are added up. A text's grams never leave its task."""

@@ -77,11 +77,8 @@ def test_probabilities_sum_to_one():
 
 
 def model_of(texts_by_language):
-    table = []
-    for lang, texts in texts_by_language.items():
-        keys, counts = np.unique(language.grams([language.plain_letters(t) for t in texts])[0], return_counts=True)
-        table += [(lang, int(k), int(n)) for k, n in zip(keys.view(np.int64), counts, strict=True)]
-    return language.pd.DataFrame(table, columns=["lang", "gram", "n"])
+    plain = {lang: [language.plain_letters(t) for t in texts] for lang, texts in texts_by_language.items()}
+    return {lang: np.unique(language.grams(texts)[0], return_counts=True) for lang, texts in plain.items()}
 
 
 def brute_probability(texts, context, character, alphabet):
