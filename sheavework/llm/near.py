@@ -22,7 +22,7 @@ TYPICAL = 3  # members of a group that all others are compared with
 STEP = 8  # shingles by which members of a group are binned
 KIN = 0.25  # estimates from here on make a star's pair worth comparing
 PAIR_SCHEMA = "a long, b long"
-PAIR_ROWS = 256  # pairs of whole sets that go to Python at a time
+BATCH_ROWS = 256  # rows of whole texts or sets that go to Python at a time
 
 
 def shingle_sets(texts: list[str | None], words: int, hasher: bulk.Hasher) -> list[np.ndarray]:
@@ -103,7 +103,7 @@ def _members(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int) ->
 
     found = read.mapInArrow(run, "h1 long, h2 long, members binary").dropDuplicates(["h1", "h2"])
     named = sets.join(needed, "sid", "left_semi").select("sid", "h1", "h2")
-    return settle(found.join(named, ["h1", "h2"]).select("sid", "members"), "sets")
+    return _in_small_batches(found.join(named, ["h1", "h2"]).select("sid", "members"), "sets")
 
 
 def union_estimate(left: list[bytes], right: list[bytes]) -> np.ndarray:
@@ -136,10 +136,10 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int, kin: float = 1.0) -
 
 
 def _in_small_batches(df: DataFrame, label: str) -> DataFrame:
-    """``settle`` with few rows in an Arrow batch, as each holds two whole sets."""
+    """``settle`` with few rows in an Arrow batch, as each holds a whole text or two whole sets."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(name)
-    conf.set(name, min(PAIR_ROWS, int(before)) if int(before) > 0 else PAIR_ROWS)
+    conf.set(name, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
     try:
         return settle(df, label)
     finally:
@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     hot centre, meet its one row in joins whose rows Spark divides at run time (skew join).
     """
     docs = narrow(docs, "doc_id", "text")
-    sketched = settle(with_set_ids(settle(sketches(docs, words), "sketches")), "named")
+    sketched = settle(with_set_ids(_in_small_batches(sketches(docs, words), "sketches")), "named")
     sets = settle(
         sketched.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "h1", "h2", "low", "top")]),
         "distinct",
