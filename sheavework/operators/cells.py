@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .spread import first_n, settled
-from .vectors import QUERY_BYTES, RunningBest, _matrix, _rank, _usable, _valid, hit_schema, in_passes, score_batch
+from .vectors import QUERY_BYTES, RunningBest, _matrix, _rank, _usable, _valid, hit_schema, in_passes
 
 SCALE = 1 << 15  # unit vectors become numbers of 16 bits and a sign, exact in double precision up to a squared distance of 2**53
 CENTROID_BYTES = 256 << 20  # every task holds all centroids
@@ -187,16 +187,11 @@ class StoredCells:
                 cell = batch.column("cell").to_numpy()
                 order = np.argsort(cell, kind="stable")
                 cut = np.flatnonzero(np.diff(cell[order])) + 1
-                hits = []
                 for rows in np.split(order, cut) if len(cell) else ():
                     own = asked[edges[cell[rows[0]]] : edges[cell[rows[0]] + 1]]
                     if len(own):
-                        row, chunk, score = score_batch(batch.take(pa.array(rows)), q[own], k, dim)
-                        hits.append((own[row], chunk, score))
-                if hits:
-                    best.add(*(np.concatenate(part) for part in zip(*hits, strict=True)))
-            if len(best.query):
-                yield best.batch(names, id_type)
+                        best.take(batch.take(pa.array(rows)), q, own)
+            yield from best.batches(names, id_type)
 
         # The comparison makes the side selective, so that the probed cells prune the folders before they are read.
         wanted = block.select(F.explode("cells").alias("cell")).where("cell >= 0").distinct()

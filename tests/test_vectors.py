@@ -147,3 +147,34 @@ def test_insert_or_ignore(spark):
     once = catalog.upsert_chunks(current, batch, [F.col("page")])
     assert sorted(map(tuple, once.collect())) == [("a", "s", 1, "old"), ("b", "s", 1, "first")]
     assert sorted(map(tuple, catalog.upsert_chunks(once, batch, [F.col("page")]).collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_scores_are_held_in_bounded_blocks(spark, monkeypatch):
+    # Many equal scores, more vectors than a block and more queries than are scored at once.
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    c, q = rng.integers(-2, 3, (700, 4)).astype(np.float64), rng.integers(-2, 3, (300, 4)).astype(np.float64)
+    monkeypatch.setattr(vectors, "BLOCK_VECTORS", 64)
+    monkeypatch.setattr(vectors, "SCORES", 1000)
+    held = []
+    add = vectors.RunningBest._add
+    monkeypatch.setattr(vectors.RunningBest, "_add", lambda self, rows, ids, scores: (held.append(scores.size), add(self, rows, ids, scores)))
+    best = vectors.RunningBest(len(q), 5)
+    for part in np.array_split(rng.permutation(len(c)), 3):
+        best.take(pa.RecordBatch.from_arrays([pa.array(part), pa.array(c[part].tolist())], names=["chunk_id", "embedding"]), q)
+    got = [(r["query_id"], r["chunk_id"], r["score"]) for b in best.batches(np.arange(len(q)).astype(object), pa.int64()) for r in b.to_pylist()]
+    scores = q @ c.T
+    assert got == [(i, j, scores[i, j]) for i in range(len(q)) for j in sorted(range(len(c)), key=lambda j: (-scores[i, j], j))[:5]]
+    assert max(held) <= 1000
+
+
+def test_small_blocks_of_queries_share_a_pass(spark, monkeypatch):
+    (corpus, c), (queries, q) = make(spark, 300, 1, "c"), make(spark, 50, 2, "q")
+    passes = []
+    once = vectors._knn_pass
+    monkeypatch.setattr(vectors, "_knn_pass", lambda *a: (passes.append(1), once(*a))[1])
+    assert rows(vectors.knn_exact(corpus, queries, 5, DIM, query_bytes=7 * 8 * DIM)) == brute(c, q, 5)
+    assert len(passes) == 1
+    few = vectors.knn_exact(corpus, queries, 5, DIM, query_bytes=8 * DIM, pass_bytes=2 * 8 * DIM)  # more passes than one plan takes
+    assert rows(few) == brute(c, q, 5) and len(passes) == 26
