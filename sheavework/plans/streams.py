@@ -12,8 +12,9 @@ from .registry import register
 
 
 def _stream(spark, sf, name: str):
+    """The table as a stream, be it one file or a folder of files: a stream takes a file only by a pattern."""
     schema = I.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @register("stream_ingest", sql("SELECT chunk_id, source, page, chars, preview FROM chunks", "chunks"))
