@@ -24,15 +24,17 @@ def route_by_kind(files: DataFrame, name: str = "name") -> DataFrame:
     return files.withColumn("kind", names.file_kind(F.col(name)))
 
 
-Extractor = Callable[[str, bytes], pd.DataFrame]
+Extractor = Callable[[str, bytes], pd.DataFrame | Iterator[pd.DataFrame]]
+OUT_ROWS = 1 << 15  # rows that leave at a time
 
 
 def extract(files: DataFrame, extractor: Callable[[], Extractor], schema: str | StructType) -> DataFrame:
     """Decode files with a caller's decoder.
 
     ``extractor`` is a factory called once per task; it returns a function from (name, bytes) to a frame with
-    the columns of ``schema``. The result has ``source`` in front and ``error`` behind; a file that cannot be
-    decoded gives one row with its error. Rows leave in the file's own order, one file at a time.
+    the columns of ``schema``, or to an iterator of such frames, of which one is held at a time. The result has ``source`` in
+    front and ``error`` behind; a file that cannot be decoded gives one row with its error, behind the rows of frames that came
+    before. Rows leave in the file's own order, one file at a time.
     """
     fields = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
     inner = [f.name for f in fields]
@@ -46,13 +48,17 @@ def extract(files: DataFrame, extractor: Callable[[], Extractor], schema: str |
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"]):
                 try:
-                    got = decode(name, bytes(content))[inner].astype(object)
-                    got = got.where(got.notna(), None)
-                    got.insert(0, "source", name)
-                    got["error"] = None
+                    found = decode(name, bytes(content))
+                    for frame in [found] if isinstance(found, pd.DataFrame) else found:
+                        frame = frame[inner]
+                        for start in range(0, max(1, len(frame)), OUT_ROWS):
+                            got = frame.iloc[start : start + OUT_ROWS].astype(object)
+                            got = got.where(got.notna(), None)
+                            got.insert(0, "source", name)
+                            got["error"] = None
+                            yield got
                 except Exception as problem:  # noqa: BLE001 - reported per file
-                    got = pd.DataFrame([{**dict.fromkeys(["source", *inner]), "source": name, "error": f"{type(problem).__name__}: {problem}"}])
-                yield got
+                    yield pd.DataFrame([{**dict.fromkeys(["source", *inner]), "source": name, "error": f"{type(problem).__name__}: {problem}"}])
 
     return files.select("name", "content").mapInPandas(run, out)
 
