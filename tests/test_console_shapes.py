@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from sheavework.plans import console  # noqa: F401 - registers the shapes
 from sheavework.plans.registry import QUERIES
 
@@ -29,3 +31,11 @@ def test_range_join_lists_no_pairs(spark, tmp_path):
                 want.setdefault(e, []).append(b)
     assert {r.event_id: (r.n, r.last_id) for r in got.collect()} == {e: (len(bs), max((b for b in bs if b is not None), default=None)) for e, bs in want.items()}
     assert "Join" not in plan_of(got)
+
+
+def test_approximate_keeps_no_sketch_per_customer(spark, tmp_path):
+    orders = spark.range(1000).select((F.col("id") % 300).alias("o_custkey"), F.col("id").cast("double").alias("o_totalprice"))
+    got = QUERIES["select_approximate"](spark, star(spark, tmp_path, orders=orders))
+    assert [tuple(r) for r in got.collect()] == [(300, 499.5, True, True)]
+    sketches = [line for line in plan_of(got).splitlines() if "percentile_approx(" in line and "Aggregate" in line]
+    assert sketches and all("keys=[]" in line for line in sketches)
