@@ -178,3 +178,12 @@ def test_small_blocks_of_queries_share_a_pass(spark, monkeypatch):
     assert len(passes) == 1
     few = vectors.knn_exact(corpus, queries, 5, DIM, query_bytes=8 * DIM, pass_bytes=2 * 8 * DIM)  # more passes than one plan takes
     assert rows(few) == brute(c, q, 5) and len(passes) == 26
+
+
+def test_few_copies_of_a_side_are_sent(spark, monkeypatch):
+    (corpus, c), (queries, q) = make(spark, 300, 1, "c"), make(spark, 9000, 2, "q")
+    made = []
+    blocks = vectors._knn_blocks
+    monkeypatch.setattr(vectors, "_knn_blocks", lambda *a: (made.append(a[0]), blocks(*a))[1])
+    vectors.knn_approx(vectors.build_cells(corpus, DIM, cells=2), queries, 5, nprobe=2)
+    assert {r.q_blocks for r in made[0].select("q_blocks").distinct().collect()} == {1}
