@@ -5,7 +5,9 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from sheavework.operators.intake import Decoded, Store
+from sheavework.operators import tables
+from sheavework.operators.intake import OUTPUTS, Decoded, Store, _one_writer_per_output
+from sheavework.operators.spread import measured_join, settled
 
 CELLS = "source string, kind string, sheet string, page int, table_no int, row_no long, col_no int, value string"
 
@@ -106,3 +108,36 @@ def test_rows_with_holes(spark, laid_out):
         row += [None] * (c + 1 - len(row))
         row[c] = v
     assert got == want
+
+
+def test_rows_travel_in_pieces(spark):
+    """Cells that follow each other in a row are one record of the shuffle; cells that share a place still leave the last by value."""
+    import pyarrow as pa
+
+    lines = [(*CSV, r, c, f"{r}.{c}") for r in range(100) for c in range(6)]
+    batch = pa.RecordBatch.from_pylist([dict(zip([*tables.GRID, "row_no", "col_no", "value"], (CSV[1], CSV[0], *CSV[2:], *line[5:]), strict=True)) for line in lines])
+    batch = batch.set_column(2, "sheet", batch.column(2).cast(pa.string())).set_column(3, "page", batch.column(3).cast(pa.int32()))
+    pieces = list(tables._pieces([batch.slice(0, 301), batch.slice(301)]))
+    assert [p.num_rows for p in pieces] == [51, 50]
+    rows = [r for b in tables._gather([pa.concat_batches(pieces)]) for r in b.to_pylist()]
+    assert [(r["row_no"], r["values"]) for r in rows] == [(r, [f"{r}.{c}" for c in range(6)]) for r in range(100)]
+    data = [(*CSV, 0, 2, "c"), (*CSV, 0, 0, None), (*CSV, 0, 0, "a"), (*CSV, 1, 0, "z"), (*CSV, 0, 0, "B"), (*CSV, 1, 0, None), (*CSV, 0, 2, None)]
+    got = tables.cells_to_rows(spark.createDataFrame(data, CELLS).repartition(3)).select("row_no", "values").collect()
+    assert sorted((r.row_no, r["values"]) for r in got) == [(0, ["a", None, "c"]), (1, ["z"])]
+
+
+def test_rows_stay_where_headers_are_few(spark):
+    rows = settled(tables.cells_to_rows(cells(spark, {CSV: [["a", "b"], ["1", "2"], ["3", "4"]]})))
+    headers = settled(tables.header_info(rows))
+    body = tables.body_rows(rows, headers, measured_join)
+    assert "Exchange hashpartitioning" not in body._jdf.queryExecution().executedPlan().toString()
+    assert shown(body, "row_no", "values") == shown(tables.body_rows(rows, headers), "row_no", "values") == [(0, ("1", "2")), (1, ("3", "4"))]
+
+
+def test_a_run_is_written_unsorted_and_leaves_settings(spark, tmp_path):
+    """Rows are not sorted by output before they are written."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    with _one_writer_per_output(spark):
+        assert int(spark.conf.get(name)) >= len(OUTPUTS)
+    assert spark.conf.get(name) == before
