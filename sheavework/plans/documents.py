@@ -25,7 +25,8 @@ def scan_corpus(spark, sf):
     folder = F.concat_ws("_", "source", F.floor(F.col("doc_id") / 200).cast("string"))
     texts = I.table(spark, sf, "documents").select(folder.alias("name"), "doc_id", F.coalesce("text", F.lit("")).alias("value"))
     dealt = texts.repartition("name").sortWithinPartitions("name", "doc_id").drop("doc_id")
-    dealt.write.option("lineSep", "\u0001").partitionBy("name").text(path)
+    # Tasks move their own files into place; the driver would move all of them one by one.
+    dealt.write.option("lineSep", "\u0001").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("name").text(path)
     found = files.scan_corpus(spark, path, "*.txt")
     name = F.url_decode(F.regexp_extract("path", "name=([^/]+)/", 1)).alias("folder")
     return found.select(name, "length", F.sha2("content", 256).alias("digest"), (F.length("content") == F.col("length")).alias("complete"))

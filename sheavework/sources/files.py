@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import names, text
+from ..session import setting
+
+
+LIST_TASKS = 4  # tasks for each core that list folders
 
 
 def scan_corpus(spark: SparkSession, path: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """(path, name, modificationTime, length, content) of every file. Content is only read where it is used."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    )
+    """(path, name, modificationTime, length, content) of every file. Content is only read where it is used.
+
+    Many folders are listed by a few tasks for each core, not by a task for each folder.
+    """
+    tasks = str(LIST_TASKS * spark.sparkContext.defaultParallelism)
+    with setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", tasks):
+        files = (
+            spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
+        )
     return files.withColumn("name", F.element_at(F.split("path", "/"), -1))
 
 

@@ -124,3 +124,23 @@ def test_stream_catalog(spark, tmp_path):
     assert {(r.source, r.kind) for r in ingest.current_catalog(spark, table, ["source"]).collect()} == {("a", "pdf"), ("b", "csv")}
     compacted = ingest.compact_catalog(spark, table, str(tmp_path / "docs2"), ["source"])
     assert compacted.count() == 2
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    """Forty folders, which used to be a task each; the session's own setting is back afterwards."""
+    from sheavework.sources import files
+
+    for i in range(40):
+        (tmp_path / f"name={i}").mkdir()
+        (tmp_path / f"name={i}" / "a.txt").write_text(str(i))
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    found = files.scan_corpus(spark, str(tmp_path), "*.txt")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("listing")
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in jobs for s in tracker.getJobInfo(j).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert all(n <= files.LIST_TASKS * spark.sparkContext.defaultParallelism for n in tasks) and max(tasks, default=0) < 40
+    assert spark.conf.get(name) == before
+    assert sorted(r.content for r in found.select("content").collect()) == sorted(str(i).encode() for i in range(40))
