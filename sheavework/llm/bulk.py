@@ -6,9 +6,11 @@ text, if that is longer).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BATCH_BYTES = 1 << 20
 SLICE_ROWS = 256  # rows of an Arrow batch that are Python objects at a time
@@ -79,6 +81,24 @@ def text_batches(rows: Iterator[tuple], limit: int = BATCH_BYTES) -> Iterator[li
         yield held
 
 
+def give_back() -> None:
+    """Free memory that this process still holds goes back to the system, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after whose last batch its worker, which waits for later tasks beside the executor, keeps no memory of this one."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def slices_of(batches) -> Iterator:
     """Arrow record batches in slices of few rows, without a copy."""
     for batch in batches:

@@ -82,7 +82,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
                 held.clear()
         yield from out()
 
-    found = labelled.select("lang", "fold", "text").mapInArrow(run, "lang string, fold int, gram long, n long")
+    found = labelled.select("lang", "fold", "text").mapInArrow(bulk.lean(run), "lang string, fold int, gram long, n long")
     return found.groupBy("lang", "fold", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -431,7 +431,7 @@ def _scored_in_passes(docs: DataFrame, model: GramTables, *keep: str) -> DataFra
                 columns = [pa.array([i for i, _ in group], pa.int64()), pa.array(list(sums), pa.list_(pa.float64())), pa.array(seen), pa.array([len(t) for _, t in group], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["_id", "sums", "n", "size"])
 
-        kept.select("_id", "text").mapInArrow(run, "_id long, sums array<double>, n long, size long").write.parquet(f"{path}/pass={number}")
+        kept.select("_id", "text").mapInArrow(bulk.lean(run), "_id long, sums array<double>, n long, size long").write.parquet(f"{path}/pass={number}")
         sent.destroy()
     each = lambda f: F.array(*[f(i) for i in range(len(model.languages))])
     found = spark.read.parquet(path) if kept.limit(1).count() else spark.createDataFrame([], "_id long, sums array<double>, n long, size long")
@@ -490,7 +490,7 @@ def scored(docs: DataFrame, model: LanguageModel | GramTables, *keep: str) -> Da
                 names=[*batch.schema.names[:-1], "lang_pred", "score", "entropy", "rejected"],
             )
 
-    return kept.mapInArrow(run, out + ("," if out else "") + " lang_pred string, score double, entropy double, rejected boolean")
+    return kept.mapInArrow(bulk.lean(run), out + ("," if out else "") + " lang_pred string, score double, entropy double, rejected boolean")
 
 
 def held_out(doc_id: Column, modulus: int, rest: int) -> Column:

@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 names=["doc_id", "n", "h1", "h2", "low", "top"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, low array<long>, top binary")
+    return docs.mapInArrow(bulk.lean(run), "doc_id long, n long, h1 long, h2 long, low array<long>, top binary")
 
 
 def with_set_ids(sketched: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def _members(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int) ->
             first, second = zip(*map(_identity, found), strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())], names=["h1", "h2", "members"])
 
-    found = read.mapInArrow(run, "h1 long, h2 long, members binary").dropDuplicates(["h1", "h2"])
+    found = read.mapInArrow(bulk.lean(run), "h1 long, h2 long, members binary").dropDuplicates(["h1", "h2"])
     named = sets.join(needed, "sid", "left_semi").select("sid", "h1", "h2")
     return _in_small_batches(found.join(named, ["h1", "h2"]).select("sid", "members"), "sets")
 
@@ -132,7 +132,7 @@ def _likely(pairs: DataFrame, sets: DataFrame, percent: int, kin: float = 1.0) -
 
     tops = sets.select("sid", "top")
     met = pairs.join(tops.toDF("a", "top_a"), "a").join(tops.toDF("b", "top_b"), "b")
-    return met.select("a", "b", "top_a", "top_b").mapInArrow(run, PAIR_SCHEMA)
+    return met.select("a", "b", "top_a", "top_b").mapInArrow(bulk.lean(run), PAIR_SCHEMA)
 
 
 def _in_small_batches(df: DataFrame, label: str) -> DataFrame:
@@ -161,7 +161,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, perc
     pairs = settle(pairs, "pairs")
     found = _members(pairs, docs, sets, words)
     met = pairs.join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b")
-    return _in_small_batches(met.select("a", "b", "set_a", "set_b").mapInArrow(run, PAIR_SCHEMA), "linked")
+    return _in_small_batches(met.select("a", "b", "set_a", "set_b").mapInArrow(bulk.lean(run), PAIR_SCHEMA), "linked")
 
 
 def _differences(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int) -> DataFrame:
@@ -174,7 +174,7 @@ def _differences(pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int)
 
     found = _members(pairs, docs, sets, words)
     met = pairs.join(found.toDF("a", "set_a"), "a").join(found.toDF("b", "set_b"), "b")
-    return _in_small_batches(met.select("a", "b", "set_a", "set_b").mapInArrow(run, "centre long, sid long, parts array<long>"), "differences")
+    return _in_small_batches(met.select("a", "b", "set_a", "set_b").mapInArrow(bulk.lean(run), "centre long, sid long, parts array<long>"), "differences")
 
 
 def _alike_in_size(percent: int) -> F.Column:

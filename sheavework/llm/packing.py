@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, load: Callable[[], Callable[[list[str]], list[
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.mapInArrow(run, PIECES)
+    return docs.mapInArrow(bulk.lean(run), PIECES)
 
 
 def best_fit_rounds(counts: dict[int, int], room: int) -> list[tuple[int, int, int, int, int]]:

@@ -182,3 +182,26 @@ def test_trie_of_nothing_and_of_turnless_conversations(spark):
 def test_means_are_floors_of_exact_sums(spark):
     sums = spark.createDataFrame([(0, 0, Decimal(-7), 2), (0, 1, Decimal(7), 2), (0, 2, Decimal(3 * 10**19), 3 * 10**18)], "cluster long, place long, total decimal(38,0), n long")
     assert centroids._means(sums) == {0: [-4, 3, 10]}
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """Memory goes back once the rows have left and what a task held is gone."""
+    import weakref
+
+    import numpy as np
+
+    from sheavework.llm import bulk
+
+    held, seen = [], []
+    monkeypatch.setattr(bulk, "give_back", lambda: seen.append(held[0]() is None))
+
+    def run(batches):
+        model = np.zeros(10)
+        held.append(weakref.ref(model))
+        for batch in batches:
+            yield batch + len(model)
+
+    assert list(bulk.lean(run)(iter([1, 2]))) == [11, 12]
+    assert seen == [True]
+    monkeypatch.undo()
+    bulk.give_back()
