@@ -132,6 +132,16 @@ def _chunks(batches: Iterator[pa.RecordBatch], hasher: bulk.Hasher) -> Iterator[
             yield Chunk(row.pop("ids"), row.pop("sizes"), row.pop("packed"), hasher), row
 
 
+def _probed(chunk: Chunk, rolling: Rolling, block: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where a chunk's windows of ``block`` words begin, in the order of their probes; the distinct probes; and where the windows of each start."""
+    at, _ = chunk.windows(block)
+    spots = _spots(rolling.one(at, block), buckets)
+    order = np.argsort(spots, kind="stable")
+    at, spots = at[order], spots[order]
+    first = np.flatnonzero(np.append(True, spots[1:] != spots[:-1])[: len(spots)])
+    return at, spots[first], first
+
+
 def probes(chunks: DataFrame, block: int, buckets: int) -> DataFrame:
     """(bucket, chunk, probes): a chunk's distinct rolling windows of ``block`` words, four bytes each.
 
@@ -142,138 +152,135 @@ def probes(chunks: DataFrame, block: int, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = bulk.Hasher()
         for chunk, row in _chunks(batches, hasher):
-            at, place = chunk.windows(block)
+            at, keys, first = _probed(chunk, Rolling(chunk.words, hasher), block, buckets)
             if not len(at):
                 continue
-            spots = _spots(Rolling(chunk.words, hasher).one(at, block), buckets)
-            ids = chunk.ids[chunk.owner[at]]
-            order = np.argsort(spots, kind="stable")
-            spots, ids, anchor = spots[order], ids[order], (place[order] % block == 0)
-            first = np.flatnonzero(np.append(True, spots[1:] != spots[:-1]))
+            ids, anchor = chunk.ids[chunk.owner[at]], (at - chunk.offsets[chunk.owner[at]]) % block == 0
             several = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
             marks = np.logical_or.reduceat(anchor, first).astype(np.int64) << 30 | several.astype(np.int64) << 31
-            keys = spots[first]
             rows = list(_packs(row["chunk"], keys, [((keys & _RES) | marks).astype("<u4")], 30))
             yield _batch(rows, [pa.int64(), pa.int64(), pa.binary()], ["bucket", "chunk", "probes"])
 
     return chunks.mapInArrow(run, "bucket long, chunk long, probes binary")
 
 
+ANSWERS = "chunk long, bucket long, bits binary"
+
+
+def _answered(table: pa.Table, wanted: np.ndarray, sizes: list[int]) -> pa.Table:
+    """A bit for each entry of the packs that meet in a bucket, in the order in which their chunks sent them; packs without one that is wanted
+    get no answer."""
+    edges = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    ends = zip(*(table.column(c).to_pylist() for c in ("chunk", "bucket")), edges[:-1], edges[1:], strict=True)
+    rows = [(chunk, bucket, np.packbits(wanted[a:b]).tobytes()) for chunk, bucket, a, b in ends if wanted[a:b].any()]
+    return pa.Table.from_batches([_batch(rows, [pa.int64(), pa.int64(), pa.binary()], ["chunk", "bucket", "bits"])])
+
+
+def _marked(answers: list[dict], bucket: np.ndarray) -> np.ndarray:
+    """True for each entry of a chunk, of which ``bucket`` has the buckets in order, that an answer marks."""
+    marked = np.zeros(len(bucket), bool)
+    for answer in answers:
+        first, behind = np.searchsorted(bucket, [answer["bucket"], answer["bucket"] + 1]).tolist()
+        marked[first:behind] = np.unpackbits(np.frombuffer(answer["bits"], np.uint8), count=behind - first)
+    return marked
+
+
 def shared_anchors(sent: DataFrame) -> DataFrame:
-    """(chunk, hits): for each chunk those of its probes that meet a block of the index and occur in documents of different ids."""
+    """(chunk, bucket, bits): for each chunk which of its probes meet a block of the index and occur in documents of different ids."""
 
     def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
         packs = [np.frombuffer(p, "<u4") for p in table.column("probes").to_pylist()]
         seen = np.concatenate(packs)
-        source = np.repeat(np.arange(len(packs), dtype=np.int32), [len(p) for p in packs])
         order = np.argsort(seen & np.uint32(_RES), kind="stable")
-        seen, source = seen[order], source[order]
+        seen = seen[order]
         first = np.flatnonzero(np.append(True, (seen[1:] ^ seen[:-1]) & np.uint32(_RES) != 0))
         marks = np.bitwise_or.reduceat(seen, first)
         sizes = np.diff(np.append(first, len(seen)))
-        wanted = np.repeat((marks >> np.uint32(30) & np.uint32(1) == 1) & ((sizes > 1) | (marks >> np.uint32(31) == 1)), sizes)
-        keep, owner = (seen[wanted] & np.uint32(_RES)).astype(np.int64) | bucket << 30, source[wanted]
-        order = np.argsort(owner, kind="stable")
-        keep, owner = keep[order], owner[order]
-        edges = np.searchsorted(owner, np.arange(len(packs) + 1))
-        rows = [(c, keep[a:b].tobytes()) for c, a, b in zip(table.column("chunk").to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True) if b > a]
-        return pa.Table.from_batches([_batch(rows, [pa.int64(), pa.binary()], ["chunk", "hits"])])
+        wanted = np.zeros(len(seen), bool)
+        wanted[order] = np.repeat((marks >> np.uint32(30) & np.uint32(1) == 1) & ((sizes > 1) | (marks >> np.uint32(31) == 1)), sizes)
+        return _answered(table, wanted, [len(p) for p in packs])
 
-    return sent.groupBy("bucket").applyInArrow(run, "chunk long, hits binary")
+    return sent.groupBy("bucket").applyInArrow(run, ANSWERS)
 
 
 def _met(chunks: DataFrame, answers: DataFrame, column: str) -> DataFrame:
-    """Each chunk with what was answered to it; its parts together are no more than its own windows."""
-    return chunks.join(answers.groupBy("chunk").agg(F.collect_list(column).alias(column)), "chunk", "left")
+    """Each chunk with what was answered to it; its parts together are no more than a bit for each of its own windows."""
+    return chunks.join(answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(column)), "chunk", "left")
 
 
-def _extended(chunk: Chunk, hits: list[bytes], rolling: Rolling, block: int, width: int, buckets: int) -> np.ndarray:
+def _extended(chunk: Chunk, hits: list[dict], rolling: Rolling, block: int, width: int, buckets: int) -> np.ndarray:
     """Beginnings of the windows of ``width`` words around a hit, to both sides as far as the document goes."""
-    known = np.sort(np.concatenate([np.frombuffer(h, np.int64) for h in hits])) if hits else np.zeros(0, np.int64)
-    at, _ = chunk.windows(block)
-    if not len(known) or not len(at):
+    if not hits:
         return np.zeros(0, np.int64)
-    spots = _spots(rolling.one(at, block), buckets)
-    found = known[np.minimum(np.searchsorted(known, spots), len(known) - 1)] == spots
+    at, keys, first = _probed(chunk, rolling, block, buckets)
+    hit = at[np.repeat(_marked(hits, keys >> 30), np.diff(np.append(first, len(at))))]
     near = np.zeros(len(chunk.words) + 1, np.int64)
-    hit = at[found]
     np.add.at(near, np.maximum(hit - (width - block), 0), 1)
     np.add.at(near, hit + 1, -1)
     begin, _ = chunk.windows(width)
     return begin[np.cumsum(near)[begin] > 0]
 
 
+class Frames:
+    """A chunk's windows of ``width`` words around hits, in the order of bucket and 128 bits of hash; equal ones stand together."""
+
+    def __init__(self, chunk: Chunk, hits: list[dict], hasher: bulk.Hasher, block: int, width: int, buckets: int) -> None:
+        rolling = Rolling(chunk.words, hasher)
+        at = _extended(chunk, hits, rolling, block, width, buckets)
+        a, b = rolling.two(at, width)
+        bucket = (bulk.mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((b, a, bucket))
+        self.at, a, b = at[order], a[order], b[order]
+        self.ids = chunk.ids[chunk.owner[self.at]]
+        self.first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(at)])
+        # Of each distinct window: bucket, hash and the smallest id of this chunk.
+        self.bucket, self.a, self.b = bucket[order][self.first], a[self.first], b[self.first]
+        self.low = np.minimum.reduceat(self.ids, self.first) if len(at) else self.ids
+
+    def repeated(self, found: list[dict]) -> np.ndarray:
+        """Beginnings of the windows that a document with a smaller id has too, in another chunk (``found``) or in this one."""
+        sizes = np.diff(np.append(self.first, len(self.at)))
+        return self.at[np.repeat(_marked(found, self.bucket), sizes) | (self.ids > np.repeat(self.low, sizes))]
+
+
 def frames(chunks: DataFrame, hits: DataFrame, block: int, width: int, buckets: int) -> DataFrame:
-    """(bucket, chunk, frames): a chunk's distinct windows of ``width`` words around hits, each with 128 bits of hash, the smallest
-    id that has it there and whether others have it there too."""
+    """(bucket, chunk, frames): a chunk's distinct windows of ``width`` words around hits, each with 128 bits of hash and the smallest
+    id that has it there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = bulk.Hasher()
         for chunk, row in _chunks(batches, hasher):
-            rolling = Rolling(chunk.words, hasher)
-            at = _extended(chunk, row["hits"] or [], rolling, block, width, buckets)
-            if not len(at):
-                continue
-            a, b = rolling.two(at, width)
-            ids = chunk.ids[chunk.owner[at]]
-            bucket = (bulk.mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((b, a, bucket))
-            a, b, ids, bucket = a[order], b[order], ids[order], bucket[order]
-            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-            low = np.minimum.reduceat(ids, first)
-            columns = [a[first], b[first], low, (np.maximum.reduceat(ids, first) > low).astype(np.uint8)]
-            rows = list(_packs(row["chunk"], bucket[first], columns, 0))
-            yield _batch(rows, [pa.int64(), pa.int64(), *[pa.binary()] * 4], ["bucket", "chunk", "a", "b", "low", "more"])
+            own = Frames(chunk, row["hits"] or [], hasher, block, width, buckets)
+            if len(own.at):
+                rows = list(_packs(row["chunk"], own.bucket, [own.a, own.b, own.low], 0))
+                yield _batch(rows, [pa.int64(), pa.int64(), *[pa.binary()] * 3], ["bucket", "chunk", "a", "b", "low"])
 
-    return _met(chunks, hits, "hits").mapInArrow(run, "bucket long, chunk long, a binary, b binary, low binary, more binary")
+    return _met(chunks, hits, "hits").mapInArrow(run, "bucket long, chunk long, a binary, b binary, low binary")
 
 
 def first_owners(sent: DataFrame) -> DataFrame:
-    """(chunk, found): for each chunk those of its frames that also stand in a document of a smaller id than one of its own,
-    with the smallest of all ids."""
+    """(chunk, bucket, bits): for each chunk which of its frames also stand in another chunk's document of a smaller id than all of its own."""
 
     def run(table: pa.Table) -> pa.Table:
-        kinds = {"a": np.int64, "b": np.int64, "low": np.int64, "more": np.uint8}
-        packs = [[np.frombuffer(p, kind) for p in table.column(c).to_pylist()] for c, kind in kinds.items()]
-        source = np.repeat(np.arange(table.num_rows, dtype=np.int32), [len(p) for p in packs[0]])
-        a, b, low, more = (np.concatenate(p) for p in packs)
+        packs = [[np.frombuffer(p, np.int64) for p in table.column(c).to_pylist()] for c in ("a", "b", "low")]
+        a, b, low = (np.concatenate(p) for p in packs)
         order = np.lexsort((b, a))
-        a, b, low, more, source = a[order], b[order], low[order], more[order] > 0, source[order]
+        a, b, ordered = a[order], b[order], low[order]
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        least = np.repeat(np.minimum.reduceat(low, first), np.diff(np.append(first, len(a))))
-        wanted = (least < low) | more
-        rows = np.stack([a[wanted], b[wanted], least[wanted]], axis=1)
-        owner = source[wanted]
-        order = np.argsort(owner, kind="stable")
-        rows, owner = rows[order], owner[order]
-        edges = np.searchsorted(owner, np.arange(table.num_rows + 1))
-        told = [(c, rows[i:j].tobytes()) for c, i, j in zip(table.column("chunk").to_pylist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True) if j > i]
-        return pa.Table.from_batches([_batch(told, [pa.int64(), pa.binary()], ["chunk", "found"])])
-
-    return sent.groupBy("bucket").applyInArrow(run, "chunk long, found binary")
-
+        least = np.repeat(np.minimum.reduceat(ordered, first), np.diff(np.append(first, len(a))))
+        wanted = np.zeros(len(low), bool)
+        wanted[order] = least < ordered
+        return _answered(table, wanted, [len(p) for p in packs[0]])
 
-def _longest_run(ordered: np.ndarray) -> int:
-    return int(np.diff(np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1], [True])))).max())
+    return sent.groupBy("bucket").applyInArrow(run, ANSWERS)
 
 
-def _repeated(chunk: Chunk, found: list[bytes], hasher: bulk.Hasher, width: int) -> np.ndarray:
+def _repeated(chunk: Chunk, hits: list[dict], found: list[dict], hasher: bulk.Hasher, block: int, width: int, buckets: int) -> np.ndarray:
     """True for each word that a repeat covers: windows that are confirmed, joined where they touch or overlap."""
     cover = np.zeros(len(chunk.words) + 1, np.int64)
-    at, _ = chunk.windows(width)
-    if found and len(at):
-        known = np.concatenate([np.frombuffer(f, np.int64) for f in found]).reshape(-1, 3)
-        known = known[np.lexsort((known[:, 1], known[:, 0]))]
-        a, b = Rolling(chunk.words, hasher).two(at, width)
-        left = np.searchsorted(known[:, 0], a)
-        hit = np.zeros(len(at), bool)
-        for step in range(_longest_run(known[:, 0])):  # one step, but for equal halves of different hashes
-            spot = np.minimum(left + step, len(known) - 1)
-            hit |= (known[spot, 0] == a) & (known[spot, 1] == b) & (known[spot, 2] < chunk.ids[chunk.owner[at]])
-        begin = at[hit]
-        np.add.at(cover, begin, 1)
-        np.add.at(cover, begin + width, -1)
+    begin = Frames(chunk, hits, hasher, block, width, buckets).repeated(found)
+    np.add.at(cover, begin, 1)
+    np.add.at(cover, begin + width, -1)
     return np.cumsum(cover)[:-1] > 0
 
 
@@ -291,7 +298,8 @@ def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     document that it stands in. The blocks are the index, all rolling windows of a block's length the probes; both meet
     in buckets sized by the input. A probe that meets a block and occurs under different ids is an anchor, and all
     full windows around it are compared, each distinct one once per chunk of documents, for the smallest id that has
-    it (128 bits of hash). Confirmed windows that overlap make up the maximal repeats. A group of copies, however large,
+    it (128 bits of hash). A chunk sorts its windows alike each time, so what it is told of them is one bit for each. Confirmed windows that
+    overlap make up the maximal repeats. A group of copies, however large,
     costs one entry per chunk; no pairs of documents are formed.
     """
     block = (width + 1) // 2
@@ -304,7 +312,7 @@ def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = bulk.Hasher()
         for chunk, row in _chunks(batches, hasher):
-            gone = _repeated(chunk, row["found"] or [], hasher, width)
+            gone = _repeated(chunk, row["hits"] or [], row["found"] or [], hasher, block, width, buckets)
             rows = []
             for i, text in enumerate(chunk.texts):
                 first, behind = chunk.offsets[i], chunk.offsets[i + 1]
@@ -322,4 +330,4 @@ def without_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("n", pa.int64())])), pa.string()]
                 yield _batch(rows[start : start + bulk.SLICE_ROWS], kinds, ["doc_id", "n_words", "n_removed", "repeats", "kept_text"])
 
-    return _met(chunks, owners, "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, repeats array<struct<first: long, n: long>>, kept_text string")
+    return _met(_met(chunks, answers, "hits"), owners, "found").mapInArrow(run, "doc_id long, n_words long, n_removed long, repeats array<struct<first: long, n: long>>, kept_text string")

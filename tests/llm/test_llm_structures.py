@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from sheavework.llm import bulk, centroids, passages, prefixes
+from sheavework.llm.frames import settle
 
 
 def vector_table(spark, rows):
@@ -110,6 +111,20 @@ def test_repeats_against_brute_force(spark, monkeypatch, width, chunk_bytes, buc
     assert all(sum(x.n for x in r.repeats) == r.n_removed and all(a.first + a.n < b.first for a, b in zip(r.repeats, r.repeats[1:], strict=False)) for r in got)
 
 
+def test_answers_to_chunks_are_a_bit_for_each_window(spark, monkeypatch):
+    monkeypatch.setattr(passages, "CHUNK_BYTES", 400)
+    rows = [(i, " ".join(f"w{j}" for j in range(100))) for i in range(6)]
+    chunks = settle(passages.chunks_of(doc_table(spark, rows).select("doc_id", "text")), "chunks")
+    sent = settle(passages.probes(chunks, 7, 3), "probes")
+    anchors = passages.shared_anchors(sent)
+    framed = settle(passages.frames(chunks, anchors, 7, 13, 3), "frames")
+    owners = passages.first_owners(framed)
+    for asked, size, answers in ((sent, "length(probes) / 4", anchors), (framed, "length(a) / 8", owners)):
+        least = {(r.chunk, r.bucket): -(-int(r.n) // 8) for r in asked.selectExpr("chunk", "bucket", f"{size} AS n").collect()}
+        told = answers.collect()
+        assert told and all(len(r.bits) == least[r.chunk, r.bucket] for r in told)
+
+
 def test_long_texts_and_bytes_are_whole(monkeypatch):
     hasher = bulk.Hasher()
     text = " ".join(f"wort{i % 977}" for i in range(4000)).encode()
