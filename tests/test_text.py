@@ -95,6 +95,24 @@ def test_headings(spark):
     assert [(r.page, r.level, r.heading) for r in got] == [(2, 1, "Big"), (5, 2, "H h")]
 
 
+def test_headings_that_cannot_be_broadcast_shuffle_few_words(spark, monkeypatch):
+    """Lines of many headings are sent to the words as bits, so that words of other lines stay where they are."""
+    df = spark.range(40000).selectExpr("concat('d', id div 400) AS source", "CAST(id div 200 % 2 AS int) AS page", "CAST(id % 200 AS int) AS word_no",
+                                       "CAST(id % 200 div 8 AS double) AS top", "CASE WHEN id % 200 < 8 THEN 20.0D ELSE 10.0D END AS size", "concat('w', id) AS text")
+    whole = sorted(map(tuple, chunks.headings_from_font_size(df).collect()))
+    passed, may_match = [], chunks.may_match
+
+    def counted(big, small, on):
+        few = may_match(big, small, on)
+        passed.append(few.count())
+        return few
+
+    monkeypatch.setattr(chunks, "fits_broadcast", lambda df: False)
+    monkeypatch.setattr(chunks, "may_match", counted)
+    assert sorted(map(tuple, chunks.headings_from_font_size(df).collect())) == whole and len(whole) == 200
+    assert len(passed) == 1 and 1600 <= passed[0] < 8000
+
+
 def test_names(spark):
     plain = {"Ab c-d.1": "ab_c_d_1", "Größe (m²)": "größe__m²_", "x_y": "x_y", "日本 1": "日本_1", "a/b\\c'd\"e": "a_b_c_d_e"}
     for given, wanted in plain.items():
