@@ -14,9 +14,19 @@ from sheavework.llm.frames import settle
 from sheavework.llm.queries import word_bpe
 
 
+BATCH_BYTES = 1 << 20  # of an Arrow batch, so that an executor and its Python workers do not hold thousands of whole texts at once
+
+
+def _in_small_batches(spark: SparkSession) -> None:
+    """For the rest of the session, as the rows of a stage are read after it has returned."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(min(BATCH_BYTES, int(spark.conf.get(name, None) or BATCH_BYTES))))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents whose language is recognised. A text without letters, or beyond what texts of its language show, goes; models learn
     from all rows with a language, so without any label every row goes. An empty table stays empty; repeated rows stay or go together."""
+    _in_small_batches(spark)
     return language.recognised(docs)
 
 
@@ -29,6 +39,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles at a similarity of 0.8 or more: that with the smallest doc_id. Texts without a
     word are linked with nothing; rows that share a doc_id stay or go together; a row without doc_id stays."""
+    _in_small_batches(spark)
     return near.one_of_each(docs, words=5, percent=80)
 
 
@@ -41,6 +52,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of at most 4096 tokens. A null or empty text is its end token alone; repeated rows are packed
     as often as they come; an empty table gives no pieces."""
+    _in_small_batches(spark)
     return packing.packed_documents(docs, word_bpe(), end_id=1, room=4096)
 
 

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -266,3 +267,21 @@ def test_stages_take_odd_tables(spark):
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
         assert {r.doc_id for r in packed} == {r.doc_id for r in docs.collect()}
     assert len(packed) >= 30 and sum(r.doc_id == rows[3][0] for r in packed) == 1
+
+
+def test_pipeline_stages_hold_few_whole_texts_in_an_arrow_batch(spark, monkeypatch):
+    for module, work in ((corpus_pipeline.language, "recognised"), (corpus_pipeline.near, "one_of_each"), (corpus_pipeline.packing, "packed_documents")):
+        monkeypatch.setattr(module, work, lambda docs, *args, **more: docs)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "en", "one text")], "doc_id long, lang string, text string")
+    try:
+        for stage in (corpus_pipeline.identify_language, corpus_pipeline.drop_near_copies, corpus_pipeline.pack_sequences):
+            spark.conf.unset(name)
+            stage(spark, docs, "")
+            assert int(spark.conf.get(name)) == corpus_pipeline.BATCH_BYTES
+        texts = spark.range(0, 3000, 1, 1).selectExpr("repeat('ab', 2000) AS text")
+        sizes = texts.mapInArrow(lambda batches: (b.select([]).append_column("n", pa.array([b.nbytes] * b.num_rows)) for b in batches), "n long")
+        assert sizes.agg({"n": "max"}).first()[0] < 2 * corpus_pipeline.BATCH_BYTES
+    finally:
+        spark.conf.set(name, before)
