@@ -1,10 +1,12 @@
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sheavework.operators import catalog, search
-from sheavework.operators.rows import first_rows, rows_of_queries
+from sheavework.operators.rows import Wanted, _names, first_rows, rows_of_queries
 from sheavework.operators.spread import fits_broadcast, number_rows, number_within, running_offset, salted_join
 
 TABLES = "table_name string, source string, page int, sheet string, created_at int"
@@ -204,3 +206,32 @@ def test_skewed_helpers(spark):
     within = number_within(df, ["k"], ["id"], "n").where("k = 'hot'").orderBy("id").collect()
     assert [r.n for r in within] == list(range(18_000))
     assert fits_broadcast(df, 20_000) and not fits_broadcast(df, 19_999) and not fits_broadcast(df, 20_000, 1000)
+
+
+def test_a_task_holds_the_tokens_of_the_tables_it_meets():
+    names, tokens = [f"t{i:02d}" for i in range(20) for _ in range(3000)], [f"token{i // 2}" for _ in range(20) for i in range(3000)]
+    pairs = pa.table({"table_name": names, "token": tokens})
+    tracemalloc.start()
+    try:
+        known, places = Wanted(pairs).of("t03")
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert known == [f"token{i}" for i in range(1500)] and places.tolist() == [9000 + 2 * i for i in range(1501)]
+    assert most < 1_500_000  # 10 MB when all twenty tables were held
+
+
+def test_table_names_reach_the_rows_without_python_workers(spark):
+    names = _names(spark.range(1), pa.table({"table_name": ["b", "a", "b"], "token": ["x", "y", "z"]}))
+    assert "Python" not in names._jdf.queryExecution().toRdd().toDebugString()
+    assert sorted(r.table_name for r in names.collect()) == ["a", "b"]
+
+
+def test_first_rows_are_stored_in_few_files(spark, base, monkeypatch):
+    tables, columns, rows = base
+    q = queries(spark, "ring% part", "name6 name")
+    seen, store = [], search.settled
+    monkeypatch.setattr(search, "settled", lambda df: seen.append(store(df)) or seen[-1])
+    search.sample_rows(q, search.top_k_tables(q, tables, columns), rows.repartition(40)).collect()
+    stored = [df for df in seen if "values" in df.columns]
+    assert [df.rdd.getNumPartitions() < 40 for df in stored] == [True]

@@ -1,8 +1,10 @@
+import weakref
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sheavework.operators import catalog, vectors
+from sheavework.operators import catalog, vectors, workers
 from sheavework.operators.cells import StoredCells, nearest_cells, recall
 
 DIM = 8
@@ -187,3 +189,47 @@ def test_few_copies_of_a_side_are_sent(spark, monkeypatch):
     monkeypatch.setattr(vectors, "_knn_blocks", lambda *a: (made.append(a[0]), blocks(*a))[1])
     vectors.knn_approx(vectors.build_cells(corpus, DIM, cells=2), queries, 5, nprobe=2)
     assert {r.q_blocks for r in made[0].select("q_blocks").distinct().collect()} == {1}
+
+
+def test_queries_are_embedded_in_one_python_step(spark, monkeypatch):
+    # Two steps would be two Python workers for every task, which wait beside the executor for the rest of the run.
+    corpus, c = make(spark, 30, 1, "c")
+    texts = spark.createDataFrame([("q00000", "a b a"), ("q00001", None), ("q00002", "c d")], "query_id string, query string")
+    asked = vectors.embed(texts, "query", DIM)
+    seen, store = [], vectors.settled
+    monkeypatch.setattr(vectors, "settled", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or store(df))
+    got = rows(vectors.knn_exact(corpus, asked, 3, DIM))
+    assert len(seen) == 1 and "ArrowEvalPython" in seen[0] and "MapInArrow" not in seen[0]
+    held = {r.query_id: r.embedding for r in asked.where("query is not null").collect()}
+    assert got == sorted((q, rank, chunk) for i, (q, v) in enumerate(held.items()) for _, rank, chunk in brute(c, [np.array(v, dtype=np.float64)], 3))
+
+
+def test_a_worker_gives_back_after_its_last_batch(monkeypatch):
+    seen, held = [], []
+
+    class Big:
+        pass
+
+    def run(batches):
+        big = Big()
+        held.append(weakref.ref(big))
+        for b in batches:
+            yield b + 10
+
+    monkeypatch.setattr(workers, "give_back", lambda: seen.append(held[0]() is None))
+    assert list(workers.lean(run)(iter([1, 2]))) == [11, 12] and seen == [True]
+
+
+def test_texts_go_only_where_hits_are(spark):
+    chunks = spark.createDataFrame([(f"c{i}", f"text {i}", "s", i) for i in range(400)] + [("c7", "again", "s", 0), (None, "none", "s", 0)], "chunk_id string, text string, source string, page int")
+    held = [(i, 1, f"c{i}", 0.5) for i in range(90)] + [(1000 + i, 2, "c7", 0.25) for i in range(500)] + [(5000, 1, "gone", 0.1), (5001, 1, None, 0.1)]
+    hits = spark.createDataFrame(held, "query_id int, rank int, chunk_id string, score double")
+    got = vectors.hydrate_hits(hits, chunks)
+    texts = {}
+    for r in chunks.collect():
+        texts.setdefault(r.chunk_id, []).append((r.text, r.source, r.page))
+    want = sorted((q, n, c, *t, s) for q, n, c, s in held if c for t in texts.get(c, []))
+    assert sorted(map(tuple, got.collect())) == want
+    # No text is repeated for every salt.
+    assert "explode(sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.columns == ["query_id", "rank", "chunk_id", "text", "source", "page", "score"]
