@@ -198,3 +198,17 @@ def test_cases_and_resources(spark):
     both = {r.query_id: r for r in search.resources(requests, tables, texts).collect()}
     assert [t.document for t in both["q"].structured] == ["e", "d"] and both["q"].text[0].headings == ["h"]
     assert both["r"].structured == [] and both["r"].text == []
+
+
+def test_turns_find_chunks_by_their_whole_text(spark, tmp_path):
+    """The asked words stand behind the first 160 characters of the one document, and in no preview; decoys show some of them at once."""
+    from sheavework.plans import chats, inputs
+
+    filler = " ".join(["filler"] * 40)
+    texts = [filler + " zebra quagga okapi"] + [f"zebra other{i} {filler}" for i in range(8)]
+    spark.createDataFrame([(i, "en", t, len(t)) for i, t in enumerate(texts)], "doc_id long, lang string, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = spark.createDataFrame([("q", "zebra quagga okapi quagga okapi")], "query_id string, query string")
+    found = {kind: [r.source for r in chats._hits(spark, str(tmp_path), asked, kind).orderBy("rank").collect()] for kind in ("preview", "text")}
+    assert found["text"][0] == "doc_0.txt" and "doc_0.txt" not in found["preview"]
+    assert inputs.text_base(spark, str(tmp_path), "text")["vectors"].count() == 9
+    assert "whole_vectors" in chats.sql("", "whole_vectors")
