@@ -141,3 +141,23 @@ def test_a_run_is_written_unsorted_and_leaves_settings(spark, tmp_path):
     with _one_writer_per_output(spark):
         assert int(spark.conf.get(name)) >= len(OUTPUTS)
     assert spark.conf.get(name) == before
+
+
+@pytest.mark.parametrize("torn", [False, True])
+def test_rows_that_come_whole_are_not_shuffled(spark, tmp_path, monkeypatch, torn):
+    """Only rows whose cells came apart are gathered; gaps, late first columns and cells that share a place are as ever."""
+    data = [(*CSV, r, c, f"{r}.{c}") for r in range(300) for c in range(5) if (r + c) % 7 and (r % 11 or c)]
+    data += [("z.pdf", "pdf", None, 2, 1, 0, 2, None), ("z.pdf", "pdf", None, 3, 1, 0, 0, "p"), ("z.pdf", "pdf", None, 3, 1, 0, 0, "q")]
+    data += [(*CSV, 3, 3, "later"), (*CSV, 5, 1, None), (*CSV, 7, 9, "far")] if torn else []
+    gathered, rows_of = [], tables._rows_of
+    monkeypatch.setattr(tables, "_rows_of", lambda pieces, *a: gathered.append(pieces.select("row_no").distinct().count()) or rows_of(pieces, *a))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        df = spark.createDataFrame(data, CELLS).coalesce(1)
+        got = shown(tables.stored_rows(df, str(tmp_path / "grid")), *tables.ROW[:-1], "values")
+        assert gathered == ([3] if torn else [])
+        assert got == shown(tables.cells_to_rows(df), *tables.ROW[:-1], "values") and len(got) == 302
+        monkeypatch.setattr(tables, "fits_broadcast", lambda df: False)  # many torn rows
+        assert shown(tables.stored_rows(df, str(tmp_path / "again")), *tables.ROW[:-1], "values") == got
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
