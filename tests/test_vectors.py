@@ -233,3 +233,16 @@ def test_texts_go_only_where_hits_are(spark):
     # No text is repeated for every salt.
     assert "explode(sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.columns == ["query_id", "rank", "chunk_id", "text", "source", "page", "score"]
+
+
+def test_a_word_is_hashed_once_a_batch(monkeypatch):
+    import hashlib
+
+    seen, hashed = [], vectors.vectors.hashed_bucket
+    monkeypatch.setattr(vectors.vectors, "hashed_bucket", lambda word, dim: seen.append(word) or hashed(word, dim))
+    got = vectors._unit_counts(8).func(pa.array([["a", "b", "a"], None, [], ["ünï", "a"]]))
+    assert sorted(seen) == sorted([b"a", b"b", "ünï".encode()]) and got[1].as_py() is None and got[2].as_py() == [0.0] * 8
+    want = np.zeros(8)
+    for w in ("a", "b", "a"):
+        want[int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 8] += 1
+    assert got[0].as_py() == pytest.approx(list(want / np.linalg.norm(want)), abs=1e-6)
