@@ -149,3 +149,12 @@ def test_whitespace_class_is_pythons():
 
     python = {c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()}
     assert {c for c in python if not re.match(r"[\s\x1c-\x1f]", c)} == set()
+
+
+def test_sizes_of_lines_are_stored_by_columns(spark, monkeypatch):
+    """Lines and pages are summed up from stored columns; only the marked lines are checkpointed as rows."""
+    df = spark.createDataFrame([("a", 1, i, 5.0 + 9 * (i // 2), 20.0 if i < 2 else 10.0, f"w{i}") for i in range(8)], "source string, page int, word_no int, top double, size double, text string")
+    seen, settled = [], chunks.settled
+    monkeypatch.setattr(chunks, "settled", lambda df: seen.append(df.columns) or settled(df))
+    assert [(r.heading, r.level, r.first_word) for r in chunks.headings_from_font_size(df).collect()] == [("w0 w1", 1, 0)]
+    assert seen == [["source", "page", "line", "first_word", "level"]]
