@@ -161,3 +161,13 @@ def test_rows_that_come_whole_are_not_shuffled(spark, tmp_path, monkeypatch, tor
         assert shown(tables.stored_rows(df, str(tmp_path / "again")), *tables.ROW[:-1], "values") == got
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sizes_of_books_are_summed_unsorted(spark):
+    """A maximum of texts over all cells would be a sort of all cells by source."""
+    import re
+
+    from sheavework.plans.intake import decoded as of_tables
+
+    plan = of_tables(spark, "/root/testdata/sf0.001").files._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"HashAggregate\(keys=\[source#\d+, kind#\d+\], functions=\[partial_sum", plan)
