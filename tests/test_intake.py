@@ -171,3 +171,19 @@ def test_sizes_of_books_are_summed_unsorted(spark):
 
     plan = of_tables(spark, "/root/testdata/sf0.001").files._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"HashAggregate\(keys=\[source#\d+, kind#\d+\], functions=\[partial_sum", plan)
+
+
+def test_tables_that_come_first_are_not_compared(spark, tmp_path, monkeypatch):
+    """Nothing is stored in a first run, so no row of it is hashed; in the next one those of the tables that come again are."""
+    from sheavework.operators import intake
+
+    seen, digests = [], intake._digests
+    monkeypatch.setattr(intake, "_digests", lambda df, keys, of: seen.append((of, df.count())) or digests(df, keys, of))
+    store = Store(spark, str(tmp_path / "store"))
+    grids = {BOOK: [["x", "y"], ["1", "2"], ["3", None]], CSV: [["a", "b"], ["5", "6"]]}
+    met = []
+    for run, some in enumerate(({BOOK: grids[BOOK]}, grids)):
+        seen.clear()
+        store.ingest(decoded(spark, some), run, dim=8)
+        met.append([n for of, n in seen if of == ["row_no", "values"]])
+    assert met == [[0, 0], [2, 2]] and store.rows().count() == 3
