@@ -235,9 +235,11 @@ def test_texts_go_only_where_hits_are(spark):
     assert got.columns == ["query_id", "rank", "chunk_id", "text", "source", "page", "score"]
 
 
-def test_a_word_is_hashed_once_a_batch(monkeypatch):
+def test_a_word_is_hashed_once_a_batch(spark, monkeypatch):
     import hashlib
 
+    import pyarrow as pa
+
     seen, hashed = [], vectors.vectors.hashed_bucket
     monkeypatch.setattr(vectors.vectors, "hashed_bucket", lambda word, dim: seen.append(word) or hashed(word, dim))
     got = vectors._unit_counts(8).func(pa.array([["a", "b", "a"], None, [], ["ünï", "a"]]))
